@@ -90,13 +90,22 @@ def filter_files(
     return files.filter(keep).dropDuplicates(["path"])
 
 
-def filter_corpus_files(files: DataFrame, root: str = "") -> DataFrame:
-    return filter_files(files, exclude=CORPUS_EXCLUDED_DIRS, root=root)
+def filter_corpus_files(
+    files: DataFrame, root: str = "", max_bytes: int = MAX_FILE_BYTES
+) -> DataFrame:
+    return filter_files(files, exclude=CORPUS_EXCLUDED_DIRS, max_bytes=max_bytes, root=root)
 
 
-def filter_api_files(files: DataFrame, root: str = "") -> DataFrame:
+def filter_api_files(
+    files: DataFrame, root: str = "", max_bytes: int = MAX_FILE_BYTES
+) -> DataFrame:
     return filter_files(
-        files, exclude=API_EXCLUDED_PARTS, under=API_ROOT, exts=API_EXTENSIONS, root=root
+        files,
+        exclude=API_EXCLUDED_PARTS,
+        max_bytes=max_bytes,
+        under=API_ROOT,
+        exts=API_EXTENSIONS,
+        root=root,
     )
 
 
