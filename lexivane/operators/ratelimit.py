@@ -11,7 +11,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +19,19 @@ from lexivane.config import RATE_LIMIT_REQUESTS, RATE_LIMIT_WINDOW_SECONDS
 from lexivane.session import ship_package
 
 
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970. Times without a zone are taken as they stand, so
+    clock changes of the session's zone do not bend them."""
+    if isinstance(df.schema[ts].dataType, T.TimestampType):
+        return F.unix_micros(F.col(ts))
+    since = F.col(ts) - F.lit("1970-01-01").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), since)
+    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
+
+
 def _bucketed(events: DataFrame, ts: str, window_us: int) -> DataFrame:
-    us = F.unix_micros(F.col(ts))
+    us = micros(events, ts)
     return events.withColumn("_us", us).withColumn("_b", F.floor(us / F.lit(window_us)))
 
 

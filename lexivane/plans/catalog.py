@@ -188,13 +188,15 @@ def q_hash_vectors(name: str, source: str, key: str, text: str) -> str:
 
 
 VECTOR_SEARCH = f"""{q_hash_vectors('qv', 'questions', 'query_id', 'q')},
-{q_hash_vectors('cv', 'chunks', 'chunk_id', 'content')},
+{q_hash_vectors('rv', 'chunks', 'chunk_id', 'content')},
+sv as (select chunk_id, d, cast(cast(x as float) as double) as x from rv),  -- stored as float
+cv as (select chunk_id, d, x / sqrt(sum(x * x) over (partition by chunk_id)) as x from sv),
 vec as (
   select * from (
     select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank
     from (select query_id, chunk_id, round(coalesce(s, 0), 6) as score
           from (select distinct query_id from qv) cross join (select distinct chunk_id from cv)
-          left join (select query_id, chunk_id, sum(qv.x * cast(cast(cv.x as float) as double)) as s
+          left join (select query_id, chunk_id, sum(qv.x * cv.x) as s
                      from qv join cv using (d) group by query_id, chunk_id) using (query_id, chunk_id)))
   where rank <= 10)"""
 

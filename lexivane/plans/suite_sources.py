@@ -290,10 +290,10 @@ _LIMIT, _WINDOW = 2, 12 * 3600
       select event_id, user_id, rn, true as admitted, [us] as held from e where rn = 1
       union all
       select e.event_id, e.user_id, e.rn,
-        len(list_filter(r.held, lambda h: h > e.us - {_WINDOW} * 1000000)) < {_LIMIT},
-        case when len(list_filter(r.held, lambda h: h > e.us - {_WINDOW} * 1000000)) < {_LIMIT}
-          then list_append(list_filter(r.held, lambda h: h > e.us - {_WINDOW} * 1000000), e.us)
-          else list_filter(r.held, lambda h: h > e.us - {_WINDOW} * 1000000) end
+        len(list_filter(r.held, lambda h: h > e.us - {_WINDOW}000000)) < {_LIMIT},
+        case when len(list_filter(r.held, lambda h: h > e.us - {_WINDOW}000000)) < {_LIMIT}
+          then list_append(list_filter(r.held, lambda h: h > e.us - {_WINDOW}000000), e.us)
+          else list_filter(r.held, lambda h: h > e.us - {_WINDOW}000000) end
       from run r join e on e.user_id = r.user_id and e.rn = r.rn + 1)
     select event_id, user_id, admitted from run""",
 )

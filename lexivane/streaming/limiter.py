@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lexivane.config import RATE_LIMIT_REQUESTS, RATE_LIMIT_WINDOW_SECONDS
+from lexivane.operators.ratelimit import micros
 from lexivane.session import ship_package
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -71,7 +72,7 @@ def rate_limit_stream(
     schema = T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType())])
     return (
         requests.withWatermark(ts, delay)
-        .withColumn("_us", F.unix_micros(F.col(ts)))
+        .withColumn("_us", micros(requests, ts))
         .groupBy(key)
         .transformWithStateInPandas(
             _Limiter(limit, window_seconds * 1_000_000, order_by), schema, "Append", "EventTime"
