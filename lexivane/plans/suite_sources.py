@@ -140,17 +140,19 @@ def drop_failed(spark, sf):
 
 
 def _versions(spark, sf):
-    """Stored: all documents. Incoming: the English ones, in capitals."""
+    """Stored: all documents. Incoming: newer ones of those in English."""
     d = table(spark, sf, "documents").select(
         F.concat(F.lit("doc://"), F.col("doc_id")).alias("source_url"), "lang", F.col("text").alias("content")
     )
-    return d, d.filter("lang = 'en'").withColumn("content", F.upper("content"))
+    return d, d.filter("lang = 'en'").withColumn(
+        "content", F.concat(F.lit("newer: "), "content")
+    )
 
 
 @query(
     "upsert_chunks",
     """select 'doc://' || doc_id as source_url, lang,
-    case when lang = 'en' then upper(text) else text end as content from documents""",
+    case when lang = 'en' then 'newer: ' || text else text end as content from documents""",
 )
 def upsert(spark, sf):
     existing, incoming = _versions(spark, sf)
