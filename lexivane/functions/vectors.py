@@ -37,7 +37,7 @@ def zeros(dim: int) -> Column:
 
 def zero_fallback(v: Column, dim: int) -> Column:
     """A failed embedding (NULL, or of the wrong size) becomes the zero vector."""
-    return F.when(F.size(v) == dim, v).otherwise(zeros(dim))
+    return let(v, lambda x: F.when(F.size(x) == dim, x).otherwise(zeros(dim)))
 
 
 def truncate_tokens(tokens: Column, max_tokens: int = DEFAULTS.max_tokens) -> Column:

@@ -62,7 +62,7 @@ def embed_hash(
     df: DataFrame, text_col: str, dim: int = DEFAULTS.embedding_dim, max_tokens: int = DEFAULTS.max_tokens
 ) -> DataFrame:
     """Adds ``embedding`` and ``embed_ok``; narrow, no Python."""
-    vector = zero_fallback(hash_vector(F.col(text_col), dim, max_tokens), dim)
+    vector = hash_vector(F.coalesce(F.col(text_col), F.lit("")), dim, max_tokens)
     return df.withColumn("embedding", vector).withColumn(
         "embed_ok", F.exists("embedding", lambda x: x != 0)
     )

@@ -140,8 +140,8 @@ def chunk_documents(spark, sf):
 
 def _dims(df, key):
     """Vectors as rows: key, d, x."""
-    return df.select(key, F.posexplode("embedding").alias("d", "x")).select(
-        key, "d", F.round(F.col("x").cast("double") + 0.0, 6).alias("x")
+    return X.unnest(df, F.col("embedding"), key, start=0).select(
+        key, F.col("pos").alias("d"), F.round(F.col("item").cast("double") + 0.0, 6).alias("x")
     )
 
 
@@ -182,8 +182,8 @@ _SHARES = ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in
 def embed_udf(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     out = E.embed_udf(d, "text", letter_model, 8)
-    return out.select("doc_id", F.posexplode("embedding").alias("d", "x")).select(
-        "doc_id", "d", F.round(F.col("x").cast("double"), 4).alias("x")
+    return X.unnest(out, F.col("embedding"), "doc_id", start=0).select(
+        "doc_id", F.col("pos").alias("d"), F.round(F.col("item").cast("double"), 4).alias("x")
     )
 
 
