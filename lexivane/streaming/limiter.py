@@ -23,8 +23,8 @@ class _Limiter(StatefulProcessor):
     A timer clears the state of a client that has been silent for a window.
     """
 
-    def __init__(self, limit: int, window_us: int, order_by: str):
-        self.limit, self.window_us, self.order_by = limit, window_us, order_by
+    def __init__(self, limit: int, window_us: int, order_by: str, names: list[str]):
+        self.limit, self.window_us, self.order_by, self.names = limit, window_us, order_by, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -34,7 +34,9 @@ class _Limiter(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = sorted(int(row[0]) for row in self.admitted.get())
         # rows of one client and one trigger, whose size the source options set
-        batch = pd.concat(list(rows)).sort_values(["_us", self.order_by], kind="stable")
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch.columns = self.names
+        batch = batch.sort_values(["_us", self.order_by], kind="stable")
         verdicts = []
         for us in batch["_us"].tolist():
             while held and held[0] <= us - self.window_us:
@@ -75,7 +77,10 @@ def rate_limit_stream(
         .withColumn("_us", micros(requests, ts))
         .groupBy(key)
         .transformWithStateInPandas(
-            _Limiter(limit, window_seconds * 1_000_000, order_by), schema, "Append", "EventTime"
+            _Limiter(limit, window_seconds * 1_000_000, order_by, [*requests.columns, "_us"]),
+            schema,
+            "Append",
+            "EventTime",
         )
     )
 
