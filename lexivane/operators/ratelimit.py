@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivane.config import RATE_LIMIT_REQUESTS, RATE_LIMIT_WINDOW_SECONDS
-from lexivane.session import ship_package
+from lexivane.session import materialize, ship_package
+
+# A busy stretch of more requests than this is worked in slices.
+SLICE_ROWS = 2_000_000
 
 
 def micros(df: DataFrame, ts: str) -> Column:
@@ -80,13 +83,15 @@ def _admit(us: np.ndarray, held: deque, limit: int, width: int) -> np.ndarray:
     return out
 
 
-def _stretches(per_bucket: DataFrame, key: str, limit: int) -> DataFrame:
+def _stretches(per_bucket: DataFrame, key: str, limit: int, slice_rows: int) -> DataFrame:
     """Which buckets need the requests taken in order.
 
     Where a bucket and the one before it hold at most ``limit`` requests
     together, everything in it is admitted. The other, busy buckets form
     stretches; the bucket before a stretch is not busy, so its requests are all
-    admitted and give the state to start from (``warm_for``).
+    admitted and give the state to start from (``_warm_for``). A stretch is cut
+    into slices of whole buckets (``_slice``). All of this reads one row per
+    client and bucket.
     """
     order = Window.partitionBy(key).orderBy("_b")
     adjacent = F.lag("_b").over(order) == F.col("_b") - 1
@@ -108,7 +113,98 @@ def _stretches(per_bucket: DataFrame, key: str, limit: int) -> DataFrame:
         F.lead("_b").over(order) == F.col("_b") + 1
     )
     warm = F.when(~F.col("_busy") & next_busy, F.col("_b") + 1)
-    return named.select(key, "_b", "_busy", "_seg", warm.alias("_warm_for"))
+    before_in_stretch = F.sum("n").over(
+        Window.partitionBy(key, "_seg").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return named.withColumn("_warm_for", warm).select(
+        key,
+        "_b",
+        "_busy",
+        "_seg",
+        "_warm_for",
+        F.when(
+            F.col("_busy"), F.floor(F.coalesce(before_in_stretch, F.lit(0)) / slice_rows).cast("int")
+        ).alias("_slice"),
+    )
+
+
+def _in_order(rows: DataFrame, key: str, order_by: str, limit: int, width: int) -> DataFrame:
+    """Adds ``admitted``, slice by slice in order of time. Partitions are
+    streamed; the state is the last ``limit`` admitted times of the slice."""
+    groups = [key, "_seg", "_slice"]
+    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, "_us", order_by)
+    schema = T.StructType([*rows.schema.fields, T.StructField("admitted", T.BooleanType())])
+    at = {c: rows.columns.index(c) for c in (*groups, "_us")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, deque()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = lambda c: batch.column(at[c]).to_numpy(zero_copy_only=False)
+            us, marks = values("_us"), [values(c) for c in groups]
+            differs = np.zeros(len(us) - 1, bool)
+            for m in marks:
+                differs |= m[1:] != m[:-1]
+            edges = [0, *(np.flatnonzero(differs) + 1).tolist(), len(us)]
+            admitted = np.zeros(len(us), bool)
+            for lo, hi in zip(edges, edges[1:]):
+                name = tuple(m[lo] for m in marks)
+                if name != current:
+                    current, held = name, deque()
+                admitted[lo:hi] = _admit(us[lo:hi], held, limit, width)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted)], names=schema.names)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _in_slices(
+    rows: DataFrame, stretches: DataFrame, depth: int, key: str, order_by: str, limit: int, width: int
+) -> DataFrame:
+    """Long stretches, their slices worked side by side.
+
+    A slice ends with a whole bucket, and the window reaches no further back
+    than one bucket, so what a slice must know of the one before are the requests
+    admitted in its last bucket, at most ``limit``. All slices start with a
+    guess (nothing); those that were told something else by their predecessor
+    are worked again, until none is. After ``n`` rounds the first ``n`` slices of
+    a stretch are certain, so this ends with the exact result; in practice
+    limiters forget their start within a few windows and so it ends early.
+    """
+    name = [key, "_seg", "_slice"]
+    rows = materialize(rows)
+    last = materialize(stretches.filter("_busy").groupBy(*name).agg(F.max("_b").alias("_b")))
+    following = last.select(*name)
+    verdict = materialize(_in_order(rows, key, order_by, limit, width))
+    told = None
+    for turn in range(depth + 1):
+        handed = (
+            verdict.filter("admitted and not _warm")
+            .join(last, [*name, "_b"], "left_semi")
+            .select(key, "_seg", (F.col("_slice") + 1).alias("_slice"), "_us")
+            .groupBy(*name)
+            .agg(F.sort_array(F.collect_list("_us")).alias("_carry"))
+            .join(following, name, "left_semi")
+        )
+        handed = materialize(handed)
+        if told is None:
+            changed = handed
+        else:
+            changed = handed.join(told.withColumnRenamed("_carry", "_old"), name, "full").filter(
+                ~F.col("_carry").eqNullSafe(F.col("_old"))
+            )
+        changed = materialize(changed.select(*name, "_carry"))
+        if changed.isEmpty():
+            break
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in (*name, "_us", "_warm")]
+        carried = changed.select(*name, F.explode("_carry").alias("_us"), F.lit(True).alias("_warm"), *nothing)
+        again = rows.join(changed, name, "left_semi").unionByName(carried.select(*rows.columns))
+        fresh = materialize(_in_order(again, key, order_by, limit, width))
+        verdict = verdict.join(changed, name, "left_anti").unionByName(fresh)
+        if turn % 5 == 4:
+            verdict = materialize(verdict)
+        told = handed
+    return verdict
 
 
 def rate_limit(
@@ -118,56 +214,33 @@ def rate_limit(
     order_by: str,
     limit: int = RATE_LIMIT_REQUESTS,
     window_seconds: int = RATE_LIMIT_WINDOW_SECONDS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Adds ``admitted``. Requests of one time are taken by ``order_by``.
 
     Counts per client and bucket, made before the shuffle, decide most requests.
-    Only busy stretches are taken in order; they are streamed through sorted
-    partitions with the last ``limit`` admitted times as the only state, never
-    gathered.
+    Only busy stretches are taken in order, and long ones in slices.
     """
     ship_package(events.sparkSession)
     width = window_seconds * 1_000_000
     rows = _bucketed(events, ts, width)
     per_bucket = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("n"))
-    placed = rows.join(_stretches(per_bucket, key, limit), [key, "_b"])
+    stretches = materialize(_stretches(per_bucket, key, limit, slice_rows))
+    placed = rows.join(stretches, [key, "_b"])
     quiet = placed.filter(~F.col("_busy")).select(*events.columns, F.lit(True).alias("admitted"))
-
-    part = lambda seg, warm: [
-        *events.columns, "_us", F.col(seg).alias("_seg"), F.lit(warm).alias("_warm")
-    ]
-    ordered = (
-        placed.filter("_busy")
-        .select(*part("_seg", False))
-        .unionByName(placed.filter("_warm_for is not null").select(*part("_warm_for", True)))
-        .repartition(key, "_seg")
-        .sortWithinPartitions(key, "_seg", "_us", order_by)
+    marks = ("_us", "_b", "_seg", "_slice", "_warm")
+    busy = placed.filter("_busy").withColumn("_warm", F.lit(False))
+    warm = (
+        placed.filter("_warm_for is not null")
+        .drop("_seg", "_slice")
+        .withColumn("_seg", F.col("_warm_for"))
+        .withColumn("_slice", F.lit(0))
+        .withColumn("_warm", F.lit(True))
     )
-    n_cols = len(events.columns)
-    key_at = events.columns.index(key)
-    schema = T.StructType(
-        [*events.schema.fields, T.StructField("admitted", T.BooleanType()), T.StructField("_warm", T.BooleanType())]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, deque()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            us = batch.column(n_cols).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            seg = batch.column(n_cols + 1).to_numpy(zero_copy_only=False)
-            client = batch.column(key_at).to_numpy(zero_copy_only=False)
-            change = np.flatnonzero((seg[1:] != seg[:-1]) | (client[1:] != client[:-1])) + 1
-            edges = [0, *change.tolist(), len(us)]
-            admitted = np.zeros(len(us), bool)
-            for lo, hi in zip(edges, edges[1:]):
-                if (client[lo], seg[lo]) != current:
-                    current, held = (client[lo], seg[lo]), deque()
-                admitted[lo:hi] = _admit(us[lo:hi], held, limit, width)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n_cols], pa.array(admitted), batch.column(n_cols + 2)],
-                names=schema.names,
-            )
-
-    return quiet.unionByName(ordered.mapInArrow(run, schema).filter("not _warm").drop("_warm"))
-
+    together = busy.select(*events.columns, *marks).unionByName(warm.select(*events.columns, *marks))
+    depth = stretches.agg(F.max("_slice").alias("d")).first()["d"] or 0
+    if depth == 0:
+        judged = _in_order(together, key, order_by, limit, width)
+    else:
+        judged = _in_slices(together, stretches, depth, key, order_by, limit, width)
+    return quiet.unionByName(judged.filter("not _warm").select(*events.columns, "admitted"))

@@ -46,14 +46,15 @@ def test_limit_by_hand(spark):
     assert [got[i] for i in range(6)] == [True, True, False, True, False, True]
 
 
-@pytest.mark.parametrize("limit, window", [(1, 7), (2, 10), (5, 30)])
-def test_limit_equals_a_plain_loop(spark, limit, window):
-    """One client sends a third of all requests; some times are equal."""
+@pytest.mark.parametrize("limit, window, slice_rows", [(2, 10, 1000), (1, 7, 60), (5, 30, 100)])
+def test_limit_equals_a_plain_loop(spark, limit, window, slice_rows):
+    """One client sends a third of all requests; some times are equal. Small
+    slices make its stretch be worked in several rounds."""
     rng = random.Random(limit)
     rows = [("hot", rng.randint(0, 400)) for _ in range(500)]
     rows += [(f"c{rng.randint(0, 30)}", rng.choice([rng.randint(0, 2000), rng.randint(0, 50)])) for _ in range(1000)]
-    got = verdicts(R.rate_limit(requests(spark, rows), "client", "ts", "event_id", limit, window))
-    assert got == plain_limit(rows, limit, window)
+    out = R.rate_limit(requests(spark, rows), "client", "ts", "event_id", limit, window, slice_rows)
+    assert verdicts(out) == plain_limit(rows, limit, window)
 
 
 def test_window_count(spark):
