@@ -13,7 +13,7 @@ from lexivane.config import DEFAULTS, DOCUMENT_PREFIX, QUERY_PREFIX
 from lexivane.functions.terms import tokens
 from lexivane.functions.text import let
 from lexivane.functions.vectors import l2_normalize, truncate_tokens, zero_fallback, zeros
-from lexivane.session import ship_package
+from lexivane.session import bounded_broadcast, materialize, ship_package
 
 
 def task_prefix(c: Column, kind: str) -> Column:
@@ -101,18 +101,27 @@ def embed_udf(
 
 
 def embed_dedup(
-    df: DataFrame, text_col: str, embed: Callable[[DataFrame], DataFrame]
+    df: DataFrame, text_col: str, embed: Callable[[DataFrame], DataFrame], hot: int = 100_000
 ) -> DataFrame:
     """Encode every distinct text once and hand the vector to all its copies.
 
-    Copies collapse before the shuffle. A text that fills a third of the table
-    makes one large key on the way back; that join is an inner one on plain
-    columns, which adaptive execution splits.
+    Copies collapse before the shuffle. On the way back, a text with more than
+    ``hot`` copies is cut into parts of about that many rows, and its vector is
+    repeated for each part, so that no join key is larger.
     """
-    keyed = df.withColumn("_h", F.sha2(F.col(text_col), 256))
+    keyed = df.withColumn("_h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     reps = keyed.groupBy("_h").agg(F.min(text_col).alias(text_col))
-    vectors = embed(reps).drop(text_col)
-    return keyed.join(vectors, "_h").drop("_h")
+    copies = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
+    # there are at most rows / hot of these
+    large = materialize(copies.select("_h", F.ceil(F.col("n") / hot).cast("int").alias("_parts")))
+    side = bounded_broadcast(large)
+    part = F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")
+    rows = keyed.join(side, "_h", "left").withColumn("_part", part).drop("_parts")
+    vectors = embed(reps).drop(text_col).join(side, "_h", "left")
+    repeated = vectors.withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    ).drop("_parts")
+    return rows.join(repeated, ["_h", "_part"]).drop("_h", "_part")
 
 
 def mean_pool(df: DataFrame, group: str, vec: str) -> DataFrame:

@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from lexivane.functions.text import unnest
 from lexivane.operators.chunking import chunk_documents, sentences
 from lexivane.operators.postings import TextIndex
-from lexivane.session import scratch_path
+from lexivane.session import materialize, scratch_path
 from lexivane.sources.index_store import IndexStore
 from lexivane.sources.tables import document_corpus, spread, table, turn_corpus
 
 _stores: dict[tuple[str, str, str, bool], IndexStore] = {}
+_steps: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    """A step that several queries start from, stored once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _steps:
+        _steps[key] = materialize(make())
+    return _steps[key]
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:

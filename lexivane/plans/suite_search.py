@@ -150,7 +150,9 @@ def bm25_stemmed(spark, sf):
 
 def _lists(spark, sf):
     q, ix = inputs.questions(spark, sf), inputs.index(spark, sf, "documents")
-    return q, knn(embed_queries(q), ix.embeddings), B.bm25_topk(q, ix), ix
+    vec = inputs.once(spark, sf, "vec", lambda: knn(embed_queries(q), ix.embeddings))
+    kw = inputs.once(spark, sf, "kw", lambda: B.bm25_topk(q, ix))
+    return q, vec, kw, ix
 
 
 _FUSE = f"{_SEARCH}, {VECTOR_SEARCH}, {FUSED}"
@@ -234,7 +236,7 @@ _HYBRID = f"{_CHUNK_SEARCH}, {VECTOR_SEARCH}, {FUSED}"
 def _hits(spark, sf):
     """The five best chunks per question by keyword."""
     ix = inputs.index(spark, sf, "chunks")
-    return ix, materialize(B.bm25_topk(inputs.questions(spark, sf), ix, k=5))
+    return ix, inputs.once(spark, sf, "hits", lambda: B.bm25_topk(inputs.questions(spark, sf), ix, k=5))
 
 
 _Q_HITS = "hits as (select * from bm25 where rank <= 5)"

@@ -218,7 +218,9 @@ def test_equal_texts_are_encoded_once(spark):
 
     assert embed_dedup(df, "t", embed).count() == 30 and seen == [11]
     plain = {r["id"]: r["embedding"] for r in embed_hash(df, "t", 8).collect()}
-    assert {r["id"]: r["embedding"] for r in embed_dedup(df, "t", embed).collect()} == plain
+    for hot in (100, 3):
+        got = embed_dedup(df, "t", embed, hot).collect()
+        assert len(got) == 30 and {r["id"]: r["embedding"] for r in got} == plain
     assert not embed_hash(spark.createDataFrame([(" ",), (None,)], "t string"), "t", 8).filter("embed_ok").count()
 
 
