@@ -46,3 +46,9 @@ def word_list(text: Column) -> Column:
 def tiles(rows: int, groups: int = 1) -> int:
     """Tiles for each of ``groups`` groups, so that a tile stays near TILE_ROWS."""
     return max(1, -(-rows // (TILE_ROWS * groups)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: lambdas over an expression would
+    compute it again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
