@@ -1,6 +1,7 @@
 """Words and word n-grams of Arrow text columns as 64-bit hashes, in numpy.
 
-A word is a run of bytes other than the six ASCII blanks; A-Z count as a-z. Texts
+A word is a run of bytes other than the six ASCII blanks, or than those marked in
+``blank``; A-Z count as a-z. Texts
 are worked in pieces of about ``PIECE`` bytes that end at a blank, so memory follows
 the piece, not the longest text.
 """
@@ -19,6 +20,8 @@ _VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.ui
 _VALUES[65:91] = _VALUES[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+# for ``blank=``: punctuation separates words too
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -40,8 +43,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _piece_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    full = ~_BLANK[b]
+def _piece_words(b: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    full = ~blank[b]
     edge = np.flatnonzero(np.diff(full, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
     power, back = _powers(len(b) + 1)
@@ -63,24 +66,24 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def text_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def text_words(data: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end byte of each word of one text."""
     if len(data) <= PIECE:
-        return _piece_words(data)
+        return _piece_words(data, blank)
     parts, low = [], 0
     while low < len(data):
         high = min(low + PIECE, len(data))
-        while high < len(data) and not _BLANK[data[high]]:
-            gap = np.flatnonzero(_BLANK[data[high : high + 4096]])
+        while high < len(data) and not blank[data[high]]:
+            gap = np.flatnonzero(blank[data[high : high + 4096]])
             high += int(gap[0]) if len(gap) else 4096
         high = min(high, len(data))
-        h, s, e = _piece_words(data[low:high])
+        h, s, e = _piece_words(data[low:high], blank)
         parts.append((h, s + low, e + low))
         low = high
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def batch_words(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def batch_words(column, blank: np.ndarray = _BLANK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text in turn: (bytes, word hashes, word starts, word ends).
 
     Short texts are hashed together, joined by a blank.
@@ -91,14 +94,14 @@ def batch_words(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
         j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
         if j == i + 1:
             own = data[at[i] : at[j]]
-            yield (own, *text_words(own))
+            yield (own, *text_words(own, blank))
         else:
             lengths = np.diff(at[i : j + 1])
             first = at[i:j] - at[i] + np.arange(j - i)
             joined = np.full(int(at[j] - at[i]) + j - i, 32, np.uint8)
             shift = np.repeat(np.arange(j - i), lengths)
             joined[np.arange(at[j] - at[i]) + shift] = data[at[i] : at[j]]
-            h, s, e = _piece_words(joined)
+            h, s, e = _piece_words(joined, blank)
             cut = np.searchsorted(s, np.append(first, len(joined)))
             for k in range(j - i):
                 own = slice(cut[k], cut[k + 1])
