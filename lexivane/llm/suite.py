@@ -1,4 +1,4 @@
 """Imports the modules that register queries."""
 
-from lexivane.llm import chat, decontaminate, jaccard, mixing, quality, sharding  # noqa: F401
+from lexivane.llm import chat, decontaminate, jaccard, mixing, quality, secrets, sharding  # noqa: F401
 from lexivane.llm.common import QUERIES, SQL  # noqa: F401
