@@ -179,7 +179,6 @@ def _list_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs``."""
-    spark = docs.sparkSession
     rows = materialize(token_sets(docs, words, 0.0, REGION))
     nodes = materialize(
         rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("toks").alias("toks"))
@@ -262,6 +261,14 @@ def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     )
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the least id of their component, once each, with all
+    their columns. Rows with a null id stay where their component has no other id."""
+    ids = similar_sets(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = materialize(ids.select(F.col("doc_id").alias("__keep")).distinct())
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def _rows_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows whose id is the label of one of ``nodes`` (rows of other sets among them)."""
     labels = bounded_broadcast(nodes.select(F.col("label").alias("__label")).distinct())

@@ -40,7 +40,7 @@ r as (
     sum(w) over (order by held / w, source rows between current row and unbounded following) as w_left,
     (select 1.5::double * sum(held) from s) as budget
   from s window before as (order by held / w, source rows between unbounded preceding and 1 preceding)),
-level as (select min(case when (budget - full_before) / w_left <= 2.0 * held / w then (budget - full_before) / w_left end) as v from r),
+level as (select max(case when (budget - full_before) / w_left <= 2.0 * held / w then (budget - full_before) / w_left end) as v from r),
 t as (select source, cast(held as bigint) as source_size, least(2.0 * held, w * coalesce(v, 0)) as target from r, level),
 q as (
   select d.*, source_size, target,
@@ -56,7 +56,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     """``source, source_size, target`` from (source, size) rows.
 
     Targets are min(2 * size, weight * level); the level at which they use up the
-    budget follows from prefix sums over the sources in the order they are full.
+    budget follows from prefix sums over the sources in the order they are full. It is
+    that of the first source it does not fill; those of later ones are lower.
     """
     every = Window.partitionBy()
     full = Window.orderBy(F.col("held") / F.col("w"), F.col("source").asc_nulls_last())
@@ -70,7 +71,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         .withColumn("w_left", F.sum("w").over(full.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", (F.col("budget") - F.col("before")) / F.col("w_left"))
     )
-    level = F.min(F.when(F.col("level") <= MOST * F.col("held") / F.col("w"), F.col("level"))).over(every)
+    level = F.max(F.when(F.col("level") <= MOST * F.col("held") / F.col("w"), F.col("level"))).over(every)
     return s.withColumn("v", F.coalesce(level, F.lit(0.0))).select(
         "source",
         F.col("held").alias("source_size"),

@@ -183,10 +183,11 @@ def shard_digest(docs: DataFrame, n_shards: int = 8) -> DataFrame:
 
 def shard_rows(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """The rows themselves with ``shard`` and ``slot``."""
-    rows = keyed(docs.drop("shard", "slot"))
+    docs = docs.drop("shard", "slot")
+    rows = keyed(docs)
     digest = materialize(rows.select(KEY, PLACE, SIZE))
     placed = rows.withColumn("shard", shard_of(boundaries(digest, n_shards)))
-    return number_rows(placed, digest.count(), n_shards).drop(KEY, PLACE, SIZE)
+    return number_rows(placed, digest.count(), n_shards).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
 
 
 @query("op7_sharding")
