@@ -72,8 +72,9 @@ class Encoder:
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text followed by ``end``, and the number of ids of each text."""
+    def encode(self, texts: list[str], end: int, pieces: bool = False) -> tuple[np.ndarray, ...]:
+        """All ids, each text followed by ``end``, and the number of ids of each text;
+        with ``pieces`` also the number of ids of each word and end."""
         words = [_CHUNK.findall(t) for t in texts]
         if len(self.code) > WORDS_HELD:
             self._clear()
@@ -86,7 +87,8 @@ class Encoder:
         edge = np.append(0, np.cumsum(n))
         own = at[edge[1:]] - at[edge[:-1]]
         ids = self.flat[np.repeat(self.first[codes] - at[:-1], size) + np.arange(at[-1])]
-        return np.insert(ids, at[edge[1:]], end).astype(np.uint32), own + 1
+        out = np.insert(ids, at[edge[1:]], end).astype(np.uint32), own + 1
+        return (*out, np.insert(size, edge[1:], 1)) if pieces else out
 
 
 def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
