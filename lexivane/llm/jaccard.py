@@ -14,9 +14,8 @@ least estimated cost: entries read, and candidates, of which each needs all matc
    has a prefix that reaches so far, so all nodes agree on what is hot.
 3. Nodes that share enough entries are candidates. A list holds at most ``HOT`` nodes.
 4. Nodes with too few entries that are not hot even in their whole set (families of
-   many near copies) are compared with pivots of their lists, twice as many per round,
-   until each list lies in one component or all its pairs are judged. Most families
-   are joined by their first pivots; members of a component are not compared again.
+   many near copies) are joined by a few pivots; those still apart from the largest
+   component of their family are compared with all of the family, block by block.
 5. Candidates are verified on their whole sets; nodes known to be connected by a first
    round of one candidate each are not verified again.
 
@@ -43,6 +42,9 @@ REGION = 0.22  # of the hash values
 EXTRA = (0, 2, 5)  # extra matches that a prefix may ask for
 VERIFY = 8.0  # cost of a candidate, in list entries
 HASHES = 1 << 63
+PIVOT_ROUNDS, PIVOT_LISTS = 3, 4
+BLOCK = 512  # nodes of a side of a block
+SLICE = 4096  # entries that a matrix product takes at once
 
 
 def _sets(words: int, low: float, high: float):
@@ -213,9 +215,9 @@ def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     )
     entries = every.select("node", "n", "l", "k", F.explode(F.filter("hits", lambda h: (h["df"] <= HOT) & (h["pos"] < F.col("p")))).alias("h"))
     pairs = materialize(_list_pairs(entries.select("node", "n", "l", "k", F.col("h.tok").alias("tok")), percent))
+    long_ = F.sort_array(F.filter("hits", lambda h: (h["df"] > HOT) & (h["pos"] < _spare(F.col("n"), percent))))
     lists = materialize(
-        dense.select("node", "n", F.explode(F.filter("hits", lambda h: (h["df"] > HOT) & (h["pos"] < _spare(F.col("n"), percent)))).alias("h"))
-        .select("node", "n", F.col("h.tok").alias("tok"))
+        dense.select("node", "n", F.posexplode(long_).alias("nth", "h")).select("node", "n", "nth", F.col("h.tok").alias("tok"))
     )
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(lists.select("node")).distinct()
     wanted = materialize(nodes.select("node", "label").join(involved, "node", "left_semi"))
@@ -232,24 +234,8 @@ def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     apart = _apart(pairs, found)
     links = links.union(verified(apart, sets, percent))
     found = components(links)
-    step = 0
-    while True:
-        at = lists.join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        mixed = at.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
-        lists = materialize(at.join(mixed, "tok"))
-        if lists.isEmpty():
-            break
-        # a new hash each round, so that other members become the pivots
-        draw = F.xxhash64("node", F.lit(step))
-        chosen = lists.groupBy("tok", F.pmod(draw, F.lit(1 << step)).alias("part")).agg(F.min_by(F.struct("node", "n", "comp"), draw).alias("q"))
-        pivots = materialize(chosen.select("tok", "q"))
-        put = lists.join(pivots, "tok").where("q.comp <> comp")
-        put = put.where((F.least("n", "q.n") * 100) >= (F.greatest("n", "q.n") * percent))
-        tried = put.select(F.least("node", "q.node").alias("a"), F.greatest("node", "q.node").alias("b")).distinct()
-        links = materialize(links.union(verified(tried, sets, percent)))
-        found = components(links)
-        lists = lists.join(pivots.select("tok", F.col("q.node").alias("node")), ["tok", "node"], "left_anti").select("node", "n", "tok")
-        step += 1
+    links = materialize(_dense_links(lists, sets, links, found, percent))
+    found = components(links)
 
     roots = materialize(nodes.select("node", "label").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = roots.groupBy("root").agg(F.min("label").alias("component_id"))
@@ -261,6 +247,99 @@ def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     )
 
 
+def _mixed(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists whose nodes are not all in one component, with ``comp``."""
+    at = lists.join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    apart = at.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
+    return at.join(apart, "tok")
+
+
+def _dense_links(lists: DataFrame, sets: DataFrame, links: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``links`` and those between nodes of long lists (node, n, pos, tok).
+
+    A few rounds join most of a family by pivots of some of its lists. What is still
+    apart is compared by blocks of a family: the nodes outside its largest component
+    with all of its nodes. Blocks count shared entries as matrix products and give
+    links only, so pairs are never rows.
+    """
+    starts = lists.where(F.col("nth") < PIVOT_LISTS).select("node", "n", "tok")
+    for step in range(PIVOT_ROUNDS):
+        at = materialize(_mixed(starts, found))
+        draw = F.xxhash64("node", F.lit(step))  # other members become the pivots
+        chosen = at.groupBy("tok", F.pmod(draw, F.lit(1 << step)).alias("part"))
+        pivots = chosen.agg(F.min_by(F.struct("node", "n", "comp"), draw).alias("q")).select("tok", "q")
+        put = at.join(pivots, "tok").where("q.comp <> comp")
+        put = put.where((F.least("n", "q.n") * 100) >= (F.greatest("n", "q.n") * percent))
+        tried = put.select(F.least("node", "q.node").alias("a"), F.greatest("node", "q.node").alias("b")).distinct()
+        links = materialize(links.union(verified(tried, sets, percent)))
+        found = components(links)
+
+    at = materialize(_mixed(lists.select("node", "n", "tok"), found))
+    heads = at.groupBy("tok").agg(F.min("node").alias("b"))
+    families = components(at.join(heads, "tok").select(F.col("node").alias("a"), "b"))
+    members = at.select("node", "comp").distinct().join(families.withColumnRenamed("root", "family"), "node")
+    sizes = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("family").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.max("m").alias("k"))
+    placed = materialize(members.join(largest, "family"))
+
+    def blocks(rows: DataFrame, own: Column, other: Column, side: str) -> DataFrame:
+        """Each node once for each block of the other side; a side has size / BLOCK parts."""
+        n, m = F.ceil(own / F.lit(BLOCK)), F.ceil(other / F.lit(BLOCK))
+        mine = F.pmod(F.xxhash64("node"), n)
+        names = ("i", "j") if side == "L" else ("j", "i")
+        keyed = rows.select("family", "node", "comp", mine.alias(names[0]), F.explode(F.sequence(F.lit(0).cast("bigint"), m - 1)).alias(names[1]))
+        return keyed.select("family", "i", "j", "node", "comp", F.lit(side).alias("side"))
+
+    few, all_ = F.col("m") - F.col("k"), F.col("m")
+    left = blocks(placed.where("comp <> most"), few, all_, "L")
+    right = blocks(placed, all_, few, "R")
+    dealt = left.union(right).join(sets, "node")
+    more = dealt.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
+    return links.union(more)
+
+
+def _block_links(percent: int):
+    def run(block: pa.Table) -> pa.Table:
+        side = np.array(block.column("side").to_pylist())
+        node, comp = (block.column(c).to_numpy() for c in ("node", "comp"))
+        lists = block.column("toks").combine_chunks()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        toks, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+        left, right = np.flatnonzero(side == "L"), np.flatnonzero(side == "R")
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        words, code = np.unique(toks, return_inverse=True)
+        is_left = side[row] == "L"
+        both = np.zeros((2, len(words)), bool)
+        both[0, code[is_left]], both[1, code[~is_left]] = True, True
+        new = np.cumsum(both.all(0)) - 1  # only words of both sides can be shared
+        keep = both.all(0)[code]
+        code, row = new[code[keep]], row[keep]
+        place = np.zeros(len(size), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        same = np.zeros((len(left), len(right)))
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        edge = np.searchsorted(code, np.arange(0, int(code[-1]) + 1 + SLICE, SLICE)) if len(code) else [0]
+        for a, z in zip(edge[:-1], edge[1:]):
+            low = code[a] if z > a else 0
+            x, y = np.zeros((len(left), SLICE), np.float32), np.zeros((len(right), SLICE), np.float32)
+            own, is_l = row[a:z], side[row[a:z]] == "L"
+            at = code[a:z] - (low // SLICE) * SLICE
+            x[place[own[is_l]], at[is_l]] = 1
+            y[place[own[~is_l]], at[~is_l]] = 1
+            same += x @ y.T
+        total = size[left][:, None] + size[right][None, :]
+        apart = comp[left][:, None] != comp[right][None, :]
+        l, r = np.nonzero(apart & (100 * same >= percent * (total - same)))
+        # one link for each two components is enough
+        _, one = np.unique(np.stack([comp[left[l]], comp[right[r]]]), axis=1, return_index=True)
+        a, b = node[left[l[one]]], node[right[r[one]]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the least id of their component, once each, with all
     their columns. Rows with a null id stay where their component has no other id."""
