@@ -1,4 +1,4 @@
 """Imports the modules that register queries."""
 
-from lexivane.llm import chat, decontaminate, jaccard, lm, mixing, quality, secrets, sharding, token_files  # noqa: F401
+from lexivane.llm import chat, decontaminate, jaccard, licenses, lm, mixing, quality, secrets, sharding, token_files  # noqa: F401
 from lexivane.llm.common import QUERIES, SQL  # noqa: F401
