@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from lexivane.llm.common import WORD, query, table, text_or_empty
 from lexivane.session import materialize
 
-# fixed values: short notices by licence
+# fixed values: short notices and titles by licence
 TEMPLATES = (
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
@@ -34,7 +35,9 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under the CC0 1.0 license"),
     ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License version 3"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
+    ("MIT", "MIT License"),
     ("MIT", "Released under the MIT License"),
     ("MPL-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
 )
@@ -77,17 +80,17 @@ def best_templates(files: DataFrame, spark: SparkSession) -> DataFrame:
     )
     df = tf.groupBy("term").agg(F.sum("times").alias("df"))
     known = spark.createDataFrame(list(TEMPLATES), "license string, text string")
-    model = known.select("license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("t"))
+    model = known.select("license", "text", F.explode(_terms(F.col("text"))).alias("term")).groupBy("license", "text", "term").agg(F.count(F.lit(1)).alias("t"))
 
     def idf(df: Column) -> Column:
         return F.log((F.lit(n) + 1.0) / (F.coalesce(df, F.lit(0)) + 1.0)) + 1.0
 
     weighed = tf.join(df, "term").select("nid", "term", (F.col("tf") * idf(F.col("df"))).alias("w"))
     norm = weighed.groupBy("nid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    models = model.join(df, "term", "left").select("license", "term", (F.col("t") * idf(F.col("df"))).alias("m"))
-    sizes = models.groupBy("license").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("size"))
-    models = F.broadcast(models.join(sizes, "license"))  # the terms of TEMPLATES
-    dots = weighed.join(models, "term").groupBy("nid", "license", "size").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
+    models = model.join(df, "term", "left").select("license", "text", "term", (F.col("t") * idf(F.col("df"))).alias("m"))
+    sizes = models.groupBy("license", "text").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("size"))
+    models = F.broadcast(models.join(sizes, ["license", "text"]))  # the terms of TEMPLATES
+    dots = weighed.join(models, "term").groupBy("nid", "license", "text", "size").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
     scores = dots.join(norm, "nid").withColumn("score", F.round(F.col("dot") / F.col("norm") / F.col("size"), PLACES))
     # the greatest score, then the first name
     best = scores.where(F.col("score") >= LEAST).groupBy("nid").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
@@ -140,16 +143,16 @@ tf as (
 df as (select term, count(*) as df from tf group by term),
 n as (select count(*) as n from h),
 m as (
-  select license, term, count(*) as t from (
-    select license, unnest(regexp_extract_all(lower(text), '{TERM}')) as term from (values {_ROWS}) v(license, text))
-  group by license, term),
+  select license, text, term, count(*) as t from (
+    select license, text, unnest(regexp_extract_all(lower(text), '{TERM}')) as term from (values {_ROWS}) v(license, text))
+  group by license, text, term),
 w as (select rid, term, tf * (ln((n + 1.0::double) / (df + 1)) + 1) as w from tf join df using (term), n),
-mw as (select license, term, t * (ln((n + 1.0::double) / (coalesce(df, 0) + 1)) + 1) as m from m left join df using (term), n),
+mw as (select license, text, term, t * (ln((n + 1.0::double) / (coalesce(df, 0) + 1)) + 1) as m from m left join df using (term), n),
 c as (
   select rid, license, round(sum(w * m) / any_value(a.s) / any_value(b.s), 6) as score
   from w join mw using (term) join (select rid, sqrt(sum(w * w)) as s from w group by rid) a using (rid)
-    join (select license, sqrt(sum(m * m)) as s from mw group by license) b using (license)
-  group by rid, license),
+    join (select license, text, sqrt(sum(m * m)) as s from mw group by license, text) b using (license, text)
+  group by rid, license, text),
 best as (select rid, license, score from c where score >= 0.5 qualify row_number() over (partition by rid order by score desc, license) = 1),
 named as (select f.rid, f.doc_id, f.path, f.dir, coalesce(whole, false) as whole, license, score from f left join h using (rid) left join best using (rid)),
 own as (

@@ -5,7 +5,8 @@ the id is not ``HELD`` modulo ``FOLDS``). A causal self-attention model over sub
 classes (``attention.py``) is trained in ``ROUNDS`` rounds: in each, every task trains
 the current weights on its part of a sample of the training documents, and the
 weights' mean by tokens starts the next round. The sample is a fixed share (``RATE``) of
-the documents, more for a small corpus (``LEAST_WORDS``); it grows with the input.
+the documents, more for a small corpus (``LEAST_WORDS``), which is also passed several
+times; it grows with the input.
 
 Classes are the subword ids most frequent in training and one class for the others,
 within which the training frequencies decide. A word's probability is that of its
@@ -40,6 +41,7 @@ from lexivane.session import materialize, ship_package
 FOLDS, HELD = 7, 2
 RATE = 1 / 48
 LEAST_WORDS = 200_000
+PASSES = 6  # at most, in a round over a corpus of fewer words
 ROUNDS = 3
 STEPS = (0.01, 0.005, 0.0025)  # learning rate of each round
 BASE_SHARE = 0.3
@@ -97,8 +99,8 @@ def _count(shared, end: int):
     return run
 
 
-def _train(shared, weights, class_of, end: int, step: float, seed: int):
-    """text -> one row: the weights after a pass over the task's texts, times targets."""
+def _train(shared, weights, class_of, end: int, step: float, seed: int, passes: int):
+    """text -> one row: the weights after ``passes`` over the task's texts, times targets."""
 
     def run(batches):
         encoder, classes = _encoder(shared.value), class_of.value
@@ -110,7 +112,8 @@ def _train(shared, weights, class_of, end: int, step: float, seed: int):
                 y = classes[ids]
                 inputs, valid, place = attention.windows(y, n)
                 targets = np.where(place >= 0, y[np.maximum(place, 0)], -1)
-                model = attention.train(model, inputs, valid, targets, step, seed)
+                for again in range(passes):
+                    model = attention.train(model, inputs, valid, targets, step, seed + 100 * again)
                 done += len(y)
         if done:
             total = attention.pack(model) * done
@@ -233,9 +236,10 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     class_of, share = sc.broadcast(class_of), sc.broadcast(log_share)
     rate = min(1.0, max(RATE, LEAST_WORDS / max(total, 1)))
     drawn = learn.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    passes = min(PASSES, max(1, -(-2 * LEAST_WORDS // max(1, int(total * rate)))))
     for i in range(ROUNDS if total else 0):
         now = sc.broadcast(weights.astype(np.float32))
-        rows = drawn.select("text").mapInArrow(_train(shared, now, class_of, end, STEPS[i], i), "n bigint, w array<double>")
+        rows = drawn.select("text").mapInArrow(_train(shared, now, class_of, end, STEPS[i], i, passes), "n bigint, w array<double>")
         weights = _mean_weights(rows, weights)
     now = sc.broadcast(weights.astype(np.float32))
 

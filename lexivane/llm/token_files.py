@@ -205,7 +205,7 @@ class Shard:
 _encoders: dict[int, Encoder] = {}
 
 
-def _write_shards(shared, end: int, base: int, id_type):
+def _write_shards(shared, end: int, base: int, id_type, shard_ids: int):
     def run(batches):
         key = zlib.crc32(shared.value.encode())
         if key not in _encoders:  # kept by the worker for its next tasks
@@ -224,7 +224,7 @@ def _write_shards(shared, end: int, base: int, id_type):
             low = 0
             while low < batch.num_rows:
                 high, size = low, 0
-                while high < batch.num_rows and size < TEXT_BYTES:
+                while high < batch.num_rows and size < min(TEXT_BYTES, 4 * shard_ids):
                     size += len(texts[high].as_buffer() or b"") if texts[high].is_valid else 0
                     high += 1
                 got, own = encoder.encode([t or "" for t in texts.slice(low, high - low).to_pylist()], end)
@@ -233,7 +233,7 @@ def _write_shards(shared, end: int, base: int, id_type):
                 docs.append(batch.column("doc_id").slice(low, high - low))
                 held += len(got)
                 low = high
-                if held >= SHARD_IDS:
+                if held >= shard_ids:
                     yield flush()
                     ids, counts, docs, held, n = [], [], [], 0, n + 1
         if held:
@@ -242,7 +242,7 @@ def _write_shards(shared, end: int, base: int, id_type):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end: int, path: str) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end: int, path: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the shards of ``docs`` to ``path`` and returns them as they were read back."""
     from tokenizers import Tokenizer
 
@@ -263,7 +263,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int, path: str)
     )
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind.simpleString()]
     ordered = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return write_and_read(ordered.mapInArrow(_write_shards(shared, end, base, id_type), schema), path)
+    return write_and_read(ordered.mapInArrow(_write_shards(shared, end, base, id_type, shard_ids), schema), path)
 
 
 def _read_shards(batches):

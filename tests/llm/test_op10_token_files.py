@@ -19,14 +19,13 @@ def brute(rows):
     return out
 
 
-def test_files_hold_the_ids_of_whole_texts_in_order(spark, folder, monkeypatch):
-    monkeypatch.setattr(tf, "SHARD_IDS", 5000)
+def test_files_hold_the_ids_of_whole_texts_in_order(spark, folder):
     rng = random.Random(4)
     odd = ["", None, "It's don't I'LL", "<|endoftext|> a<|startoftext|>b", "é É ß 🙂́ x y\x1cz\x85q", "a\tb\r\nc\x0bd\x0ce", "1234 5", "É ﬁ Σας ΣΑΣ", "x" * 5000, "word " * 40_000]
     rows = [(i * 7 % 211, rng.choice(odd[:-1]) if i % 2 else " ".join(rng.choice(["the", "Of", "anda", "the."]) for _ in range(rng.choice([3, 300])))) for i in range(211)]
     rows += [(1000 + i, t) for i, t in enumerate(odd)] + [(None, "null id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr("*", "1 as part", "2 as seq", "'p' as payload")
-    shards = tf.write_token_files(df, PATH, 1, folder + "/ids")
+    shards = tf.write_token_files(df, PATH, 1, folder + "/ids", shard_ids=5000)
     assert shards.count() > 4
     got = sorted(map(tuple, tf.read_token_files(shards).collect()), key=lambda r: r[1])
     assert got == brute(rows)
