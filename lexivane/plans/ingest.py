@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexivane.config import DEFAULTS
 from lexivane.operators.chunking import chunk_documents
 from lexivane.operators.pages import clean_pages, seed_select, split_ok_quarantine
-from lexivane.operators.stats import observed
+from lexivane.session import materialize
 from lexivane.sources.index_store import IndexStore
 from lexivane.sources.tables import spread
 
@@ -28,18 +29,24 @@ def run_ingest(
     size: int = DEFAULTS.chunk_size,
     overlap: int = DEFAULTS.chunk_overlap,
     clear: bool = False,
+    quarantine: str | None = None,
 ) -> IngestStats:
-    """Chunks ``doc_key, url, title, content`` into ``store``. The counts are
-    taken while the chunks are written, not by extra passes."""
+    """Chunks ``doc_key, url, title, content`` into ``store``. Counts are taken from
+    the chunks once they are stored. A document without text is an error and is
+    removed from the index; ``quarantine`` names a folder for these records."""
     ok, bad = split_ok_quarantine(spread(docs), "content", "doc_key", "content")
-    ok, seen_docs = observed(ok, "documents")
-    chunks, seen_chunks = observed(chunk_documents(ok, size, overlap), "chunks")
+    chunks = materialize(chunk_documents(ok, size, overlap))
+    bad = materialize(bad)
+    keys = chunks.select("doc_key").union(bad.select("doc_key")).distinct()
     if clear or not store.exists():
-        store.write(chunks)
+        store.write(chunks, keys)
     else:
-        store.upsert(chunks)
+        store.upsert(chunks, keys)
+    if quarantine:
+        bad.write.mode("append").parquet(quarantine)
+    made = chunks.agg(F.countDistinct("doc_key").alias("documents"), F.count(F.lit(1)).alias("chunks")).first()
     stored = store.open().stats.first()["n_chunks"]
-    return IngestStats(seen_docs.get["n"], seen_chunks.get["n"], stored, bad.count())
+    return IngestStats(made["documents"], made["chunks"], stored, bad.count())
 
 
 def ingest_pages(pages: DataFrame, store: IndexStore, seeds: DataFrame | None = None, mode: str = "article", **options) -> IngestStats:

@@ -1,12 +1,16 @@
 """The index on storage: chunks, postings, vocabulary, lengths, embeddings.
 
-Every table is partitioned by a bucket of the document key, so an upsert
-rewrites the buckets of the incoming documents and nothing else. Each file of
-postings is sorted by term, which lets the reader skip row groups.
+Every table is partitioned by a bucket of the document key and by the version of that
+bucket. A write adds versions of the buckets it touches to all tables and then puts a
+manifest beside them, which names each bucket's current version. Readers follow the
+newest finished manifest, so they see a write in all tables or in none, and a bucket
+that lost all its words or documents keeps no old rows. ``vacuum`` removes what the
+manifest no longer names.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 from lexivane.operators.context import bucket_of
 from lexivane.operators.embedding import embed_hash
 from lexivane.operators.postings import TextIndex, chunk_terms, postings_of
-from lexivane.session import bounded_broadcast, scratch_path
+from lexivane.session import bounded_broadcast, materialize, scratch_path
 
 CHUNKS = (
     "chunk_id string, doc_key string, source_url string, title string, heading_path string, "
@@ -27,6 +31,11 @@ VOCAB = "term string, df bigint, bucket int"
 LENGTHS = "chunk_id string, n_tokens int, bucket int"
 STATS = "n_chunks bigint, n_tokens bigint, bucket int"
 EMBEDDINGS = "chunk_id string, embedding array<float>, bucket int"
+DOCUMENTS = "doc_key string, version bigint, bucket int"
+TABLES = {
+    "chunks": CHUNKS, "postings": POSTINGS, "vocab": VOCAB, "lengths": LENGTHS, "stats": STATS,
+    "embeddings": EMBEDDINGS, "documents": DOCUMENTS,
+}
 
 
 def upsert_chunks(existing: DataFrame, incoming: DataFrame, key: str = "source_url") -> DataFrame:
@@ -37,6 +46,10 @@ def upsert_chunks(existing: DataFrame, incoming: DataFrame, key: str = "source_u
     return kept.select(*existing.columns).unionByName(incoming.select(*existing.columns))
 
 
+def _buckets(rows: DataFrame) -> list[int]:
+    return sorted(r["bucket"] for r in rows.distinct().collect())  # at most n_buckets
+
+
 @dataclass(frozen=True)
 class IndexStore:
     spark: SparkSession
@@ -49,45 +62,80 @@ class IndexStore:
     def _at(self, name: str) -> str:
         return f"{self.path.rstrip('/')}/{name}"
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self._at(name))
+    def _fs(self, name: str):
+        """Hadoop's file system and path of a name below the index."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _manifest(self) -> dict | None:
+        """``version``, ``layout`` and ``buckets`` (current version of each bucket)."""
+        fs, path = self._fs("manifest")
+        if not fs.exists(path):
+            return None
+        names = [x.getPath().getName() for x in fs.listStatus(path)]
+        done = [int(n) for n in names if n.isdigit() and fs.exists(self._fs(f"manifest/{n}/_SUCCESS")[1])]
+        if not done:
+            return None
+        text = self.spark.read.text(self._at(f"manifest/{max(done)}")).first()["value"]
+        held = json.loads(text)
+        own = self._layout()
+        if held["layout"] != own:
+            raise ValueError(f"the index at {self.path} was made with {held['layout']}, not {own}")
+        return held
+
+    def _layout(self) -> dict:
+        return {"n_buckets": self.n_buckets, "fold": self.fold, "stem": self.stem}
+
+    def _commit(self, version: int, buckets: dict[str, int]) -> None:
+        held = json.dumps({"version": version, "layout": self._layout(), "buckets": buckets})
+        row = self.spark.createDataFrame([(held,)], "value string")
+        row.coalesce(1).write.mode("overwrite").text(self._at(f"manifest/{version}"))
+
+    def _read(self, name: str, only: list[int] | None = None) -> DataFrame:
+        """The current rows of a table, of all buckets or of ``only`` some; other
+        partitions are pruned by their names."""
+        held = (self._manifest() or {"buckets": {}})["buckets"]
+        names = [f"{b}-{v}" for b, v in held.items() if only is None or int(b) in only]
+        fs, path = self._fs(name)
+        if not names or not fs.exists(path):
+            return self.spark.createDataFrame([], TABLES[name])
+        rows = self.spark.read.schema(TABLES[name] + ", version_of int").parquet(self._at(name))
+        return rows.where(F.concat_ws("-", "bucket", "version_of").isin(names)).drop("version_of")
 
     def exists(self) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self._at("chunks"))
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(hadoop)
+        return self._manifest() is not None
 
-    def _write(self, df: DataFrame, name: str, order: tuple[str, ...], only_touched: bool) -> None:
+    def _write(self, df: DataFrame, name: str, version: int, *order: str) -> None:
         (
-            df.sortWithinPartitions("bucket", *order)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic" if only_touched else "static")
-            .partitionBy("bucket")
+            df.withColumn("version_of", F.lit(version))
+            .sortWithinPartitions("bucket", *order)
+            .write.mode("append")
+            .partitionBy("bucket", "version_of")
             .parquet(self._at(name))
         )
 
-    def _write_all(self, staged: DataFrame, only_touched: bool) -> None:
+    def _write_all(self, staged: DataFrame, documents: DataFrame, version: int, touched: list[int], kept: dict[str, int]) -> None:
         """``staged`` is a stored table whose files hold one bucket each, so
         all tables but the vocabulary are made from it without a shuffle."""
-        put = lambda df, name, *order: self._write(df, name, order, only_touched)
-        terms = chunk_terms(staged, fold=self.fold, stem=self.stem, keep=("bucket",))
+        for name in TABLES:  # what an attempt that broke off has left
+            fs, path = self._fs(name)
+            for b in touched:
+                fs.delete(self._fs(f"{name}/bucket={b}/version_of={version}")[1], True)
+        put = lambda df, name, *order: self._write(df, name, version, *order)
+        terms = materialize(chunk_terms(staged, fold=self.fold, stem=self.stem, keep=("bucket",)))
         vectors = embed_hash(staged.select("bucket", "chunk_id", "content"), "content")
         vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<float>"))
         put(staged, "chunks", "chunk_id")
-        put(postings_of(terms, keep=("bucket",)), "postings", "term", "chunk_id")
+        postings = postings_of(terms, keep=("bucket",))
+        put(postings, "postings", "term", "chunk_id")
         put(terms.select("bucket", "chunk_id", "n_tokens"), "lengths", "chunk_id")
         put(vectors.select("bucket", "chunk_id", "embedding"), "embeddings", "chunk_id")
-        touched = staged.select("bucket").distinct()  # at most n_buckets rows
-        fresh = lambda name, schema: self._read(name, schema).join(
-            F.broadcast(touched), "bucket", "left_semi"
-        )
-        vocab = fresh("postings", POSTINGS).groupBy("bucket", "term")
-        put(vocab.agg(F.count(F.lit(1)).alias("df")), "vocab", "term")
-        sums = fresh("lengths", LENGTHS).groupBy("bucket")
-        put(
-            sums.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")),
-            "stats",
-        )
+        vocab = postings.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+        put(vocab.repartition("bucket"), "vocab", "term")
+        sums = terms.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").cast("long").alias("n_tokens"))
+        put(sums, "stats")
+        put(documents.select("doc_key", "version", "bucket").repartition("bucket"), "documents", "doc_key")
+        self._commit(version, kept | {str(b): version for b in touched})
 
     def _staged(self, chunks: DataFrame, name: str) -> DataFrame:
         """The one shuffle of an index build: chunks to their bucket and slice.
@@ -107,47 +155,85 @@ class IndexStore:
         names = [c.split()[0] for c in CHUNKS.split(", ")]
         return chunks.withColumn("bucket", bucket_of(F.col("doc_key"), self.n_buckets)).select(*names)
 
-    def write(self, chunks: DataFrame) -> None:
-        """Replaces the whole index."""
-        self._write_all(self._staged(self._placed(chunks), "chunks"), only_touched=False)
+    def _keys(self, keys: DataFrame) -> DataFrame:
+        """doc_key and version (0 where none is given) with their bucket, one row each."""
+        version = F.col("version").cast("long") if "version" in keys.columns else F.lit(0).cast("long")
+        newest = keys.groupBy("doc_key").agg(F.max(F.coalesce(version, F.lit(0).cast("long"))).alias("version"))
+        return newest.withColumn("bucket", bucket_of(F.col("doc_key"), self.n_buckets))
 
-    def upsert(self, chunks: DataFrame, key: str = "source_url") -> None:
-        """Replaces the incoming documents. The new buckets are staged in full
-        before any stored one is overwritten."""
-        if not self.exists():
-            return self.write(chunks)
+    def write(self, chunks: DataFrame, keys: DataFrame | None = None) -> None:
+        """Replaces the whole index."""
+        held = self._manifest()
+        staged = self._staged(self._placed(chunks), "chunks")
+        documents = materialize(self._keys(staged.select("doc_key") if keys is None else keys))
+        touched = _buckets(staged.select("bucket").union(documents.select("bucket")))
+        self._write_all(staged, documents, held["version"] + 1 if held else 1, touched, {})
+
+    def upsert(self, chunks: DataFrame, keys: DataFrame | None = None) -> None:
+        """Replaces the documents named in ``keys`` (``doc_key`` and, if given,
+        ``version``; else those of the chunks) by their chunks; a document without
+        chunks is removed. A document stored with a higher version stays as it is.
+        The version of a removed one is remembered.
+        """
+        held = self._manifest()
+        if held is None:
+            return self.write(chunks, keys)
         incoming = self._staged(self._placed(chunks), "incoming")
-        touched = incoming.select("bucket").distinct()  # at most n_buckets rows
-        existing = self._read("chunks", CHUNKS).join(F.broadcast(touched), "bucket", "left_semi")
-        merged = self._staged(upsert_chunks(existing, incoming, key), "merged")
-        self._write_all(merged, only_touched=True)
+        documents = materialize(self._keys(incoming.select("doc_key") if keys is None else keys))
+        touched = _buckets(documents.select("bucket"))  # at most n_buckets
+        if not touched:
+            return None
+        stored = self._read("documents", touched)
+        was = stored.select("doc_key", F.col("version").alias("was"))
+        fresh = materialize(
+            documents.join(was, "doc_key", "left").where("was is null or version >= was").drop("was")
+        )
+        new = incoming.join(fresh.select("doc_key"), "doc_key", "left_semi")
+        old = self._read("chunks", touched).join(fresh.select("doc_key"), "doc_key", "left_anti")
+        merged = self._staged(old.select(*new.columns).unionByName(new), "merged")
+        others = stored.join(fresh.select("doc_key"), "doc_key", "left_anti")
+        self._write_all(merged, others.select(*fresh.columns).unionByName(fresh), held["version"] + 1, touched, held["buckets"])
 
     def clear(self) -> None:
-        """Empties every table and keeps the layout readable."""
-        for name, schema in (
-            ("chunks", CHUNKS),
-            ("postings", POSTINGS),
-            ("vocab", VOCAB),
-            ("lengths", LENGTHS),
-            ("stats", STATS),
-            ("embeddings", EMBEDDINGS),
-        ):
-            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self._at(name))
+        """Empties the index; the layout stays."""
+        held = self._manifest()
+        self._commit(held["version"] + 1 if held else 1, {})
+
+    def vacuum(self) -> int:
+        """Deletes bucket versions and manifests that are no longer current; only
+        while nothing reads an older state. Returns how many folders went."""
+        held, gone = self._manifest(), 0
+        if held is None:
+            return 0
+        old = [f"manifest/{x}" for x in self._children("manifest") if x.isdigit() and int(x) < held["version"]]
+        for name in TABLES:
+            for b in self._children(name):
+                for v in self._children(f"{name}/{b}") if b.startswith("bucket=") else ():
+                    if v.startswith("version_of=") and held["buckets"].get(b.split("=")[1]) != int(v.split("=")[1]):
+                        old.append(f"{name}/{b}/{v}")
+        for x in old:
+            fs, path = self._fs(x)
+            gone += bool(fs.delete(path, True))
+        return gone
+
+    def _children(self, name: str) -> list[str]:
+        fs, path = self._fs(name)
+        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
 
     def open(self) -> TextIndex:
         # a term has a row per bucket here; readers take distinct terms
-        vocab = self._read("vocab", VOCAB).select("term", "df")
-        stats = self._read("stats", STATS).agg(
+        vocab = self._read("vocab").select("term", "df")
+        stats = self._read("stats").agg(
             F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"),
             (F.sum("n_tokens") / F.sum("n_chunks")).alias("avgdl"),
         )
         return TextIndex(
-            self._read("chunks", CHUNKS),
-            self._read("postings", POSTINGS),
+            self._read("chunks"),
+            self._read("postings"),
             vocab,
             stats,
-            self._read("lengths", LENGTHS),
-            self._read("embeddings", EMBEDDINGS),
+            self._read("lengths"),
+            self._read("embeddings"),
             self.fold,
             self.stem,
             self.n_buckets,

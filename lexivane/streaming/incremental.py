@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lexivane.config import DEFAULTS
 from lexivane.operators.chunking import chunk_documents
 from lexivane.operators.pages import split_ok_quarantine
+from lexivane.session import materialize
 from lexivane.sources.index_store import IndexStore
 
 DOCUMENT_SCHEMA = "doc_key string, url string, title string, content string, version bigint"
@@ -23,21 +24,27 @@ def incremental_ingest(
     overlap: int = DEFAULTS.chunk_overlap,
     max_files: int = 1000,
     continuous: bool = False,
+    quarantine: str | None = None,
 ) -> StreamingQuery:
     """Watches ``in_dir`` for Parquet files of documents (``DOCUMENT_SCHEMA``).
 
     The checkpoint remembers the files taken. A batch that is run again after a
     failure replaces the same documents by the same chunks, so each file counts
-    once. Of several versions in one batch the highest wins.
+    once. Of several versions, in one batch or over many, the highest wins; a version
+    without text removes the document and is noted in ``quarantine``, a folder, if given.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        ok, _ = split_ok_quarantine(batch, "content", "doc_key", "content")
-        newest = ok.groupBy("doc_key").agg(
-            F.max_by(F.struct("url", "title", "content"), "version").alias("d")
+        # the newest first: an older text must not stand in for a newer blank
+        newest = batch.groupBy("doc_key").agg(
+            F.max(F.struct("version", "content", "url", "title")).alias("d")
         )
-        docs = newest.select("doc_key", "d.url", "d.title", "d.content")
-        store.upsert(chunk_documents(docs, size, overlap))
+        docs = newest.select("doc_key", "d.url", "d.title", "d.content", "d.version")
+        docs = materialize(docs)
+        ok, bad = split_ok_quarantine(docs, "content", "doc_key", "content")
+        store.upsert(chunk_documents(ok.drop("version"), size, overlap), docs.select("doc_key", "version"))
+        if quarantine:
+            bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{quarantine}/batch-{batch_id}")
 
     writer = (
         spark.readStream.schema(DOCUMENT_SCHEMA)

@@ -1,3 +1,4 @@
+from lexivane.operators.chunking import chunk_documents
 """Limiter, frontier, stored index and streams."""
 
 import datetime as dt
@@ -146,6 +147,60 @@ def test_store(spark, folder):
     assert contents(store) == {}
 
 
+def test_a_write_leaves_no_dead_rows(spark, folder):
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2)
+    many = documents(spark, [(f"k{i}", f"text number {i}", 1) for i in range(8)]).withColumn("url", F.lit("one source"))
+    run_ingest(many, store, clear=True)
+    run_ingest(many.where("doc_key = 'k3'").withColumn("content", F.lit("!!!")), store)  # no words left in it
+    got = contents(store)
+    assert len(got) == 8 and got["k3:1"] == "!!!"
+    assert not store.open().postings.where("chunk_id = 'k3:1' and term = 'number'").count()
+    stats = run_ingest(documents(spark, [("k1", " ", 2), ("k2", None, 2)]), store)  # blank documents are removed
+    assert (stats.documents, stats.chunks_created, stats.chunks_stored, stats.errors) == (0, 0, 6, 2)
+    ix = store.open()
+    assert {r["chunk_id"] for r in ix.embeddings.collect()} <= set(contents(store)) and ix.lengths.count() == 6
+    assert not ix.vocab.where("term = '1'").count()
+    run_ingest(documents(spark, [(f"k{i}", "...", 1) for i in range(8)]), store)
+    left = "term in ('text', 'number')"
+    assert store.open().postings.where(left).count() == store.open().vocab.where(left).count() == 0 and len(contents(store)) == 8
+    before = contents(store)
+    assert store.vacuum() > 0 and contents(store) == before and store.vacuum() == 0
+
+
+def test_an_index_is_opened_as_it_was_made(spark, folder):
+    IndexStore(spark, f"{folder}/ix", n_buckets=4).write(chunk_documents(documents(spark, [("a", "x y", 1)])))
+    with pytest.raises(ValueError, match="n_buckets"):
+        IndexStore(spark, f"{folder}/ix", n_buckets=64).open()
+
+
+def test_an_unfinished_write_is_not_seen(spark, folder):
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2)
+    run_ingest(documents(spark, [("a", "old text", 1)]), store, clear=True)
+    commit, IndexStore._commit = IndexStore._commit, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    try:
+        with pytest.raises(RuntimeError):
+            run_ingest(documents(spark, [("a", "half written", 2)]), store)
+    finally:
+        IndexStore._commit = commit
+    assert contents(store) == {"a:1": "old text"} and store.open().postings.where("term = 'half'").count() == 0
+    run_ingest(documents(spark, [("a", "new text", 2)]), store)
+    assert contents(store) == {"a:1": "new text"} and store.open().postings.where("term in ('half', 'old')").count() == 0
+
+
+def test_versions_decide_in_a_batch_and_over_batches(spark, folder):
+    store = IndexStore(spark, f"{folder}/stream", n_buckets=2)
+    parts = (
+        [("a", "alpha five", 5), ("b", "beta", 1), ("c", "gamma", 1), ("c", " ", 2)],  # a newer blank beats an older text
+        [("a", "alpha four", 4), ("b", None, 2)],  # an older version comes late; a text is withdrawn
+        [("b", "beta one again", 1), ("c", "gamma three", 3)],
+    )
+    for part in parts:
+        documents(spark, part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        incremental_ingest(spark, f"{folder}/in", store, f"{folder}/cp", quarantine=f"{folder}/bad").awaitTermination()
+    assert contents(store) == {"a:1": "alpha five", "c:1": "gamma three"}
+    assert sorted(r["doc_key"] for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/bad").collect()) == ["b", "c"]
+
+
 def test_retrieval_with_neighbours(spark, folder):
     store = IndexStore(spark, f"{folder}/ix", n_buckets=2)
     text = "# Guide\n" + "\n".join(f"## Part {w}\nAll about {w} here." for w in ("ants", "bees", "crows", "ducks", "elks"))
