@@ -41,7 +41,8 @@ from lexivane.session import bounded_broadcast, scratch_path, ship_package, writ
 
 SHARD_IDS = 1 << 21
 TEXT_BYTES = 1 << 22  # of texts that are encoded together
-WORDS_HELD = 400_000
+WORDS_HELD = 600_000
+JOINED = 256  # new words that are encoded as one text
 ROUNDS, PAIRS, REPEATS = 6, 2048, 8
 MAGIC = b"REPAIR01"
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,33 +56,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.mark_id, self.mark = next((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()))
         self._clear()
 
     def _clear(self):
         self.code: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def _keep_used(self):
+        """Forgets the words that were met once only; most words are."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > WORDS_HELD // 2:
+            return self._clear()
+        words = np.array(list(self.code), object)[keep].tolist()
+        size = self.first[keep + 1] - self.first[keep]
+        ends = np.append(0, np.cumsum(size))
+        self.flat = self.flat[np.repeat(self.first[keep] - ends[:-1], size) + np.arange(ends[-1])]
+        self.code, self.first, self.used = dict(zip(words, range(len(words)))), ends, self.used[keep]
 
     def _learn(self, words: set[str]):
+        """Encodes new words many at a time, a special token between them: it parts the
+        text before anything else is done to it."""
         new = [w for w in words if w not in self.code]
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        n = len(self.code)
-        self.code.update(zip(new, range(n, n + len(new))))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+        whole = [w for w in new if self.mark not in w]
+        odd = [w for w in new if self.mark in w]
+        texts = [self.mark.join(whole[i : i + JOINED]) for i in range(0, len(whole), JOINED)] + odd
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        n = len(texts) - len(odd)
+        joined = [x for ids in got[:n] for x in (ids, [self.mark_id])]
+        ids = np.concatenate([*joined, np.zeros(0, np.uint32)]).astype(np.uint32)
+        ends = np.flatnonzero(ids == self.mark_id)
+        sizes = np.diff(ends, prepend=-1) - 1
+        at = len(self.code)
+        self.code.update(zip(whole + odd, range(at, at + len(new))))
+        self.flat = np.concatenate([self.flat, ids[ids != self.mark_id], *got[n:]])
+        sizes = np.append(sizes, [len(x) for x in got[n:]]).astype(np.int64)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.used = np.append(self.used, np.zeros(len(new), np.int64))
 
     def encode(self, texts: list[str], end: int, pieces: bool = False) -> tuple[np.ndarray, ...]:
         """All ids, each text followed by ``end``, and the number of ids of each text;
         with ``pieces`` also the number of ids of each word and end."""
         words = [_CHUNK.findall(t) for t in texts]
         if len(self.code) > WORDS_HELD:
-            self._clear()
+            self._keep_used()
         self._learn({w for x in words for w in x})
         code = self.code
         n = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.fromiter((code[w] for x in words for w in x), np.int64, int(n.sum()))
+        self.used += np.bincount(codes, minlength=len(self.used))
         size = self.first[codes + 1] - self.first[codes]
         at = np.append(0, np.cumsum(size))
         edge = np.append(0, np.cumsum(n))
