@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from lexivane.functions.text import (
 )
 from lexivane.functions.urls import url_host, url_path
 
-# Named entities that are decoded; "amp" must stay last.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "amp": "&"}
+# The named entities of HTML 4 and "apos"; "amp" is decoded after all others.
+ENTITIES = {n: chr(p) for n, p in name2codepoint.items() if n != "amp"} | {"apos": "'"}
 
 
 def _code_point(code: Column) -> Column:
@@ -36,9 +38,14 @@ def decode_entities(c: Column) -> Column:
             lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), _code_point(n)),
         ),
     ).otherwise(c)
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    return c
+    # only the names that the page uses are replaced
+    table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    named = F.aggregate(
+        names, c, lambda acc, n: F.coalesce(F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.element_at(table, n)), acc)
+    )
+    c = F.when(c.rlike("&[A-Za-z]"), named).otherwise(c)
+    return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
 def html_to_markdown(c: Column) -> Column:

@@ -92,8 +92,11 @@ def join_nonblank(parts: Column, sep: str) -> Column:
 
 
 def stem_to_title(c: Column) -> Column:
-    """File or path stem as a heading: ``_`` and ``-`` to spaces, capitals."""
-    return F.initcap(F.translate(c, "_-", "  "))
+    """File or path stem as a heading: ``_`` and ``-`` to spaces, and a capital after
+    each character that is no letter."""
+    runs = F.regexp_extract_all(F.translate(c, "_-", "  "), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    capital = F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, 2, 1 << 30))))
+    return F.array_join(capital, "")
 
 
 def extract_title_md(content: Column, path: Column) -> Column:

@@ -160,8 +160,10 @@ def bm25_topk(
     k: int = DEFAULTS.top_k_keyword,
     k1: float = BM25_K1,
     b: float = BM25_B,
+    digits: int | None = None,
 ) -> DataFrame:
-    """``query_id, chunk_id, score, rank`` of the best ``k`` chunks per query."""
+    """``query_id, chunk_id, score, rank`` of the best ``k`` chunks per query. With
+    ``digits`` scores are rounded before they are ranked."""
     n_rows = index.stats.select("n_chunks").scalar()
     avgdl = index.stats.select("avgdl").scalar()
     f, length = F.col("f"), F.col("n_tokens")
@@ -177,7 +179,7 @@ def bm25_topk(
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.max("n_units").alias("n_units"),
-            F.round(F.sum("part"), 6).alias("score"),
+            (F.sum("part") if digits is None else F.round(F.sum("part"), digits)).alias("score"),
         )
         .filter("n = n_units")
     )

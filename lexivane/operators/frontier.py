@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.session import scratch_dir
+from lexivane.session import materialize, scratch_dir
 
 
 def frontier_step(links: DataFrame, seen: DataFrame) -> DataFrame:
@@ -22,7 +22,6 @@ def frontier_bfs(
     start: DataFrame,
     max_pages: int | None = None,
     accepted: DataFrame | None = None,
-    max_depth: int = 1000,
 ) -> DataFrame:
     """``url, depth`` of pages reached from ``start``, by distance.
 
@@ -32,7 +31,7 @@ def frontier_bfs(
     each is checkpointed to shared storage, so a lost executor costs one round.
     """
     scratch_dir(edges.sparkSession)
-    edges = edges.select("src", "dst")
+    edges = materialize(edges.select("src", "dst").distinct())  # read in every round
 
     def admit(found: DataFrame, depth: int) -> DataFrame:
         if accepted is not None:
@@ -43,7 +42,7 @@ def frontier_bfs(
     visited = frontier
     total = frontier.count()
     depth = 0
-    while depth < max_depth and (max_pages is None or total < max_pages):
+    while max_pages is None or total < max_pages:
         depth += 1
         links = edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi")
         frontier = admit(frontier_step(links, visited), depth).checkpoint()

@@ -216,13 +216,19 @@ def rate_limit(
     window_seconds: int = RATE_LIMIT_WINDOW_SECONDS,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Adds ``admitted``. Requests of one time are taken by ``order_by``.
+    """Adds ``admitted``. Requests of one time are taken by ``order_by``. Requests
+    without a client or a time cannot be judged: their ``admitted`` is NULL.
 
     Counts per client and bucket, made before the shuffle, decide most requests.
     Only busy stretches are taken in order, and long ones in slices.
     """
     ship_package(events.sparkSession)
     width = window_seconds * 1_000_000
+    known = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    unknown = events.where(~known).withColumn("admitted", F.lit(None).cast("boolean"))
+    events = events.where(known)
+    if limit <= 0:
+        return events.withColumn("admitted", F.lit(False)).unionByName(unknown)
     rows = _bucketed(events, ts, width)
     per_bucket = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("n"))
     stretches = materialize(_stretches(per_bucket, key, limit, slice_rows))
@@ -243,4 +249,4 @@ def rate_limit(
         judged = _in_order(together, key, order_by, limit, width)
     else:
         judged = _in_slices(together, stretches, depth, key, order_by, limit, width)
-    return quiet.unionByName(judged.filter("not _warm").select(*events.columns, "admitted"))
+    return quiet.unionByName(judged.filter("not _warm").select(*events.columns, "admitted")).unionByName(unknown)

@@ -55,19 +55,19 @@ def _ranked(df):
 
 @query("knn_cosine", _q_knn("list_cosine_similarity(x, y)"))
 def knn_cosine(spark, sf):
-    return _ranked(knn(*_vectors(spark, sf)))
+    return _ranked(knn(*_vectors(spark, sf), digits=6))
 
 
 @query("knn_l2_similarity", _q_knn("1 / (1 + power(list_distance(x, y), 2))"))
 def knn_l2(spark, sf):
-    return _ranked(knn(*_vectors(spark, sf), metric="l2sq"))
+    return _ranked(knn(*_vectors(spark, sf), metric="l2sq", digits=6))
 
 
 @query("knn_lsh")
 def knn_approximate(spark, sf):
     """With its recall against the exact search."""
     q, v = _vectors(spark, sf)
-    near, exact = knn_lsh(q, v), knn(q, v)
+    near, exact = knn_lsh(q, v, digits=6), knn(q, v, digits=6)
     both = exact.select("query_id", "chunk_id").join(
         near.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left"
     )
@@ -139,19 +139,19 @@ def match_all_terms(spark, sf):
 
 @query("bm25_topk", f"with {_SEARCH} select query_id, chunk_id, score, rank from bm25")
 def bm25_topk(spark, sf):
-    return _ranked(B.bm25_topk(inputs.questions(spark, sf), inputs.index(spark, sf, "documents")))
+    return _ranked(B.bm25_topk(inputs.questions(spark, sf), inputs.index(spark, sf, "documents"), digits=6))
 
 
 @query("bm25_topk_stemmed")
 def bm25_stemmed(spark, sf):
     """With Porter stems, as the full-text store of the original has them."""
-    return _ranked(B.bm25_topk(inputs.questions(spark, sf), inputs.index(spark, sf, "documents", stem=True)))
+    return _ranked(B.bm25_topk(inputs.questions(spark, sf), inputs.index(spark, sf, "documents", stem=True), digits=6))
 
 
 def _lists(spark, sf):
     q, ix = inputs.questions(spark, sf), inputs.index(spark, sf, "documents")
-    vec = inputs.once(spark, sf, "vec", lambda: knn(embed_queries(q), ix.embeddings))
-    kw = inputs.once(spark, sf, "kw", lambda: B.bm25_topk(q, ix))
+    vec = inputs.once(spark, sf, "vec", lambda: knn(embed_queries(q), ix.embeddings, digits=6))
+    kw = inputs.once(spark, sf, "kw", lambda: B.bm25_topk(q, ix, digits=6))
     return q, vec, kw, ix
 
 
@@ -236,7 +236,7 @@ _HYBRID = f"{_CHUNK_SEARCH}, {VECTOR_SEARCH}, {FUSED}"
 def _hits(spark, sf):
     """The five best chunks per question by keyword."""
     ix = inputs.index(spark, sf, "chunks")
-    return ix, inputs.once(spark, sf, "hits", lambda: B.bm25_topk(inputs.questions(spark, sf), ix, k=5))
+    return ix, inputs.once(spark, sf, "hits", lambda: B.bm25_topk(inputs.questions(spark, sf), ix, k=5, digits=6))
 
 
 _Q_HITS = "hits as (select * from bm25 where rank <= 5)"
@@ -276,7 +276,7 @@ def expand_context(spark, sf):
 )
 def hybrid(spark, sf):
     """The whole of retrieval over the chunk index, for all questions at once."""
-    out = hybrid_retrieve(inputs.questions(spark, sf), inputs.index(spark, sf, "chunks"), rules=RULES)
+    out = hybrid_retrieve(inputs.questions(spark, sf), inputs.index(spark, sf, "chunks"), rules=RULES, digits=6)
     return out.select(
         "query_id",
         F.col("position").cast("bigint").alias("position"),
@@ -406,5 +406,5 @@ def retrieval_eval(spark, sf):
     labels = q.select("query_id", F.floor(F.col("query_id") / 1000).alias("item_id")).join(
         held.withColumnRenamed("query_id", "item_id"), "item_id"
     )
-    out = A.retrieval_eval(B.bm25_topk(q, ix), labels)
+    out = A.retrieval_eval(B.bm25_topk(q, ix, digits=6), labels)
     return out.select("k", "n_queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))

@@ -161,29 +161,36 @@ def upsert(spark, sf):
 
 @query(
     "upsert_index",
-    f"""with {UNITS}, doubled as (
-      select d.doc_key || ':1' as chunk_id, content from docs d join documents t on t.doc_id = cast(d.doc_key as bigint) where t.lang <> 'en'
-      union all select doc_key || ':1', 'newer' from docs d join documents t on t.doc_id = cast(d.doc_key as bigint) where t.lang = 'en')
-    select chunk_id, content from doubled""",
+    """select doc_id || ':1' as chunk_id, case lang when 'en' then 'newer' else text end as content
+    from documents where lang <> 'de'""",
 )
 def upsert_index(spark, sf):
-    """A stored index of whole documents, its English ones replaced."""
+    """A stored index of whole documents: the English ones get a newer text, the German
+    ones lose theirs, and an older version of the French ones comes too late."""
     store = IndexStore(spark, scratch_path(spark, "upsert"), n_buckets=4)
     langs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), "lang")
     whole = inputs.whole_documents(spark, sf).withColumn("chunk_id", F.concat("doc_key", F.lit(":1")))
     whole = whole.withColumn("source_url", F.col("anchor_link"))
-    store.write(whole)
-    english = whole.join(langs.filter("lang = 'en'"), "doc_key", "left_semi")
-    store.upsert(english.withColumn("content", F.lit("newer")))
+    version = F.when(F.col("lang") == "fr", 1).otherwise(3)
+    store.write(whole, langs.select("doc_key", F.lit(2).alias("version")))
+    changed = langs.where("lang in ('en', 'de', 'fr')").select("doc_key", version.alias("version"))
+    new = whole.join(langs.where("lang in ('en', 'fr')"), "doc_key", "left_semi")
+    store.upsert(new.withColumn("content", F.lit("newer")), changed)
     return store.open().chunks.select("chunk_id", "content")
 
 
-@query("clear_index", "select * from (values ('chunks', 0), ('text', 0), ('vectors', 0)) t(store, n)")
+@query(
+    "clear_index",
+    f"""with {CHUNKS}, c as (select count(*) as before from chunks)
+    select store, before, 0::bigint as n from c, (values ('chunks'), ('text'), ('vectors')) t(store)""",
+)
 def clear_index(spark, sf):
-    store = IndexStore(spark, scratch_path(spark, "clear"), n_buckets=2)
-    store.write(chunk_documents(inputs.turns(spark, sf)))
+    """Rows of each table before and after the index is emptied."""
+    store = IndexStore(spark, scratch_path(spark, "clear"), n_buckets=4)
+    store.write(chunk_documents(inputs.docs(spark, sf)))
+    before = S.store_counts(store.open()).select("store", F.col("n").alias("before"))
     store.clear()
-    return S.store_counts(store.open()).select("store", F.col("n").cast("int").alias("n"))
+    return before.join(S.store_counts(store.open()).select("store", "n"), "store")
 
 
 @query(
@@ -316,14 +323,20 @@ def request_window_count(spark, sf):
 
 @query(
     "incremental_ingest",
-    f"with {CHUNKS} select chunk_id, content, prev_id, next_id from chunks",
+    f"""with {CHUNKS} select chunk_id, content, prev_id, next_id from chunks
+    where cast(doc_key as bigint) % 5 <> 0""",
 )
 def incremental(spark, sf):
-    """The documents arrive as files; the stream indexes them and ends."""
-    inbox = scratch_path(spark, "inbox")
-    rows = inputs.docs(spark, sf).select("doc_key", "url", "title", "content", F.lit(1).cast("bigint").alias("version"))
-    rows.write.parquet(inbox)
+    """The documents arrive as files; the stream indexes them and ends. A second batch
+    brings a newer blank for a fifth of them and an older text for another fifth."""
+    inbox, progress = scratch_path(spark, "inbox"), scratch_path(spark, "progress")
     store = IndexStore(spark, scratch_path(spark, "stream"), n_buckets=4)
-    run = incremental_ingest(spark, inbox, store, scratch_path(spark, "progress"), max_files=1000)
-    run.awaitTermination()
+    rows = inputs.docs(spark, sf).select("doc_key", "url", "title", "content", F.lit(5).cast("bigint").alias("version"))
+    part = F.col("doc_key").cast("bigint") % 5
+    late = rows.where(part < 2).withColumns(
+        {"content": F.when(part == 1, "an older text"), "version": F.when(part == 0, 6).otherwise(4).cast("bigint")}
+    )
+    for batch in (rows, late):
+        batch.write.mode("append").parquet(inbox)
+        incremental_ingest(spark, inbox, store, progress, max_files=1000).awaitTermination()
     return store.open().chunks.select("chunk_id", "content", "prev_id", "next_id")

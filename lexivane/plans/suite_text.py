@@ -200,7 +200,8 @@ edges as (select src, word as dst from hop union select word, src from hop)"""
     "frontier_bfs",
     f"""with recursive {Q_EDGES}, reach as (
       select url, 0 as depth from (select min(src) as url from links)
-      union select e.dst, r.depth + 1 from reach r join edges e on e.src = r.url where r.depth < 6)
+      union select e.dst, r.depth + 1 from reach r join edges e on e.src = r.url
+        where r.depth < (select count(distinct src) from edges) and r.depth < 40)
     select url, min(depth) as depth from reach group by url""",
 )
 def bfs(spark, sf):
@@ -209,7 +210,7 @@ def bfs(spark, sf):
         hop.select(F.col("word").alias("src"), F.col("src").alias("dst"))
     )
     start = hop.agg(F.min("src").alias("url"))
-    return frontier_bfs(edges, start, max_depth=6)
+    return frontier_bfs(edges, start)
 
 
 def q_hits(x: str, words) -> str:

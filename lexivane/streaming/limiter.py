@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from typing import Iterator
 
 import pandas as pd
@@ -18,7 +19,8 @@ STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateSto
 
 
 class _Limiter(StatefulProcessor):
-    """Holds the admitted times of the last window, never more than ``limit``.
+    """Holds the admitted times that a request may still be compared with: those of a
+    window before the watermark, and later ones. Never more than ``limit`` a window.
 
     A timer clears the state of a client that has been silent for a window.
     """
@@ -32,22 +34,25 @@ class _Limiter(StatefulProcessor):
         self.admitted = handle.getListState("admitted", schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = sorted(int(row[0]) for row in self.admitted.get())
+        held = sorted(int(row[0]) for row in self.admitted.get())  # a late request may come between
         # rows of one client and one trigger, whose size the source options set
         batch = pd.concat(list(rows), ignore_index=True)
         batch.columns = self.names
         batch = batch.sort_values(["_us", self.order_by], kind="stable")
         verdicts = []
         for us in batch["_us"].tolist():
-            while held and held[0] <= us - self.window_us:
-                held.pop(0)
-            verdicts.append(len(held) < self.limit)
+            recent = bisect_right(held, us) - bisect_right(held, us - self.window_us)
+            verdicts.append(recent < self.limit)
             if verdicts[-1]:
-                held.append(us)
+                insort(held, us)
+        # later requests may still be as late as the watermark allows
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        del held[: bisect_right(held, min(mark, held[-1]) - self.window_us) if held else 0]
         self.admitted.put([(us,) for us in held])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        self.handle.registerTimer((held[-1] + self.window_us) // 1000 + 1)
+        if held:
+            self.handle.registerTimer((held[-1] + self.window_us) // 1000 + 1)
         yield batch.drop(columns="_us").assign(admitted=verdicts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -159,7 +159,7 @@ def test_knn(spark, monkeypatch, metric, block):
     monkeypatch.setattr(N, "VECTOR_BLOCK", 11)
     q, qdf = vectors(spark, 1, 20, "query_id")
     v, vdf = vectors(spark, 2, 60, "chunk_id", copies=20)
-    got = {(r["query_id"], r["chunk_id"], r["rank"]) for r in N.knn(qdf, vdf, 5, metric).collect()}
+    got = {(r["query_id"], r["chunk_id"], r["rank"]) for r in N.knn(qdf, vdf, 5, metric, digits=6).collect()}
     assert got == brute(q, v, 5, metric)
 
 
@@ -169,6 +169,16 @@ def test_l2_scores(spark):
     assert [r["score"] for r in N.knn(q, v, 2, "l2sq").orderBy("rank").collect()] == [1.0, 0.5]
 
 
+def test_vectors_that_cannot_be_compared_are_left_out(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "query_id bigint, embedding array<double>")
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [1.0, None]), ("e", [1.0, 1e-9])], "chunk_id string, embedding array<double>")
+    assert [(r["query_id"], r["chunk_id"]) for r in N.knn(q, v, 9).collect()] == [(1, "a"), (1, "e")]
+    # without digits the full scores decide
+    w = spark.createDataFrame([("a", [1.0, 2e-4]), ("z", [1.0, 1e-4])], "chunk_id string, embedding array<double>")
+    q = q.where("query_id = 1")
+    assert [r["chunk_id"] for r in N.knn(q, w, 1).collect()] == ["z"] and [r["chunk_id"] for r in N.knn(q, w, 1, digits=6).collect()] == ["a"]
+
+
 def test_lsh_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     q = v.select(F.col("vec_id").alias("query_id"), "embedding")

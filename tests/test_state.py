@@ -83,6 +83,30 @@ def test_stream_of_requests_equals_batch(spark, folder):
     assert got == plain_limit(rows, 2, 30)
 
 
+def test_late_requests_and_a_limit_of_none(spark, folder):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    parts = ([("a", 100), ("a", 105)], [("a", 50)], [("b", 400)], [("a", 401), ("a", 120), ("a", 121)])
+    rows = [r for p in parts for r in p]
+    df, at = requests(spark, rows), 0
+    for part in parts:
+        df.filter(f"event_id >= {at} and event_id < {at + len(part)}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        at += len(part)
+        stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+        out = rate_limit_stream(stream, "client", "ts", "event_id", 3, 60, delay="1 hour")
+        sink = out.writeStream.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True)
+        sink.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    got = verdicts(spark.read.parquet(f"{folder}/out"))
+    # 120 still sees 100 and 105; 121 sees these and 120
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: True, 6: False}
+    assert set(verdicts(R.rate_limit(df, "client", "ts", "event_id", 0, 60)).values()) == {False}
+
+
+def test_requests_without_client_or_time_are_kept(spark):
+    df = requests(spark, [("a", 1), (None, 2), ("a", 3)])
+    df = df.withColumn("ts", F.when(F.col("event_id") != 2, F.col("ts")))
+    assert verdicts(R.rate_limit(df, "client", "ts", "event_id", 1, 10)) == {0: True, 1: None, 2: None}
+
+
 def test_stream_of_window_counts(spark, folder):
     df = requests(spark, [("a", 1), ("a", 2), ("b", 70), ("a", 5000)])
     df.write.parquet(f"{folder}/in")
@@ -104,7 +128,8 @@ def test_frontier(spark):
     assert depth(frontier_bfs(edges, start, max_pages=4)) == {"a": 0, "b": 1, "c": 1, "d": 2}
     good = spark.createDataFrame([(u,) for u in "abdf"], "url string")
     assert depth(frontier_bfs(edges, start, accepted=good)) == {"a": 0, "b": 1, "d": 2, "f": 3}
-    assert depth(frontier_bfs(edges, start, max_depth=1)) == {"a": 0, "b": 1, "c": 1}
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "src string, dst string")
+    assert depth(frontier_bfs(chain, spark.createDataFrame([("n0",)], "url string"))) == {f"n{i}": i for i in range(13)}
 
 
 def test_links(spark):

@@ -71,6 +71,8 @@ def test_html(spark):
     page = "<h1>A</h1><pre><code>x\ny</code></pre><ul><li>one</li></ul><p>T &amp; <b>u</b></p>"
     assert one(spark, H.html_to_markdown(F.col("h")), h=page) == "# A```\nx\ny\n```- oneT &amp; u"
     assert one(spark, H.decode_entities(F.col("h")), h="&lt;&#65;&#x42;&amp;lt;") == "<AB&lt;"
+    assert one(spark, H.decode_entities(F.col("h")), h="&mdash;&copy;&rsquo;&hellip;&Eacute;&nosuch;&") == "—©’…É&nosuch;&"
+    assert one(spark, X.stem_to_title(F.col("h")), h="tensorqs_tutorial.html-v2beta") == "Tensorqs Tutorial.Html V2Beta"
     drop = "<nav>n</nav>a<!-- <p>c</p> --><script>var t='</p>'</script>b<headerx>c</headerx>"
     assert one(spark, H.strip_boilerplate(F.col("h"), ("script", "nav", "header")), h=drop) == "ab<headerx>c</headerx>"
     body = "<div>x</div><main><p>one</p> <p>two</p></main>"
