@@ -69,12 +69,22 @@ def windows(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 _SEEN = (np.arange(2 * HALF)[None, :] <= np.arange(HALF, 2 * HALF)[:, None])[None]
 
 
+def _exp(z: np.ndarray) -> np.ndarray:
+    """In place; logits are far below the bound, which only keeps sums finite."""
+    return np.exp(np.minimum(z, 60, out=z), out=z)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(-1, keepdims=True))
+    z = _exp(z)
     z /= z.sum(-1, keepdims=True)
     return z
 
 
+def _log_softmax_at(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+    own = np.minimum(z[np.arange(len(column)), column], 60)
+    return own - np.log(_exp(z) @ np.ones(z.shape[1], z.dtype))
+
+
 def _forward(m, inputs, valid):
     x = m["emb"][inputs] + m["pos"]
     late = x[:, HALF:]
@@ -94,23 +104,27 @@ def _by_group(group: np.ndarray):
     return [(g, order[edge[g] : edge[g + 1]]) for g in range(GROUPS) if edge[g] < edge[g + 1]]
 
 
-def log_probs(m, classes: np.ndarray, counts: np.ndarray, batch: int = 2048) -> np.ndarray:
-    """Natural log probability of each class given those before it in its text."""
+def log_probs(m, classes: np.ndarray, counts: np.ndarray, batch: int = 2048, part: int = 256) -> np.ndarray:
+    """Natural log probability of each class given those before it in its text.
+
+    Windows go through the layer ``part`` at a time, so that they stay in the cache.
+    """
     out = np.zeros(len(classes))
     inputs, valid, place = windows(classes, counts)
     for low in range(0, len(inputs), batch):
-        part = slice(low, low + batch)
-        to = place[part].ravel()
-        h = _forward(m, inputs[part], valid[part])[-1].reshape(-1, HEAD)[to >= 0]
-        to = to[to >= 0]
-        y = classes[to]
-        z = h @ m["gw"] + m["gb"]
-        top = z.max(1, keepdims=True)
-        lp = z[np.arange(len(y)), y // GROUPS] - top[:, 0] - np.log(np.exp(z - top).sum(1))
-        for g, own in _by_group(y // GROUPS):
-            z = h[own] @ m["mw"][g] + m["mb"][g]
-            top = z.max(1, keepdims=True)
-            lp[own] += z[np.arange(len(own)), y[own] % GROUPS] - top[:, 0] - np.log(np.exp(z - top).sum(1))
+        high = min(low + batch, len(inputs))
+        h = np.concatenate([_forward(m, inputs[i : min(i + part, high)], valid[i : min(i + part, high)])[-1] for i in range(low, high, part)])
+        to = place[low:high].ravel()
+        h, to = h.reshape(-1, HEAD)[to >= 0], to[to >= 0]
+        group, member = np.divmod(classes[to], GROUPS)
+        order = np.argsort(group.astype(np.uint8), kind="stable")  # tokens of a group side by side
+        h, to, group, member = h[order], to[order], group[order], member[order]
+        lp = _log_softmax_at(h @ m["gw"] + m["gb"], group)
+        edge = np.searchsorted(group, np.arange(GROUPS + 1))
+        for g in range(GROUPS):
+            own = slice(edge[g], edge[g + 1])
+            if edge[g] < edge[g + 1]:
+                lp[own] += _log_softmax_at(h[own] @ m["mw"][g] + m["mb"][g], member[own])
         out[to] = lp
     return out
 

@@ -47,7 +47,9 @@ STEPS = (0.01, 0.005, 0.0025)  # learning rate of each round
 BASE_SHARE = 0.3
 BLOCK_BYTES = 16 << 20  # of compressed table; what one group of documents holds
 END_WORD = -1  # the end as a word
-TEXTS_BYTES = 1 << 21
+END_TEXT = b" "  # what stands for the end among words, which hold no blank
+TEXTS_BYTES, COUNT_BYTES = 1 << 21, 1 << 23
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _encoders: dict[int, Encoder] = {}
 
@@ -63,10 +65,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
 
 
-def _slices(column: pa.Array):
-    """(first row, texts) of slices of bounded size."""
+def _slices(column: pa.Array, most: int = TEXTS_BYTES):
+    """(first row, texts) of slices of about ``most`` bytes."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // TEXTS_BYTES
+    part = np.cumsum(sizes) // most
     edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
     for a, z in zip(edge, edge[1:]):
         yield a, [t or "" for t in column.slice(a, z - a).to_pylist()]
@@ -79,22 +81,46 @@ def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(each) if each else np.zeros(0, np.uint64)) >> np.uint64(1), n
 
 
-def _count(shared, end: int):
-    """text -> (kind, key, n): words (kind 0) and subword ids (kind 1)."""
+def _count(batches):
+    """text -> (word, n): the words of a few texts at a time, A-Z as a-z."""
+    for batch in batches:
+        for low, texts in _slices(batch.column("text"), COUNT_BYTES):
+            column = batch.column("text").slice(low, len(texts))
+            data, hashes, spans, at = [], [], [], 0
+            for own, h, s, e in hashing.batch_words(column):
+                data.append(own)
+                hashes.append(h)
+                spans.append(np.stack([s, e], 1) + at)
+                at += len(own)
+            _, first, times = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+            whole = np.concatenate(data).tobytes()
+            cut = np.concatenate(spans)[first].tolist()
+            words = [whole[a:z].translate(LOWER) for a, z in cut]
+            words = pa.array([*words, END_TEXT], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.append(times, len(texts)))], ["word", "n"])
+
+
+def _encode_words(shared, end: int):
+    """(word, n) -> (kind, key, n): hashes of words (kind 0), counts of subword ids (1)."""
 
     def run(batches):
-        encoder, ids = _encoder(shared.value), np.zeros(end + 1, np.int64)
+        encoder, ids = _encoder(shared.value), np.zeros(end + 1)
         for batch in batches:
-            column = batch.column("text")
-            h, n = _word_hashes(column)
-            words, times = np.unique(h.astype(np.int64), return_counts=True)
-            words, times = np.append(words, END_WORD), np.append(times, len(n))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), pa.array(words), pa.array(times)], ["kind", "key", "n"])
-            for _, texts in _slices(column):
-                got, _ = encoder.encode(texts, end)
-                ids += np.bincount(got, minlength=len(ids))
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            is_end = pc.equal(batch.column("word"), END_TEXT.decode()).to_numpy(zero_copy_only=False)
+            key = np.full(len(n), END_WORD, np.int64)
+            key[~is_end] = _word_hashes(batch.column("word"))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), pa.array(key), pa.array(n)], ["kind", "key", "n"])
+            ids[end] += n[is_end].sum()
+            rest = np.flatnonzero(~is_end)
+            for low in range(0, len(rest), 50_000):
+                own = rest[low : low + 50_000]
+                got, sizes = encoder.encode(batch.column("word").take(pa.array(own)).to_pylist(), end)
+                keep = got != end
+                ids[:end] += np.bincount(got[keep], np.repeat(n[own], sizes)[keep], end)[:end]
         seen = np.flatnonzero(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(seen), np.int32)), pa.array(seen), pa.array(ids[seen])], ["kind", "key", "n"])
+        counts = pa.array(ids[seen].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(seen), np.int32)), pa.array(seen), counts], ["kind", "key", "n"])
 
     return run
 
@@ -189,13 +215,14 @@ def _score(shared, weights, class_of, share_of, end: int, total: int, distinct:
 
 
 def _block_words(batches):
-    """block, text -> each batch's distinct words of each block."""
+    """block, text -> distinct words of each block, a few texts at a time."""
     for batch in batches:
-        h, n = _word_hashes(batch.column("text"))
-        block = batch.column("block").to_numpy(zero_copy_only=False)
-        for b in np.unique(block):
-            words = np.append(np.unique(h[np.repeat(block == b, n)].astype(np.int64)), END_WORD)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b)), pa.array(words)], ["block", "key"])
+        for low, texts in _slices(batch.column("text"), COUNT_BYTES):
+            h, n = _word_hashes(batch.column("text").slice(low, len(texts)))
+            block = batch.column("block").slice(low, len(texts)).to_numpy(zero_copy_only=False)
+            for b in np.unique(block):
+                words = np.append(np.unique(h[np.repeat(block == b, n)].astype(np.int64)), END_WORD)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b)), pa.array(words)], ["block", "key"])
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -222,13 +249,13 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held"))
     learn = own.where(~F.col("held")).select("doc_id", "text")
 
-    counted = learn.select("text").mapInArrow(_count(shared, end), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counted = materialize(counted)
+    met = learn.select("text").mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = materialize(met.mapInArrow(_encode_words(shared, end), "kind int, key bigint, n bigint"))
     words = counted.where("kind = 0").select("key", "n")
     totals = words.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     total, distinct = int(totals[0] or 0), int(totals[1] or 0)
     id_counts = np.zeros(end + 1, np.int64)  # the vocabulary's size, whatever the corpus
-    for r in counted.where("kind = 1").collect():
+    for r in counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():
         id_counts[r["key"]] = r["n"]
     class_of, log_share, log_p = _classes(id_counts, end)
 
