@@ -7,8 +7,9 @@ a prefix with h hot entries is lengthened until l - h matches of others must rem
 Beyond that each text lengthens its prefix by the number of extra matches with the
 least estimated cost: entries read, and candidates, of which each needs all matches.
 
-1. One pass over the texts makes a set's identity and its n-grams below a fixed hash
-   (``REGION``), where frequencies are counted over all sets. Equal sets are one node.
+1. One pass over the texts makes a set's identity and its n-grams below a fixed hash, the
+   region, where frequencies are counted over all sets. Equal sets are one node. The
+   region is somewhat wider (``MARGIN``) than most prefixes are long.
 2. Nodes whose prefix ends there are done. The others (short, or with many hot
    entries) read the rest of their n-grams, counted among themselves; no other node
    has a prefix that reaches so far, so all nodes agree on what is hot.
@@ -38,7 +39,7 @@ from lexivane.llm.components import components
 from lexivane.session import bounded_broadcast, materialize, ship_package
 
 HOT = 32
-REGION = 0.22  # of the hash values
+MARGIN = 1.45  # the region is this often the share of a set that its shortest prefix takes
 EXTRA = (0, 2, 5)  # extra matches that a prefix may ask for
 VERIFY = 8.0  # cost of a candidate, in list entries
 HASHES = 1 << 63
@@ -181,7 +182,8 @@ def _list_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs``."""
-    rows = materialize(token_sets(docs, words, 0.0, REGION))
+    region = min(1.0, MARGIN * (100 - percent) / 100)
+    rows = materialize(token_sets(docs, words, 0.0, region))
     nodes = materialize(
         rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("toks").alias("toks"))
     )
@@ -197,7 +199,7 @@ def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     own = docs.select("doc_id", "text")
     # texts of the nodes that need more than the region
     far_sets = materialize(
-        token_sets(_rows_of(own, open_), words, REGION, 1.0)
+        token_sets(_rows_of(own, open_), words, region, 1.0)
         .groupBy("node")
         .agg(F.first("below").alias("below"), F.first("toks").alias("toks"))
         .join(open_.select("node"), "node", "left_semi")
