@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from lexivane.functions.terms import analyse
 from lexivane.functions.text import let, unnest
 
+# (rows, name of their text) -> rows with ``embedding``
+Embed = Callable[[DataFrame, str], DataFrame]
+
 INDEXED = ("content", "title", "heading_path")
 # Positions of one column start this far after the last column's, so that no
 # phrase reaches across columns.
@@ -30,6 +34,7 @@ class TextIndex:
     fold: bool = True
     stem: bool = False
     n_buckets: int | None = None
+    embed: Embed | None = None  # what made ``embeddings``; None: hashed words
 
 
 def tokenize(chunks: DataFrame, cols=INDEXED, fold: bool = True, stem: bool = False) -> DataFrame:

@@ -11,14 +11,14 @@ manifest no longer names.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivane.operators.context import bucket_of
-from lexivane.operators.embedding import embed_hash
-from lexivane.operators.postings import TextIndex, chunk_terms, postings_of
+from lexivane.operators.embedding import embed_dedup, embed_hash, task_prefix
+from lexivane.operators.postings import Embed, TextIndex, chunk_terms, postings_of
 from lexivane.session import bounded_broadcast, materialize, scratch_path
 
 CHUNKS = (
@@ -58,6 +58,7 @@ class IndexStore:
     slices: int = 1
     fold: bool = True
     stem: bool = False
+    embed: Embed | None = field(default=None, compare=False)
 
     def _at(self, name: str) -> str:
         return f"{self.path.rstrip('/')}/{name}"
@@ -123,7 +124,12 @@ class IndexStore:
                 fs.delete(self._fs(f"{name}/bucket={b}/version_of={version}")[1], True)
         put = lambda df, name, *order: self._write(df, name, version, *order)
         terms = materialize(chunk_terms(staged, fold=self.fold, stem=self.stem, keep=("bucket",)))
-        vectors = embed_hash(staged.select("bucket", "chunk_id", "content"), "content")
+        texts = staged.select("bucket", "chunk_id", "content")
+        if self.embed is None:
+            vectors = embed_hash(texts, "content")
+        else:  # a model is asked once for each distinct text
+            texts = texts.withColumn("content", task_prefix(F.col("content"), "document"))
+            vectors = embed_dedup(texts, "content", lambda rows: self.embed(rows, "content"))
         vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<float>"))
         put(staged, "chunks", "chunk_id")
         postings = postings_of(terms, keep=("bucket",))
@@ -237,4 +243,5 @@ class IndexStore:
             self.fold,
             self.stem,
             self.n_buckets,
+            self.embed,
         )

@@ -288,6 +288,22 @@ def test_embedding_slot(spark):
     assert got == {1: ([1.0, 2.0], True), 2: ([0.0, 0.0], False), 3: ([1.0, 4.0], True)}
 
 
+def test_a_model_serves_the_index_and_the_questions(spark, folder):
+    def letters():
+        return lambda texts: [[float(t.count(c)) for c in "abcdefgh"] for t in texts]
+
+    model = lambda rows, column: embed_udf(rows, column, letters, 8)
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, embed=model)
+    texts = ["aaaa zz", "bbbb zz", "bbbb zz", "hhhh zz"]
+    run_ingest(documents(spark, [(f"k{i}", t, 1) for i, t in enumerate(texts)]), store, clear=True)
+    assert {len(r["embedding"]) for r in store.open().embeddings.collect()} == {8}
+    queries = spark.createDataFrame([(1, "hhhhhhhhhhhhhhhh", 1)], "query_id bigint, q string, top_k int")
+    rows = hybrid_retrieve(queries, store.open(), expand=False).collect()
+    assert [r["chunk_id"] for r in rows] == ["k3:1"]  # no word in common: found by vector
+    store.upsert(chunk_documents(documents(spark, [("k0", "hhhhhhhhhhhh", 2)])))
+    assert [r["chunk_id"] for r in hybrid_retrieve(queries, store.open(), expand=False).collect()] == ["k0:1"]
+
+
 def test_equal_texts_are_encoded_once(spark):
     df = spark.createDataFrame([(i, "same" if i % 3 else f"t{i}") for i in range(30)], "id int, t string")
     seen = []
