@@ -49,6 +49,7 @@ BLOCK_BYTES = 16 << 20  # of compressed table; what one group of documents holds
 END_WORD = -1  # the end as a word
 END_TEXT = b" "  # what stands for the end among words, which hold no blank
 TEXTS_BYTES, COUNT_BYTES = 1 << 21, 1 << 23
+WORDS_HELD = 500_000  # by a worker's encoder
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _encoders: dict[int, Encoder] = {}
@@ -57,7 +58,7 @@ _encoders: dict[int, Encoder] = {}
 def _encoder(tokenizer_json: str) -> Encoder:
     key = zlib.crc32(tokenizer_json.encode())
     if key not in _encoders:
-        _encoders[key] = Encoder(tokenizer_json)
+        _encoders[key] = Encoder(tokenizer_json, WORDS_HELD)
     return _encoders[key]
 
 

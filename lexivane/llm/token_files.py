@@ -41,9 +41,10 @@ from lexivane.session import bounded_broadcast, scratch_path, ship_package, writ
 
 SHARD_IDS = 1 << 21
 TEXT_BYTES = 1 << 22  # of texts that are encoded together
-WORDS_HELD = 600_000
+WORDS_HELD = 1_200_000  # some 200 bytes each
 JOINED = 256  # new words that are encoded as one text
-ROUNDS, PAIRS, REPEATS = 6, 2048, 8
+ROUNDS, PAIRS, REPEATS = 4, 3072, 8
+LEAST_GAIN = 0.01  # of a sequence; a round that replaces less is the last
 MAGIC = b"REPAIR01"
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,11 +52,12 @@ _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 class Encoder:
     """Ids of texts, by a table of the words met so far."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, held: int = WORDS_HELD):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.held = held
         self.mark_id, self.mark = next((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()))
         self._clear()
 
@@ -66,15 +68,16 @@ class Encoder:
         self.used = np.zeros(0, np.int64)
 
     def _keep_used(self):
-        """Forgets the words that were met once only; most words are."""
+        """Forgets the words that were met once only, as most are, and the less used
+        of the others beyond half of the room."""
         keep = np.flatnonzero(self.used > 1)
-        if len(keep) > WORDS_HELD // 2:
-            return self._clear()
+        if len(keep) > self.held // 2:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: self.held // 2]])
         words = np.array(list(self.code), object)[keep].tolist()
         size = self.first[keep + 1] - self.first[keep]
         ends = np.append(0, np.cumsum(size))
         self.flat = self.flat[np.repeat(self.first[keep] - ends[:-1], size) + np.arange(ends[-1])]
-        self.code, self.first, self.used = dict(zip(words, range(len(words)))), ends, self.used[keep]
+        self.code, self.first, self.used = dict(zip(words, range(len(words)))), ends, self.used[keep] // 2
 
     def _learn(self, words: set[str]):
         """Encodes new words many at a time, a special token between them: it parts the
@@ -102,7 +105,7 @@ class Encoder:
         """All ids, each text followed by ``end``, and the number of ids of each text;
         with ``pieces`` also the number of ids of each word and end."""
         words = [_CHUNK.findall(t) for t in texts]
-        if len(self.code) > WORDS_HELD:
+        if len(self.code) > self.held:
             self._keep_used()
         self._learn({w for x in words for w in x})
         code = self.code
@@ -120,11 +123,14 @@ class Encoder:
 
 def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rule i stands for symbol ``base + i`` and is two symbols."""
-    seq, rules = ids.astype(np.uint64), np.zeros((0, 2), np.uint64)
+    # two symbols are one number; half as wide where all symbols fit, to sort faster
+    half = 16 if base + ROUNDS * PAIRS <= 1 << 16 else 32
+    kind = np.uint32 if half == 16 else np.uint64
+    seq, rules = ids.astype(kind), np.zeros((0, 2), kind)
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        pairs = (seq[:-1] << np.uint64(32)) | seq[1:]
+        pairs = (seq[:-1] << kind(half)) | seq[1:]
         ordered = np.sort(pairs)
         edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         n = np.diff(np.append(edge, len(ordered)))
@@ -134,23 +140,24 @@ def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         top = often[np.argsort(-n[often], kind="stable")[:PAIRS]]
         chosen = np.sort(ordered[edge[top]])
         left = np.zeros(base + len(rules), bool)
-        left[(chosen >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(left[seq[:-1].astype(np.int64)])
-        rule = np.searchsorted(chosen, pairs[at])
-        hit = chosen[np.minimum(rule, len(chosen) - 1)] == pairs[at]
+        left[chosen >> kind(half)] = True
+        at = np.flatnonzero(left[seq[:-1]])
+        own = pairs[at]
+        rule = np.searchsorted(chosen, own)
+        hit = chosen[np.minimum(rule, len(chosen) - 1)] == own
         at, rule = at[hit], rule[hit]
         # of hits in a row every other one is free
         new_run = np.append(True, np.diff(at) > 1)
         run = np.maximum.accumulate(np.where(new_run, at, 0))
         free = (at - run) % 2 == 0
         at, rule = at[free], rule[free]
-        if len(at) < len(seq) // 500:
+        if len(at) < len(seq) * LEAST_GAIN:
             break
-        seq[at] = np.uint64(base + len(rules)) + rule.astype(np.uint64)
+        seq[at] = (base + len(rules) + rule).astype(kind)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1)])
+        rules = np.concatenate([rules, np.stack([chosen >> kind(half), chosen & kind((1 << half) - 1)], 1)])
     return seq.astype(np.uint32), rules.astype(np.uint32)
 
 
