@@ -45,11 +45,11 @@ PASSES = 6  # at most, in a round over a corpus of fewer words
 ROUNDS = 3
 STEPS = (0.01, 0.005, 0.0025)  # learning rate of each round
 BASE_SHARE = 0.3
-BLOCK_BYTES = 16 << 20  # of compressed table; what one group of documents holds
+BLOCK_BYTES = 8 << 20  # of compressed table; what one group of documents holds
 END_WORD = -1  # the end as a word
 END_TEXT = b" "  # what stands for the end among words, which hold no blank
-TEXTS_BYTES, COUNT_BYTES = 1 << 21, 1 << 23
-WORDS_HELD = 500_000  # by a worker's encoder
+TEXTS_BYTES, COUNT_BYTES = 1 << 19, 1 << 22
+WORDS_HELD = 250_000  # by a worker's encoder
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _encoders: dict[int, Encoder] = {}
