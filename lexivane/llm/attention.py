@@ -2,7 +2,9 @@
 
 One layer: embedding and position, masked attention of ``HEAD`` channels, a hidden
 layer, and a class softmax in two steps (group, then member of the group), so a token
-costs two short softmaxes instead of one over all classes.
+costs two short softmaxes instead of one over all classes. The last class may hold more
+symbols, numbered from ``BEGIN + 1`` on: each has its own input, and two more steps (part
+of the class, then member of the part) give its share of the class.
 
 Texts are scored in windows that overlap: each has ``HALF`` targets and the ``HALF``
 inputs before them as context, so each token is scored once and sees at least as many
@@ -15,12 +17,15 @@ import numpy as np
 
 GROUPS = 64
 CLASSES = GROUPS * GROUPS
-BEGIN = CLASSES  # the input before the first token
+BEGIN = CLASSES  # the input before the first token; symbols of the last class follow
+LAST = CLASSES - 1
+NONE = -1e4  # log share of a place that no symbol has
 HEAD, HIDDEN, HALF = 16, 32, 16
 
 
-def new_model(log_p: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
-    """Weights that start as the unigram distribution ``log_p`` of the classes."""
+def new_model(log_p: np.ndarray, seed: int = 1, log_share: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Weights that start as the unigram distribution ``log_p`` of the classes, and
+    ``log_share`` of the symbols within the last class."""
     rng = np.random.default_rng(seed)
 
     def rand(*shape):
@@ -28,12 +33,20 @@ def new_model(log_p: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
 
     rows = log_p.reshape(GROUPS, GROUPS)
     group = np.log(np.exp(rows).sum(1))
+    log_share = np.zeros(1) if log_share is None or not len(log_share) else log_share
+    side = int(np.ceil(np.sqrt(len(log_share))))
+    shares = np.full(side * side, NONE)
+    shares[np.arange(len(log_share)) % side * side + np.arange(len(log_share)) // side] = log_share  # dealt over the parts
+    shares = shares.reshape(side, side)
+    part = np.log(np.exp(shares).sum(1))
     return {
-        "emb": rand(CLASSES + 1, HEAD), "pos": rand(2 * HALF, HEAD),
+        "emb": rand(CLASSES + 1 + len(log_share), HEAD), "pos": rand(2 * HALF, HEAD),
         "q": rand(HEAD, HEAD), "k": rand(HEAD, HEAD), "v": rand(HEAD, HEAD), "o": rand(HEAD, HEAD),
         "w1": rand(HEAD, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": rand(HIDDEN, HEAD),
         "gw": rand(HEAD, GROUPS) * 0.1, "gb": group.astype(np.float32),
         "mw": rand(GROUPS, HEAD, GROUPS) * 0.1, "mb": (rows - group[:, None]).astype(np.float32),
+        "pw": rand(HEAD, side) * 0.1, "pb": part.astype(np.float32),
+        "sw": rand(side, HEAD, side) * 0.1, "sb": np.maximum(shares - part[:, None], NONE).astype(np.float32),
     }
 
 
@@ -100,23 +113,35 @@ def _forward(m, inputs, valid):
 
 def _by_group(group: np.ndarray):
     order = np.argsort(group, kind="stable")
-    edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    return [(g, order[edge[g] : edge[g + 1]]) for g in range(GROUPS) if edge[g] < edge[g + 1]]
+    edge = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+    return [(int(group[order[a]]), order[a:z]) for a, z in zip(edge, edge[1:])]
 
 
-def log_probs(m, classes: np.ndarray, counts: np.ndarray, batch: int = 2048, part: int = 256) -> np.ndarray:
+def _last(m, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the symbols of the last class, their part, their place in the part)."""
+    at = np.flatnonzero(symbols > BEGIN)
+    member, part = np.divmod(symbols[at] - BEGIN - 1, len(m["pb"]))
+    return at, part, member
+
+
+def log_probs(m, classes: np.ndarray, counts: np.ndarray, batch: int = 2048, few: int = 256) -> np.ndarray:
     """Natural log probability of each class given those before it in its text.
 
-    Windows go through the layer ``part`` at a time, so that they stay in the cache.
+    Windows go through the layer ``few`` at a time, so that they stay in the cache.
     """
     out = np.zeros(len(classes))
     inputs, valid, place = windows(classes, counts)
     for low in range(0, len(inputs), batch):
         high = min(low + batch, len(inputs))
-        h = np.concatenate([_forward(m, inputs[i : min(i + part, high)], valid[i : min(i + part, high)])[-1] for i in range(low, high, part)])
+        h = np.concatenate([_forward(m, inputs[i : min(i + few, high)], valid[i : min(i + few, high)])[-1] for i in range(low, high, few)])
         to = place[low:high].ravel()
         h, to = h.reshape(-1, HEAD)[to >= 0], to[to >= 0]
-        group, member = np.divmod(classes[to], GROUPS)
+        own, part, member = _last(m, classes[to])
+        last = _log_softmax_at(h[own] @ m["pw"] + m["pb"], part)
+        for g, rows in _by_group(part):
+            last[rows] += _log_softmax_at(h[own[rows]] @ m["sw"][g] + m["sb"][g], member[rows])
+        out[to[own]] = last
+        group, member = np.divmod(np.minimum(classes[to], LAST), GROUPS)
         order = np.argsort(group.astype(np.uint8), kind="stable")  # tokens of a group side by side
         h, to, group, member = h[order], to[order], group[order], member[order]
         lp = _log_softmax_at(h @ m["gw"] + m["gb"], group)
@@ -125,17 +150,31 @@ def log_probs(m, classes: np.ndarray, counts: np.ndarray, batch: int = 2048, par
             own = slice(edge[g], edge[g + 1])
             if edge[g] < edge[g + 1]:
                 lp[own] += _log_softmax_at(h[own] @ m["mw"][g] + m["mb"][g], member[own])
-        out[to] = lp
+        out[to] += lp
     return out
 
 
 def gradients(m, inputs, valid, y) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss and its gradients; ``y``: target classes, -1 for none."""
+    loss, d = _gradients(m, inputs, valid, y)
+    for k in SPARSE:
+        rows, g = d[k]
+        d[k] = np.zeros_like(m[k])
+        d[k][rows] = g
+    return loss, d
+
+
+SPARSE = ("emb", "sw", "sb")  # a batch meets few of their rows
+
+
+def _gradients(m, inputs, valid, y) -> tuple[float, dict]:
+    """As ``gradients``; those of ``SPARSE`` are (rows, values)."""
     x, late, q, k, v, a, c, h, r, top = _forward(m, inputs, valid)
     flat = top.reshape(-1, HEAD)
     own = np.flatnonzero(y.ravel() >= 0)
-    t = y.ravel()[own]
-    n, hs = max(len(own), 1), flat[own]
+    n, hs, t = max(len(own), 1), flat[own], y.ravel()[own]
+    last, part, member = _last(m, t)
+    t = np.minimum(t, LAST)
     p = _softmax(hs @ m["gw"] + m["gb"])
     loss = -np.log(p[np.arange(len(t)), t // GROUPS] + 1e-30).sum()
     p[np.arange(len(t)), t // GROUPS] -= 1
@@ -150,6 +189,25 @@ def gradients(m, inputs, valid, y) -> tuple[float, dict[str, np.ndarray]]:
         s /= n
         d["mw"][g], d["mb"][g] = hs[rows].T @ s, s.sum(0)
         dh[rows] += s @ m["mw"][g].T
+    hl = hs[last]
+    p = _softmax(hl @ m["pw"] + m["pb"])
+    loss -= np.log(p[np.arange(len(part)), part] + 1e-30).sum()
+    p[np.arange(len(part)), part] -= 1
+    p /= n
+    d["pw"], d["pb"] = hl.T @ p, p.sum(0)
+    dl, parts = p @ m["pw"].T, _by_group(part)
+    sw, sb = (np.zeros((len(parts), *m[k].shape[1:]), m[k].dtype) for k in ("sw", "sb"))
+    for i, (g, rows) in enumerate(parts):
+        s = _softmax(hl[rows] @ m["sw"][g] + m["sb"][g])
+        at = np.arange(len(rows)), member[rows]
+        loss -= np.log(s[at] + 1e-30).sum()
+        s[at] -= 1
+        s /= n
+        sw[i], sb[i] = hl[rows].T @ s, s.sum(0)
+        dl[rows] += s @ m["sw"][g].T
+    dh[last] += dl
+    met = np.array([g for g, _ in parts], np.int64)
+    d["sw"], d["sb"] = (met, sw), (met, sb)
     dtop = np.zeros_like(flat)
     dtop[own] = dh
     dtop = dtop.reshape(top.shape)
@@ -167,21 +225,25 @@ def gradients(m, inputs, valid, y) -> tuple[float, dict[str, np.ndarray]]:
     dx = dk @ m["k"].T + dv @ m["v"].T
     dx[:, HALF:] += dh + dq @ m["q"].T
     d["pos"] = dx.sum(0)
-    flat_in, rows = inputs.ravel(), two(dx)
-    d["emb"] = np.stack([np.bincount(flat_in, rows[:, j], CLASSES + 1) for j in range(HEAD)], 1).astype(np.float32)
+    rows = two(dx)
+    met, at = np.unique(inputs.ravel(), return_inverse=True)
+    at = at.ravel()
+    d["emb"] = met, np.stack([np.bincount(at, rows[:, j], len(met)) for j in range(HEAD)], 1).astype(np.float32)
     return loss / n, d
 
 
 def train(m, inputs, valid, targets, rate: float, seed: int, batch: int = 256) -> dict[str, np.ndarray]:
-    """One pass in random order with Adam."""
+    """One pass in random order with Adam; rows that a batch does not meet stay."""
     m = {k: x.copy() for k, x in m.items()}
     first, second = ({k: np.zeros_like(x) for k, x in m.items()} for _ in range(2))
     order = np.random.default_rng(seed).permutation(len(inputs))
     for step, low in enumerate(range(0, len(order), batch), 1):
         own = order[low : low + batch]
-        _, d = gradients(m, inputs[own], valid[own], targets[own])
+        _, d = _gradients(m, inputs[own], valid[own], targets[own])
         for k, g in d.items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            m[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            at, g = g if k in SPARSE else (slice(None), g)
+            a = 0.9 * first[k][at] + 0.1 * g
+            b = 0.99 * second[k][at] + 0.01 * g * g
+            first[k][at], second[k][at] = a, b
+            m[k][at] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return m

@@ -2,14 +2,14 @@
 
 Counts of words and of subword ids cover all training documents (those whose CRC-32 of
 the id is not ``HELD`` modulo ``FOLDS``). A causal self-attention model over subword
-classes (``attention.py``) is trained in ``ROUNDS`` rounds: in each, every task trains
-the current weights on its part of a sample of the training documents, and the
-weights' mean by tokens starts the next round. The sample is a fixed share (``RATE``) of
-the documents, more for a small corpus (``LEAST_WORDS``), which is also passed several
-times; it grows with the input.
-
-Classes are the subword ids most frequent in training and one class for the others,
-within which the training frequencies decide. A word's probability is that of its
+classes (``attention.py``) is trained in ``ROUNDS`` rounds: a hash of the id gives each
+training document to one of them, whatever the size of the corpus. In a round every task
+trains the current weights on its part of the round's documents, and the weights' mean by
+tokens starts the next round. All documents are passed once; a corpus of few words
+(``LEAST_WORDS``) is passed several times.
+
+Classes are the subword ids most frequent in training and one class for the others. Each
+of these is a symbol of its own as well, as input and within its class. A word's probability is that of its
 subwords given those before it, mixed with the word's smoothed frequency (``BASE_SHARE``),
 which is also its base score. A document ends with an end id, scored like a word.
 
@@ -39,9 +39,8 @@ from lexivane.llm.token_files import Encoder
 from lexivane.session import materialize, ship_package
 
 FOLDS, HELD = 7, 2
-RATE = 1 / 48
 LEAST_WORDS = 200_000
-PASSES = 6  # at most, in a round over a corpus of fewer words
+PASSES = 6  # at most, over a corpus of fewer words
 ROUNDS = 3
 STEPS = (0.01, 0.005, 0.0025)  # learning rate of each round
 BASE_SHARE = 0.3
@@ -66,6 +65,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
 
 
+def round_of(doc_id: Column) -> Column:
+    """The round that trains on a document."""
+    return F.pmod(F.xxhash64(doc_id.cast("string"), F.lit(17)), F.lit(ROUNDS))
+
+
 def _slices(column: pa.Array, most: int = TEXTS_BYTES):
     """(first row, texts) of slices of about ``most`` bytes."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -127,12 +131,11 @@ def _encode_words(shared, end: int):
 
 
 def _train(shared, weights, class_of, end: int, step: float, seed: int, passes: int):
-    """text -> one row: the weights after ``passes`` over the task's texts, times targets."""
+    """text -> one row: the weights after ``passes`` over the task's texts, and targets."""
 
     def run(batches):
         encoder, classes = _encoder(shared.value), class_of.value
-        like = attention.new_model(np.zeros(attention.CLASSES))
-        model, total, done = attention.unpack(weights.value, like), np.zeros(len(weights.value)), 0
+        model, done = attention.unpack(weights.value, _like(end)), 0
         for batch in batches:
             for _, texts in _slices(batch.column("text")):
                 ids, n = encoder.encode(texts, end)
@@ -143,39 +146,48 @@ def _train(shared, weights, class_of, end: int, step: float, seed: int, passes:
                     model = attention.train(model, inputs, valid, targets, step, seed + 100 * again)
                 done += len(y)
         if done:
-            total = attention.pack(model) * done
-        yield pa.RecordBatch.from_arrays([pa.array([done]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "w"])
+            yield _weights_row(done, attention.pack(model))
 
     return run
 
 
+def _weights_row(n: int, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([weights.astype("<f4").tobytes()], pa.binary())], ["n", "w"])
+
+
 def _sum_weights(batches):
     n, w = 0, None
     for batch in batches:
         for k in range(batch.num_rows):
-            own = batch.column("w")[k].values.to_numpy()
-            n, w = n + batch.column("n")[k].as_py(), own if w is None else w + own
+            m = batch.column("n")[k].as_py()
+            own = np.frombuffer(batch.column("w")[k].as_py(), "<f4") * float(m)
+            n, w = n + m, own if w is None else w + own
     if w is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([w.tolist()], pa.list_(pa.float64()))], ["n", "w"])
+        yield _weights_row(n, w / n)
 
 
 def _mean_weights(rows: DataFrame, start: np.ndarray) -> np.ndarray:
-    """Means over tasks: sums of sums, 32 at a time, so no task gathers them all."""
-    kind = "n bigint, w array<double>"
+    """Means over tasks: means of means, 32 at a time, so no task gathers them all."""
+    kind = "n bigint, w binary"
     width = 1024
     while width >= 1:
         rows = rows.repartition(width).mapInArrow(_sum_weights, kind) if width < 1024 else rows.mapInArrow(_sum_weights, kind)
         width //= 32
     got = [r for r in rows.collect() if r["n"]]
-    return np.asarray(got[0]["w"]) / got[0]["n"] if got else start
+    return np.frombuffer(got[0]["w"], "<f4") if got else start
+
 
+def _like(end: int) -> dict[str, np.ndarray]:
+    """A model of the right shape: each of ``end + 1`` ids is a class or in the last one."""
+    return attention.new_model(np.zeros(attention.CLASSES), log_share=np.zeros(max(0, end + 1 - attention.LAST)))
 
-def _score(shared, weights, class_of, share_of, end: int, total: int, distinct: int):
+
+def _score(shared, weights, class_of, end: int, total: int, distinct: int):
     """(documents of a block, counts of its words) -> scores."""
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        encoder, classes, log_share = _encoder(shared.value), class_of.value, share_of.value
-        model = attention.unpack(weights.value, attention.new_model(np.zeros(attention.CLASSES)))
+        encoder, classes = _encoder(shared.value), class_of.value
+        model = attention.unpack(weights.value, _like(end))
         keys, n_of = (counts.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "n"))
         order = np.argsort(keys)
         keys, n_of = keys[order], n_of[order]
@@ -195,7 +207,7 @@ def _score(shared, weights, class_of, share_of, end: int, total: int, distinct:
             base = np.log10(c + 1.0) - lower
             ids, n_ids, pieces = encoder.encode(texts, end, pieces=True)
             y = classes[ids]
-            lp = attention.log_probs(model, y, n_ids) + log_share[ids]
+            lp = attention.log_probs(model, y, n_ids)
             edge = np.append(0, np.cumsum(pieces))
             sums = np.append(0.0, np.cumsum(lp))
             own = (sums[edge[1:]] - sums[edge[:-1]]) / np.log(10)
@@ -260,14 +272,15 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         id_counts[r["key"]] = r["n"]
     class_of, log_share, log_p = _classes(id_counts, end)
 
-    weights = attention.pack(attention.new_model(log_p))
-    class_of, share = sc.broadcast(class_of), sc.broadcast(log_share)
-    rate = min(1.0, max(RATE, LEAST_WORDS / max(total, 1)))
-    drawn = learn.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    passes = min(PASSES, max(1, -(-2 * LEAST_WORDS // max(1, int(total * rate)))))
+    symbol_of = _symbols(class_of)
+    weights = attention.pack(attention.new_model(log_p, log_share=log_share[symbol_of > attention.BEGIN]))
+    symbol_of = sc.broadcast(symbol_of)
+    passes = min(PASSES, max(1, -(-2 * LEAST_WORDS * ROUNDS // max(1, total))))
     for i in range(ROUNDS if total else 0):
         now = sc.broadcast(weights.astype(np.float32))
-        rows = drawn.select("text").mapInArrow(_train(shared, now, class_of, end, STEPS[i], i, passes), "n bigint, w array<double>")
+        rows = learn.where(round_of(F.col("doc_id")) == i).select("text").mapInArrow(
+            _train(shared, now, symbol_of, end, STEPS[i], i, passes), "n bigint, w binary"
+        )
         weights = _mean_weights(rows, weights)
     now = sc.broadcast(weights.astype(np.float32))
 
@@ -283,7 +296,7 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         ]
     )
     scored = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        _score(shared, now, class_of, share, end, total, distinct), schema
+        _score(shared, now, symbol_of, end, total, distinct), schema
     )
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
@@ -307,6 +320,14 @@ def _classes(counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.n
     return class_of, log_share, np.log(by_class / by_class.sum())
 
 
+def _symbols(class_of: np.ndarray) -> np.ndarray:
+    """Symbol of each id: its class, or for those in the last class one of its own."""
+    out = class_of.copy()
+    rest = np.flatnonzero(class_of == attention.LAST)
+    out[rest] = attention.BEGIN + 1 + np.arange(len(rest))
+    return out
+
+
 @query("op3_lm_scoring")
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lexivane.llm import attention, lm
 
@@ -88,3 +90,65 @@ def test_gradients_equal_differences():
             side.append(attention.gradients(m, inputs, valid, targets)[0])
         m[k][at] += 1e-5
         assert d[k][at] == pytest.approx((side[0] - side[1]) / 2e-5, rel=1e-3, abs=1e-8)
+
+
+def test_every_training_document_trains_the_model(spark, monkeypatch):
+    """Also where the corpus is far larger than what is passed again."""
+    monkeypatch.setattr(lm, "LEAST_WORDS", 100)
+    rows = [(i, f"text {i} " + "of many plain words " * 15) for i in range(500)]
+    trained = []
+    mean = lm._mean_weights
+
+    def spy(made, start):
+        made = made.localCheckpoint()
+        trained.append(made.agg(F.sum("n")).first()[0] or 0)
+        return mean(made, start)
+
+    monkeypatch.setattr(lm, "_mean_weights", spy)
+    lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH)
+    encoder = lm._encoder(Tokenizer.from_file(PATH).to_str())
+    texts = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sum(trained) == len(encoder.encode(texts, 0)[0]) and all(trained)
+
+
+def test_rare_ids_depend_on_what_stands_before():
+    counts = np.arange(49_409)[::-1].copy()
+    class_of, share, log_p = lm._classes(counts, 49_408)
+    symbol = lm._symbols(class_of)
+    assert len(np.unique(symbol)) == len(counts)
+    model = attention.new_model(log_p, log_share=share[symbol > attention.BEGIN])
+    assert {k: v.shape for k, v in model.items()} == {k: v.shape for k, v in lm._like(49_408).items()}
+    rare = symbol[[30_000, 40_000, 45_000, 48_000]]
+
+    def of(*text):
+        return attention.log_probs(model, np.array(text), np.array([len(text)]))
+
+    own = np.flatnonzero(symbol > attention.BEGIN)
+    pairs = np.stack([np.full(len(own), symbol[7]), symbol[own]], 1).ravel()
+    last = attention.log_probs(model, pairs, np.full(len(own), 2))[1::2]
+    assert np.exp(last).sum() == pytest.approx(np.exp(of(symbol[7], attention.LAST)[1]), rel=1e-3)
+    rng = np.random.default_rng(1)
+    y = np.concatenate([(symbol[rng.integers(0, 9, rng.integers(1, 3))], rare[:2], rare[2:])[rng.integers(3)] for _ in range(800)])
+    inputs, valid, place = attention.windows(y, np.array([len(y)]))
+    targets = np.where(place >= 0, y[np.maximum(place, 0)], -1)
+    for k in range(60):
+        model = attention.train(model, inputs, valid, targets, 0.02, k)
+    assert of(rare[0], rare[1])[1] > of(rare[2], rare[1])[1] + 0.5
+
+
+def test_gradients_of_rare_ids_equal_differences():
+    rng = np.random.default_rng(3)
+    share = np.full(50, -np.log(50))
+    m = {k: v.astype(float) for k, v in attention.new_model(np.full(attention.CLASSES, -np.log(attention.CLASSES)), log_share=share).items()}
+    y = np.where(rng.random(60) < 0.5, rng.integers(0, 100, 60), attention.BEGIN + 1 + rng.integers(0, 50, 60))
+    inputs, valid, place = attention.windows(y, np.array([25, 35]))
+    targets = np.where(place >= 0, y[np.maximum(place, 0)], -1)
+    _, d = attention.gradients(m, inputs, valid, targets)
+    for k in m:
+        at = np.unravel_index(np.argmax(abs(d[k])), d[k].shape)
+        side = []
+        for e in (1e-5, -2e-5):
+            m[k][at] += e
+            side.append(attention.gradients(m, inputs, valid, targets)[0])
+        m[k][at] += 1e-5
+        assert d[k][at] == pytest.approx((side[0] - side[1]) / 2e-5, rel=1e-3, abs=1e-8)
