@@ -2,9 +2,9 @@
 
 Texts are put in order of their ids by range partitioning, encoded, and cut into
 shards of about ``SHARD_IDS`` ids. In a shard, Re-Pair runs in rounds: the most frequent
-pairs of neighbouring ids become nonterminals, occurrences are replaced from left to
-right without overlap, and the next round counts pairs of the new sequence, until few
-pairs repeat. A shard stores its rules, the length that each rule expands to, the
+pairs of neighbouring ids become nonterminals, and occurrences are replaced without
+overlap, those of the more frequent pair first, until no pair stands ``REPEATS`` times. A round counts only the
+pairs around the places that the round before replaced. A shard stores its rules, the length that each rule expands to, the
 sequence and the documents' first ids; any range of ids is decoded by finding its place
 among the expansion lengths, without the rest of the shard.
 
@@ -43,9 +43,9 @@ SHARD_IDS = 1 << 21
 TEXT_BYTES = 1 << 22  # of texts that are encoded together
 WORDS_HELD = 1_200_000  # some 200 bytes each
 JOINED = 256  # new words that are encoded as one text
-ROUNDS, PAIRS, REPEATS = 4, 3072, 8
-LEAST_GAIN = 0.01  # of a sequence; a round that replaces less is the last
-MAGIC = b"REPAIR01"
+REPEATS = 8
+SHARE = 4  # a round takes the pairs that stand at least this part of the most frequent one's times
+MAGIC = b"REPAIR02"
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -121,65 +121,133 @@ class Encoder:
         return (*out, np.insert(size, edge[1:], 1)) if pieces else out
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each stands."""
+    ordered = np.sort(keys)
+    edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[edge], np.diff(np.append(edge, len(ordered)))
+
+
+def _free(at: np.ndarray, rule: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which hits are replaced: where they overlap, that of the pair of lower rank, and
+    of one pair in a row every other one. So copies are cut alike whatever is around."""
+    run = np.append(True, (np.diff(at) > 1) | (np.diff(rule) != 0))
+    place = np.arange(len(at))
+    left = np.flatnonzero((place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0)
+    out = [left[:0]]
+    while len(left):
+        own, r = at[left], rank[rule[left]]
+        beside = np.diff(own) == 1
+        loses = np.zeros(len(left), bool)
+        loses[1:] |= beside & (r[1:] > r[:-1])
+        loses[:-1] |= beside & (r[:-1] > r[1:])
+        wins = ~loses
+        out.append(left[wins])
+        loses[1:] &= ~(beside & wins[:-1])
+        loses[:-1] &= ~(beside & wins[1:])
+        left = left[loses]
+    return np.sort(np.concatenate(out))
+
+
+def _replaced(at: np.ndarray, rule: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hits that are replaced, of pairs for which that happens twice or more."""
+    while True:
+        free = _free(at, rule, rank)
+        few = (np.bincount(rule[free], minlength=len(rank)) < 2)[rule]
+        if not few[free].any():
+            return at[free], rule[free]
+        at, rule = at[~few], rule[~few]
+
+
 def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rule i stands for symbol ``base + i`` and is two symbols."""
-    # two symbols are one number; half as wide where all symbols fit, to sort faster
-    half = 16 if base + ROUNDS * PAIRS <= 1 << 16 else 32
-    kind = np.uint32 if half == 16 else np.uint64
-    seq, rules = ids.astype(kind), np.zeros((0, 2), kind)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        pairs = (seq[:-1] << kind(half)) | seq[1:]
-        ordered = np.sort(pairs)
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        n = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(n >= REPEATS)
-        if not len(often):
-            break
-        top = often[np.argsort(-n[often], kind="stable")[:PAIRS]]
-        chosen = np.sort(ordered[edge[top]])
-        left = np.zeros(base + len(rules), bool)
+    # two symbols are one number; half as wide while all symbols fit, to sort faster
+    kind, half = (np.uint32, 16) if base <= 1 << 16 else (np.uint64, 32)
+    seq, rules = ids.astype(kind), np.zeros((0, 2), np.uint32)
+    keys, n = _counted((seq[:-1] << kind(half)) | seq[1:])
+    keys, n = keys[n >= REPEATS], n[n >= REPEATS]
+    while len(keys):
+        top = n >= max(REPEATS, n.max() // SHARE)
+        size = base + len(rules)
+        if half == 16 and size + int(top.sum()) > 1 << 16:
+            kind, half, seq = np.uint64, 32, seq.astype(np.uint64)
+            keys = (keys.astype(np.uint64) >> np.uint64(16) << np.uint64(32)) | (keys & np.uint32(0xFFFF)).astype(np.uint64)
+        chosen = keys[top]
+        left, right = np.zeros(size, bool), np.zeros(size, bool)
         left[chosen >> kind(half)] = True
-        at = np.flatnonzero(left[seq[:-1]])
-        own = pairs[at]
+        right[chosen & kind((1 << half) - 1)] = True
+        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
+        own = (seq[at] << kind(half)) | seq[at + 1]
         rule = np.searchsorted(chosen, own)
         hit = chosen[np.minimum(rule, len(chosen) - 1)] == own
-        at, rule = at[hit], rule[hit]
-        # of hits in a row every other one is free
-        new_run = np.append(True, np.diff(at) > 1)
-        run = np.maximum.accumulate(np.where(new_run, at, 0))
-        free = (at - run) % 2 == 0
-        at, rule = at[free], rule[free]
-        if len(at) < len(seq) * LEAST_GAIN:
-            break
-        seq[at] = (base + len(rules) + rule).astype(kind)
+        rank = np.empty(len(chosen), np.int64)
+        rank[np.argsort(-n[top], kind="stable")] = np.arange(len(chosen))
+        at, rule = _replaced(at[hit], rule[hit], rank)
+        used = np.unique(rule)
+        # pairs at and next to the replaced places go
+        near = np.zeros(len(seq) + 1, bool)
+        near[at] = near[at + 1] = near[at - 1] = True  # before the first place: the last entry, cut off
+        gone = np.flatnonzero(near[: len(seq) - 1])
+        gone = (seq[gone] << kind(half)) | seq[gone + 1]
+        place = np.minimum(np.searchsorted(keys, gone), len(keys) - 1)
+        n = n - np.bincount(place[keys[place] == gone], minlength=len(keys))
+        seq[at] = (size + np.searchsorted(used, rule)).astype(kind)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([chosen >> kind(half), chosen & kind((1 << half) - 1)], 1)])
-    return seq.astype(np.uint32), rules.astype(np.uint32)
+        chosen = chosen[used]
+        rules = np.concatenate([rules, np.stack([chosen >> kind(half), chosen & kind((1 << half) - 1)], 1).astype(np.uint32)])
+        # and those with a new symbol come
+        fresh = seq >= kind(size)
+        new = np.flatnonzero(fresh[:-1] | fresh[1:])
+        more, m = _counted((seq[new] << kind(half)) | seq[new + 1])
+        keys, n = np.concatenate([keys[n >= REPEATS], more[m >= REPEATS]]), np.concatenate([n[n >= REPEATS], m[m >= REPEATS]])
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+    return seq.astype(np.uint32), rules
+
+
+def _levels(rules: np.ndarray, base: int):
+    """(first, past the last) of rules that use only symbols of earlier ones."""
+    most = np.maximum.accumulate(rules.max(1)) if len(rules) else rules
+    low = 0
+    while low < len(rules):
+        high = int(np.searchsorted(most, base + low))
+        yield low, high
+        low = high
 
 
 def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
     out = np.ones(base + len(rules), np.int64)
-    low = 0
-    while low < len(rules):  # rules of one round use symbols of earlier rounds only
-        high = low + int(np.searchsorted(np.maximum.accumulate(rules[low:].max(1)), base + low))
+    for low, high in _levels(rules, base):
         out[base + low : base + high] = out[rules[low:high]].sum(1)
-        low = high
     return out
 
 
+def _planes(symbols: np.ndarray, bits: int) -> bytes:
+    """The 16 low bits of all symbols, then each further bit of all."""
+    high = [np.packbits(symbols >> b & 1).tobytes() for b in range(16, bits)]
+    return symbols.astype("<u2").tobytes() + b"".join(high)
+
+
+def _from_planes(data: bytes, n: int, bits: int, at: int) -> tuple[np.ndarray, int]:
+    """(symbols, where they end)."""
+    out, at, size = np.frombuffer(data, "<u2", n, at).astype(np.int64), at + 2 * n, -(-n // 8)
+    for b in range(16, bits):
+        out |= np.unpackbits(np.frombuffer(data, "u1", size, at), count=n).astype(np.int64) << b
+        at += size
+    return out, at
+
+
 def pack(ids: np.ndarray, counts: np.ndarray, base: int) -> bytes:
     """A shard: head, rules, expansion lengths, sequence, ids per document."""
     seq, rules = repair(ids, base)
-    wide = np.dtype("<u2") if base + len(rules) <= 1 << 16 else np.dtype("<u4")
+    bits = max(16, (base + len(rules) - 1).bit_length())
     out = io.BytesIO()
-    out.write(MAGIC + struct.pack("<5Q", base, len(rules), len(seq), len(counts), wide.itemsize))
-    out.write(rules.astype(wide).tobytes())
+    out.write(MAGIC + struct.pack("<5Q", base, len(rules), len(seq), len(counts), bits))
+    out.write(_planes(rules.ravel(), bits))
     out.write(_lengths(rules, base)[base:].astype("<u4").tobytes())
-    out.write(seq.astype(wide).tobytes())
+    out.write(_planes(seq, bits))
     out.write(counts.astype("<u4").tobytes())
     return out.getvalue()
 
@@ -196,23 +264,24 @@ class Shard:
     def read(cls, data: bytes) -> Shard:
         if data[:8] != MAGIC:
             raise ValueError("not a shard of token ids")
-        base, n_rules, n_seq, n_docs, width = struct.unpack_from("<5Q", data, 8)
-        at, parts = 48, []
-        for n, kind in ((2 * n_rules, f"<u{width}"), (n_rules, "<u4"), (n_seq, f"<u{width}"), (n_docs, "<u4")):
-            parts.append(np.frombuffer(data, kind, n, at).astype(np.int64))
-            at += parts[-1].size * np.dtype(kind).itemsize
-        lengths = np.concatenate([np.ones(base, np.int64), parts[1]])
-        return cls(base, parts[0].reshape(-1, 2), lengths, parts[2], parts[3])
+        base, n_rules, n_seq, n_docs, bits = struct.unpack_from("<5Q", data, 8)
+        rules, at = _from_planes(data, 2 * n_rules, bits, 48)
+        own = np.frombuffer(data, "<u4", n_rules, at).astype(np.int64)
+        seq, at = _from_planes(data, n_seq, bits, at + 4 * n_rules)
+        counts = np.frombuffer(data, "<u4", n_docs, at).astype(np.int64)
+        lengths = np.concatenate([np.ones(base, np.int64), own])
+        return cls(base, rules.reshape(-1, 2), lengths, seq, counts)
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """All symbols' ids, one after another, and where each symbol's ids begin."""
         first = np.append(0, np.cumsum(self.lengths))
         flat = np.zeros(first[-1], np.uint32)
         flat[: self.base] = np.arange(self.base)
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            at, cut = first[self.base + i], first[self.base + i] + self.lengths[a]
-            flat[at:cut] = flat[first[a] : first[a + 1]]
-            flat[cut : first[self.base + i + 1]] = flat[first[b] : first[b + 1]]
+        for low, high in _levels(self.rules, self.base):
+            both = self.rules[low:high].ravel()
+            size = self.lengths[both]
+            at = np.cumsum(size) - size
+            flat[first[self.base + low] : first[self.base + high]] = flat[np.repeat(first[both] - at, size) + np.arange(size.sum())]
         return flat, first
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:

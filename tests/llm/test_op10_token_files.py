@@ -52,3 +52,19 @@ def test_grammar_round_trip_and_random_access():
         assert np.array_equal(shard.lengths[shard.base :], [len(shard._expand(np.array([shard.base + i]))) for i in range(len(shard.rules))])
     packed = tf.pack(np.tile(phrase, 400).astype(np.uint32), np.array([24_000]), 49_408)
     assert len(packed) < 24_000 * 2 / 4 and np.array_equal(tf.Shard.read(packed).document(0), np.tile(phrase, 400))
+
+
+def test_no_pair_repeats_when_a_grammar_is_done():
+    rng = np.random.default_rng(7)
+    long_copy = np.tile(rng.integers(2, 40_000, 5000), 40)
+    few = rng.integers(2, 60, 60_000)
+    many = np.repeat(rng.integers(2, 49_000, (30_000, 2)), 9, axis=0)[rng.permutation(270_000)].ravel()  # over 65536 symbols
+    for ids in (long_copy, few, many, np.full(3000, 7), np.append(long_copy, rng.integers(2, 40_000, 300_000))):
+        seq, rules = tf.repair(ids.astype(np.uint32), 49_408)
+        pairs, n = np.unique(seq[:-1].astype(np.int64) << 32 | seq[1:], return_counts=True)
+        assert not len(n) or n.max() < tf.REPEATS
+        shard = tf.Shard.read(tf.pack(ids.astype(np.uint32), np.array([len(ids)]), 49_408))
+        assert np.array_equal(shard.ids(), ids) and shard.lengths.max() <= len(ids)
+    assert len(tf.repair(many.astype(np.uint32), 49_408)[1]) > 1 << 14
+    seq, rules = tf.repair(long_copy.astype(np.uint32), 49_408)
+    assert len(seq) < 400
