@@ -1,15 +1,15 @@
-"""Benchmark items in training texts: rare n-gram seeds, then Smith-Waterman scores.
+"""Benchmark items in training texts: n-gram seeds, then Smith-Waterman scores.
 
 Words are runs of letters and digits in lower case. An item's seeds are its three-word
-windows; their document frequency is counted over the whole corpus, and the item's
-rarer half (ties included) is looked up in every text. Around each hit the text's words
-are aligned with the item's words: ``MATCH`` for equal words, ``MISS`` and ``GAP``
+windows, and all of them are looked up in every text: the more a part of an item is
+copied, the more common its seeds are, so none may be left out for that. Items too few
+of whose words are in the text, or around the hits, cannot reach the score and are not
+aligned. Around the other hits the text's words are aligned with the item's words: ``MATCH`` for equal words, ``MISS`` and ``GAP``
 otherwise. A text holds the item if the best local score reaches ``LEAST`` of the
 score of the whole item, and that of ``LEAST_WORDS`` equal words or of the whole item.
 
 Items are taken in blocks of about ``BLOCK_WORDS`` words, which bound what is sent to
-the executors; each block is held against all texts, and nothing is shuffled but the
-seeds' counts.
+the executors; each block is held against all texts, and nothing is shuffled.
 
 Null or empty texts and items without a word: never a leak. Null ids are kept as they
 are. Repeated rows are judged one by one; repeated items count as one. Items of fewer
@@ -49,15 +49,6 @@ class Block:
     item: np.ndarray
     place: np.ndarray
 
-    def rare(self, df: dict[int, int]) -> Block:
-        """Only each item's rarer half of seeds, by document frequency ``df``."""
-        n = np.array([df.get(int(s), 0) for s in self.seeds], np.int64)
-        order = np.lexsort((n, self.item))  # items in turn, each from its rarest seed on
-        first = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        middle = np.minimum((first[:-1] + np.maximum(first[1:] - 1, first[:-1])) // 2, max(len(n) - 1, 0))
-        keep = n <= n[order][middle][self.item] if len(n) else np.zeros(0, bool)
-        return Block(self.ids, self.words, self.seeds[keep], self.item[keep], self.place[keep])
-
 
 def read_block(rows) -> Block:
     ids, words, seeds, item, place = [r["item_id"] for r in rows], [], [], [], []
@@ -103,15 +94,22 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def _least(m: int) -> int:
+    """Equal words that an item of ``m`` words needs to be found."""
+    return max(-(-int(LEAST * MATCH * m * 2) // (2 * MATCH)), min(m, LEAST_WORDS))
+
+
 def align(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> tuple[int, int]:
-    """Best score near the places where the item would start, and where it ends."""
+    """Best score near the places where the item would start, and where it ends; places
+    around which too few words are the item's are left out, as they cannot reach it."""
     m, best, end = len(item), 0, 0
-    for s in np.unique(starts):  # an exact copy needs no table
-        if s >= 0 and s + m <= len(text) and np.array_equal(text[s : s + m], item):
+    starts = np.unique(starts)
+    for s in starts:  # an exact copy needs no table
+        if s >= 0 and s + m <= len(text) and text[s] == item[0] and np.array_equal(text[s : s + m], item):
             return MATCH * m, int(s) + m
     slack, low, high = m // 2 + 2, None, None
     spans = []
-    for s in np.unique(starts):
+    for s in starts:
         a, z = max(0, int(s) - slack), min(len(text), int(s) + m + slack)
         if low is not None and a <= high:
             high = max(high, z)
@@ -119,8 +117,14 @@ def align(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> tuple[int,
             if low is not None:
                 spans.append((low, high))
             low, high = a, z
+    words = np.unique(item)
     for a, z in [*spans, (low, high)]:
-        score, at = smith_waterman(item, text[a:z])
+        own = text[a:z]
+        shared = words[np.minimum(np.searchsorted(words, own), len(words) - 1)] == own
+        # each equal word of an alignment takes one word of the text and one of the item
+        if shared.sum() < _least(m) or np.isin(item, own[shared]).sum() < _least(m):
+            continue
+        score, at = smith_waterman(item, own)
         if score > best:
             best, end = score, a + at
     return best, end
@@ -131,32 +135,26 @@ def found(block: Block, h: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     at, seed = _hits(block, h)
     if not len(at):
         return
-    items = block.item[seed]
-    for i in np.unique(items):
-        own = items == i
+    order = np.argsort(block.item[seed], kind="stable")
+    at, seed = at[order], seed[order]
+    items, first = np.unique(block.item[seed], return_index=True)
+    # items of which enough words are anywhere in the text
+    size = np.array([len(block.words[i]) for i in items])
+    every, own = np.unique(h), np.concatenate([block.words[i] for i in items])
+    met = every[np.minimum(np.searchsorted(every, own), len(every) - 1)] == own
+    met = np.add.reduceat(met.astype(np.int64), np.cumsum(size) - size)
+    edge = np.append(first, len(at))
+    for k, i in enumerate(items):
         words = block.words[i]
-        score, end = align(words, h, at[own] - block.place[seed[own]])
         m = len(words)
+        if met[k] < _least(m):
+            continue
+        own = slice(edge[k], edge[k + 1])
+        score, end = align(words, h, at[own] - block.place[seed[own]])
         if score >= LEAST * MATCH * m and score >= MATCH * min(m, LEAST_WORDS):
             yield int(i), len(np.unique(seed[own])), score, end
 
 
-def _count_seeds(shared):
-    def run(batches):
-        block, n = shared.value, None
-        seeds = np.unique(block.seeds)
-        n = np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            for _, h, _, _ in hashing.batch_words(batch.column("text"), hashing.NOT_ALNUM):
-                _, seed = _hits(block, h)
-                if len(seed):
-                    n[np.unique(np.searchsorted(seeds, block.seeds[seed]))] += 1
-        hit = n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(seeds[hit]), pa.array(n[hit])], ["seed", "n"])
-
-    return run
-
-
 def _find(shared, id_type):
     def run(batches):
         block = shared.value
@@ -192,7 +190,7 @@ def _lower():
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
-    """Broadcast blocks of items with their rare seeds."""
+    """Broadcast blocks of items with their seeds."""
     spark = docs.sparkSession
     ship_package(spark)
     items = benchmark.select("item_id", _lower().alias("text")).distinct()
@@ -201,11 +199,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     n = -(-(total or 0) // BLOCK_WORDS)
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        block = read_block(rows)
-        shared = spark.sparkContext.broadcast(block)
-        counted = docs.select(_lower().alias("text")).mapInArrow(_count_seeds(shared), "seed bigint, n bigint")
-        df = {r["seed"]: r["n"] for r in counted.groupBy("seed").agg(F.sum("n").alias("n")).collect()}
-        yield spark.sparkContext.broadcast(block.rare(df))
+        yield spark.sparkContext.broadcast(read_block(rows))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -88,3 +88,25 @@ def test_nulls_short_items_repeats_long_texts_and_empty_tables(spark):
     assert kept.columns == x.columns and {1, 2, 5} <= {r["doc_id"] for r in kept.collect()}
     assert d.leaks(x, y.limit(0)).count() == 0 and d.leaks(x.limit(0), y).count() == 0
     assert d.without_leaks(x, y.limit(0)).count() == len(rows)
+
+
+def test_a_half_that_many_texts_hold_is_found(spark):
+    item = [f"q{i}" for i in range(20)]
+    docs = [(k, f"some text {k} " + " ".join(item[:11]) + f" and more {k}") for k in range(200)] + [(900, "other words " * 9)]
+    x = spark.createDataFrame(docs, "doc_id long, text string")
+    y = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {(r["doc_id"], r["score"], r["n_seeds"]) for r in d.leaks(x, y).collect()}
+    assert got == {(k, 22, 9) for k in range(200)}
+    assert [r["doc_id"] for r in d.without_leaks(x, y).collect()] == [900]
+
+
+def test_items_left_out_before_the_table_could_not_reach_the_score():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = rng.integers(0, 30, rng.integers(1, 40)), rng.integers(0, 30, 60)
+        low = rng.integers(0, 50)
+        part = a[rng.random(len(a)) < 0.8]
+        b = np.concatenate([b[:low], part, b[low:]])
+        score = d.smith_waterman(a, b)[0]
+        if score >= d.LEAST * d.MATCH * len(a) and score >= d.MATCH * min(len(a), d.LEAST_WORDS):
+            assert d.align(a, b, np.arange(len(b)))[0] == score
