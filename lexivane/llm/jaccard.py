@@ -15,7 +15,8 @@ least estimated cost: entries read, and candidates, of which each needs all matc
    has a prefix that reaches so far, so all nodes agree on what is hot.
 3. Nodes that share enough entries are candidates. A list holds at most ``HOT`` nodes.
 4. Nodes with too few entries that are not hot even in their whole set (families of
-   many near copies) are joined by a few pivots; those still apart from the largest
+   many near copies) are candidates of each other where they share an entry that is not
+   hot in their shortest prefixes. By hot entries there they are joined by a few pivots; those still apart from the largest
    component of their family are compared with all of the family, block by block.
 5. Candidates are verified on their whole sets; nodes known to be connected by a first
    round of one candidate each are not verified again.
@@ -40,6 +41,7 @@ from lexivane.session import bounded_broadcast, materialize, ship_package
 
 HOT = 32
 MARGIN = 1.45  # the region is this often the share of a set that its shortest prefix takes
+MOST = (1 << 31) - 1  # the ``l`` of dense nodes
 EXTRA = (0, 2, 5)  # extra matches that a prefix may ask for
 VERIFY = 8.0  # cost of a candidate, in list entries
 HASHES = 1 << 63
@@ -160,8 +162,12 @@ def _with_hits(nodes: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def _list_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Candidates from lists of at most HOT nodes: pairs with enough shared entries."""
-    lists = entries.groupBy("tok").agg(F.sort_array(F.collect_set(F.struct("node", "n", "l", "k"))).alias("s")).where("size(s) > 1")
+    """Candidates from lists of at most HOT nodes: pairs with enough shared entries.
+
+    Of two dense nodes one ``early`` entry is enough: their first shared n-gram is in the
+    shortest prefix of both, so it is met here or, if it is hot, in a long list.
+    """
+    lists = entries.groupBy("tok").agg(F.sort_array(F.collect_set(F.struct("node", "n", "l", "k", "early"))).alias("s")).where("size(s) > 1")
     x = lists.select("s", F.explode("s").alias("x"))
     y = x.select("x", F.explode(F.filter("s", lambda e: e["node"] > F.col("x.node"))).alias("y"))
     fit = (F.least("x.n", "y.n") * 100) >= (F.greatest("x.n", "y.n") * percent)
@@ -171,7 +177,7 @@ def _list_pairs(entries: DataFrame, percent: int) -> DataFrame:
         .otherwise(F.greatest("x.k", "y.k"))
     )
     return (
-        y.where(fit)
+        y.where(fit & ((F.least("x.l", "y.l") < MOST) | (F.col("x.early") & F.col("y.early"))))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), asked.alias("asked"))
         .groupBy("a", "b", "asked")
         .count()
@@ -211,12 +217,12 @@ def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     )
     far = materialize(_planned(whole, percent))
     dense = far.where("p is null")
-    most = F.lit((1 << 31) - 1)
     every = near.where("p is not null").union(far.where("p is not null")).union(
-        dense.select("node", "n", "label", "known", "hits", F.col("n").cast("int"), most, most)
+        dense.select("node", "n", "label", "known", "hits", F.col("n").cast("int"), F.lit(MOST), F.lit(1))
     )
     entries = every.select("node", "n", "l", "k", F.explode(F.filter("hits", lambda h: (h["df"] <= HOT) & (h["pos"] < F.col("p")))).alias("h"))
-    pairs = materialize(_list_pairs(entries.select("node", "n", "l", "k", F.col("h.tok").alias("tok")), percent))
+    early = (F.col("h.pos") < _spare(F.col("n"), percent)).alias("early")
+    pairs = materialize(_list_pairs(entries.select("node", "n", "l", "k", early, F.col("h.tok").alias("tok")), percent))
     long_ = F.sort_array(F.filter("hits", lambda h: (h["df"] > HOT) & (h["pos"] < _spare(F.col("n"), percent))))
     lists = materialize(
         dense.select("node", "n", F.posexplode(long_).alias("nth", "h")).select("node", "n", "nth", F.col("h.tok").alias("tok"))

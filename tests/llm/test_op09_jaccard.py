@@ -92,3 +92,17 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(100, 160), 100), 200: 200, 201: 200}
+
+
+def test_dense_texts_that_share_one_rare_ngram(spark, monkeypatch):
+    """Two short texts whose other n-grams are in many texts, in many hash orders."""
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    rows = []
+    for g in range(200):
+        w = [f"g{g}w{i}" for i in range(11)]
+        rows += [(len(rows), " ".join(w[:10])), (len(rows) + 1, " ".join(w))]
+        for f in range(2):
+            rows.append((len(rows), " ".join(w[1:] + [f"g{g}f{f}x{i}" for i in range(40)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.similar_sets(df, 4, 85).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 4, 85)
