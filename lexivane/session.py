@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +60,30 @@ def materialize(df: DataFrame) -> DataFrame:
     return write_and_read(df, scratch_path(df.sparkSession, "step"))
 
 
+_scopes: list[list[str]] = []  # scratch paths made by each running ``settled``
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """Stores what ``build()`` returns, then removes the steps it has stored on the way."""
+    result = scratch_path(spark, "step")
+    _scopes.append([])
+    try:
+        return write_and_read(build(), result)
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
 
 
 def write_and_read(df: DataFrame, path: str, **layout) -> DataFrame:
