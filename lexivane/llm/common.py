@@ -43,6 +43,14 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for an internal column that ``df`` does not have (names are not case sensitive)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def tiles(rows: int, groups: int = 1) -> int:
     """Tiles for each of ``groups`` groups, so that a tile stays near TILE_ROWS."""
     return max(1, -(-rows // (TILE_ROWS * groups)))

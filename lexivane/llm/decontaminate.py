@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivane.llm import hashing
-from lexivane.llm.common import query, table
+from lexivane.llm.common import fresh, query, table
 from lexivane.session import materialize, ship_package
 
 SEED = 3
@@ -178,7 +178,7 @@ def _clean(shared, names):
     def run(batches):
         block = shared.value
         for batch in batches:
-            words = hashing.batch_words(batch.column("__words"), hashing.NOT_ALNUM)
+            words = hashing.batch_words(batch.column(len(names)), hashing.NOT_ALNUM)
             keep = [next(found(block, h), None) is None for _, h, _, _ in words]
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
@@ -224,7 +224,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     out = docs
     for shared in blocks(docs, benchmark):
-        out = out.withColumn("__words", _lower()).mapInArrow(_clean(shared, docs.columns), docs.schema)
+        out = out.withColumn(fresh(docs, "lower"), _lower()).mapInArrow(_clean(shared, docs.columns), docs.schema)
     return out
 
 

@@ -35,9 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivane.llm import hashing
-from lexivane.llm.common import query, table
+from lexivane.llm.common import fresh, query, table
 from lexivane.llm.components import components
-from lexivane.session import bounded_broadcast, materialize, ship_package
+from lexivane.session import bounded_broadcast, materialize, settled, ship_package
 
 HOT = 32
 MARGIN = 1.45  # the region is this often the share of a set that its shortest prefix takes
@@ -351,15 +351,21 @@ def _block_links(percent: int):
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the least id of their component, once each, with all
     their columns. Rows with a null id stay where their component has no other id."""
-    ids = similar_sets(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = materialize(ids.select(F.col("doc_id").alias("__keep")).distinct())
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id", "text"])
+    own = fresh(docs, "keep")
+
+    def heads() -> DataFrame:
+        ids = similar_sets(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        return ids.select(F.col("doc_id").alias(own)).distinct()
+
+    keep = settled(docs.sparkSession, heads)
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def _rows_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows whose id is the label of one of ``nodes`` (rows of other sets among them)."""
-    labels = bounded_broadcast(nodes.select(F.col("label").alias("__label")).distinct())
-    return docs.join(labels, F.col("doc_id").eqNullSafe(F.col("__label")), "left_semi")
+    own = fresh(docs, "label")
+    labels = bounded_broadcast(nodes.select(F.col("label").alias(own)).distinct())
+    return docs.join(labels, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:

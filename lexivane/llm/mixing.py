@@ -1,17 +1,18 @@
 """Weighted fair queueing of sources to target shares.
 
-Documents of a source are shuffled by a hash. A document's virtual finish time is
-the words of its source up to its end, divided by the source's target; a second copy
-follows a source's whole first round. Served in the order of that time, all sources
-reach their targets together, and the total budget runs out at time 1. The document
-that a source is serving then is taken up to the budget.
+Documents of a source are shuffled by a hash and served in packets of at most
+``PACKET`` words. A packet's virtual finish time is the words of its source up to its
+end, divided by the source's target; second copies follow a source's whole first round.
+All packets are range-sorted by finish time and cut at the total budget, so all sources
+come to their targets together, within a packet of each.
 
 Shuffled positions are sums over tiles of a source, so that a source with most of the
-rows is spread over many tasks. The sums of sources are one row each.
+rows is spread over many tasks. The sums of sources and of ranges are one row each.
 
 Null text: 0 words. Null source: a source of its own, last in order. Repeated rows:
-queued one by one. Sources without words: target 0. Empty table: no rows. Columns of
-other names are ignored by ``mix_digest`` and kept by ``mix_rows``.
+queued one by one. Sources without words: target 0. Empty table: no rows. Very long
+texts: many packets. Ties in finish time: by hash of the id. Columns of other names are
+ignored by ``mix_digest`` and kept by ``mix_rows``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexivane.llm.common import WORD, query, table, text_or_empty, tiles
-from lexivane.session import bounded_broadcast, materialize
+from lexivane.session import bounded_broadcast, materialize, settled
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
+PACKET = 256  # words that a document is served at a time
 
 SQL = r"""
 with d as (
@@ -43,12 +45,19 @@ r as (
 level as (select max(case when (budget - full_before) / w_left <= 2.0 * held / w then (budget - full_before) / w_left end) as v from r),
 t as (select source, cast(held as bigint) as source_size, least(2.0 * held, w * coalesce(v, 0)) as target from r, level),
 q as (
-  select d.*, source_size, target,
-    sum(size) over (partition by d.source order by u, doc_id rows unbounded preceding) - size as a
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  cast(least(size, greatest(0, floor(target) - a)) + least(size, greatest(0, floor(target) - a - source_size)) as bigint) as taken
-from q
+  select d.*, source_size, target, row_number() over () as i,
+    sum(size) over (partition by d.source order by u, doc_id rows unbounded preceding) - size as ahead
+  from d join t on d.source is not distinct from t.source),
+p as (
+  select i, words, coalesce(sum(words) over (order by finish, u, copy, pos rows between unbounded preceding and 1 preceding), 0) as before
+  from (
+    select i, u, copy, pos, least(256, size - pos) as words,
+      (ahead + copy * source_size + pos + least(256, size - pos))::double / target as finish
+    from (select *, unnest(range(0, size, 256)) as pos from q where size > 0 and target > 0), (values (0), (1)) c(copy))),
+taken as (
+  select i, sum(greatest(0, least(words, (select floor(1.5 * sum(size)) from d) - before))) as n from p group by i)
+select doc_id, size, source_size, target, cast(coalesce(n, 0) as bigint) as taken
+from q left join taken using (i)
 """
 
 
@@ -79,63 +88,113 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def queue(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``doc_id, source, size`` and ``carry``, with source_size, target, the words of
-    the source ahead (``ahead``), and ``taken``."""
-    own = docs.select(*carry, "doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-    own = materialize(own.withColumn("u", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
-    n = tiles(own.count())
+def queue(rows: DataFrame) -> DataFrame:
+    """``rows`` (source, size, u, doc_id, key, ...) with source_size, target and the
+    words of the source ahead of the row (``ahead``) in its shuffled order."""
+    n = tiles(rows.count())
     # tiles are ranges of the hash, so that order by tile, then by hash, is order by hash
     place = F.conv(F.substring("u", 1, 8), 16, 10).cast("long")
-    own = own.withColumn("tile", F.floor(place * n / float(1 << 32)).cast("long"))
+    own = rows.withColumn("tile", F.floor(place * n / float(1 << 32)).cast("long"))
     sums = own.groupBy("source", "tile").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "tile", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     heads = bounded_broadcast(materialize(source_targets(own.select("source", "size"))))
     within = Window.partitionBy("source", "tile").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     ranked = own.withColumn("upto", F.sum("size").over(within))
-    placed = (
+    return (
         ranked.alias("a")
         .join(starts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.tile") == F.col("b.tile")))
-        .select("a.*", "b.first")
-    )
-    served = (
-        placed.alias("a")
         .join(heads.alias("h"), F.col("a.source").eqNullSafe(F.col("h.source")))
-        .select("a.*", "h.source_size", "h.target")
-        .withColumn("ahead", F.col("first") + F.col("upto") - F.col("size"))
+        .select("a.*", "h.source_size", "h.target", (F.col("first") + F.col("upto") - F.col("size")).alias("ahead"))
+        .drop("tile", "upto")
+    )
+
+
+def packets(queued: DataFrame) -> DataFrame:
+    """``row, copy, words, finish`` and the order of the packets of both copies.
+
+    A packet is at most ``PACKET`` words of a document, so that a long document does
+    not hold up the other sources; its finish time is that of its last word.
+    """
+    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PACKET).cast("long"))
+    each = F.transform(
+        starts, lambda s: F.struct(s.alias("at"), F.least(F.lit(PACKET), F.col("size") - s).cast("long").alias("words"))
+    )
+    copies = F.array(F.lit(0), F.lit(1))
+    held = queued.where("size > 0 and target > 0").withColumn("copy", F.explode(copies))
+    return held.withColumn("p", F.explode(each)).select(
+        "row",
+        "copy",
+        "u",
+        F.col("p.at").alias("at"),
+        F.col("p.words").alias("words"),
+        ((F.col("ahead") + F.col("copy") * F.col("source_size") + F.col("p.at") + F.col("p.words")) / F.col("target")).alias("finish"),
     )
 
-    def up_to_budget(ahead):
-        return F.least(F.col("size"), F.greatest(F.lit(0), F.floor("target") - ahead))
 
-    return served.withColumn(
-        "taken", (up_to_budget(F.col("ahead")) + up_to_budget(F.col("ahead") + F.col("source_size"))).cast("long")
-    ).drop("u", "tile", "first", "upto")
+def served(queued: DataFrame) -> DataFrame:
+    """``row, copy, words, finish``: what the mix takes of each copy of a row.
+
+    The packets of all sources are range-sorted by finish time and stored; sums of the
+    ranges say where the total budget runs out, and only the range in which it does
+    is summed packet by packet. The packet at the cut counts up to it.
+    """
+    held = queued.agg(F.sum("size").alias("words"), F.sum(F.ceil(F.col("size") / PACKET)).alias("packets")).first()
+    budget = int(SHARE * (held["words"] or 0))
+    order = ["finish", "u", "copy", "at"]
+    in_order = packets(queued).repartitionByRange(tiles(2 * int(held["packets"] or 0)), *order)
+    ranges = materialize(in_order.withColumn("range", F.spark_partition_id()))
+    sums = ranges.groupBy("range").agg(F.sum("words").alias("n"))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.select("range", "n", F.sum("n").over(upto).alias("upto"))
+    last = ends.where(F.col("upto") > budget).orderBy("range").first()
+    whole = ranges if last is None else ranges.where(F.col("range") < last["range"])
+    taken = whole.select("row", "copy", "words", "finish")
+    if last is not None:
+        left = budget - (last["upto"] - last["n"])
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        some = ranges.where(F.col("range") == last["range"]).withColumn("sum", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        words = F.least("words", F.lit(left) - F.col("sum")).alias("words")
+        taken = taken.union(some.where(F.col("sum") < left).select("row", "copy", words, "finish"))
+    return taken.groupBy("row", "copy").agg(F.sum("words").alias("words"), F.max("finish").alias("finish"))
+
+
+def _narrow(docs: DataFrame, *more) -> DataFrame:
+    """The rows without their texts, each with a number (``row``), stored."""
+    size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size")
+    u = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("u")
+    return materialize(docs.select("doc_id", "source", size, u, F.monotonically_increasing_id().alias("row"), *more))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """One row per document, without its text: the words that the mix takes of it."""
-    return queue(docs, []).select("doc_id", "size", "source_size", "target", "taken")
+    queued = materialize(queue(_narrow(docs)))
+    words = served(queued).groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+    return queued.join(words, "row", "left").select("doc_id", "size", "source_size", "target", taken)
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The mixed rows, whole, in the order of their virtual finish time.
 
     A document that the budget cuts stays whole; one that is taken twice is two rows.
+    Queues hold no texts: a row is known by two hashes of all its columns, and its text
+    is shuffled to its finish times once and then to its range.
     """
-    columns = docs.columns
-    held = queue(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), "doc_id", "source", "text"), ["__row"])
-    start, all_of = F.col("ahead"), F.col("source_size")
-    rounds = F.filter(F.array(start, start + all_of), lambda a: a < F.floor("target"))
-    copies = (
-        held.where("size > 0 and taken > 0")
-        .select("__row", "size", "target", F.explode(rounds).alias("a"))
-        .withColumn("finish", (F.col("a") + F.col("size")) / F.col("target"))
-    )
-    # ties, as of the copies of one document, get a place of their own among the ranges
-    order = ["finish", F.xxhash64(F.col("__row.doc_id").cast("string"))]
-    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select("__row.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.to_json(F.struct(c)) if "map<" in t or "variant" in t else c for c, (_, t) in zip(columns, docs.dtypes)]
+    keys = [F.xxhash64(F.lit(i), *plain).alias(f"k{i}") for i in (1, 2)]
+    spark = docs.sparkSession
+
+    def finish_times() -> DataFrame:
+        queued = materialize(queue(_narrow(docs, *keys)))
+        return served(queued).join(queued.select("row", "u", "k1", "k2"), "row").select("k1", "k2", "finish", "u", "copy")
+
+    times = settled(spark, finish_times)
+    texts = docs.select(F.struct(*columns).alias("whole"), *keys).groupBy("k1", "k2").agg(F.first("whole").alias("whole"))
+    order = ["finish", "u", "copy"]
+    mixed = texts.join(times, ["k1", "k2"]).select("whole", *order)
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select("whole.*")
 
 
 @query("op8_mixing", SQL)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import BLANKS, let, query, table, text_or_empty, word_list
+from lexivane.llm.common import BLANKS, fresh, let, query, table, text_or_empty, word_list
 
 SYMBOLS = "#*$%&|<>"
 
@@ -162,12 +162,19 @@ def failed(c: Column, rules=RULES) -> Column:
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """Adds the counts, ``base_failed`` and ``kept``."""
     base = tuple(r for r in rules if r[0] in BASE)
-    held = docs.withColumn("__c", counts(text_or_empty()))
-    c = F.col("__c")
+    own = fresh(docs, "counts")
+    held = docs.withColumn(own, counts(text_or_empty()))
+    c = F.col(own)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return held.withColumns(
         {n: c[n] for n in names} | {"base_failed": failed(c, base), "kept": ~failed(c, rules)}
-    ).drop("__c")
+    ).drop(own)
+
+
+def kept_rows(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their columns as they are."""
+    own = fresh(docs, "counts")
+    return docs.withColumn(own, counts(text_or_empty())).where(~failed(F.col(own), rules)).drop(own)
 
 
 @query("op5_quality_rules", SQL)

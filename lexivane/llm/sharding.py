@@ -30,7 +30,7 @@ FINE = 0.002  # of a shard: a cut this near to its place is not refined
 GROUP_LIMIT = 0.25  # of a shard: larger groups of equal texts may be cut
 ROUNDS = 8
 
-KEY, PLACE, SIZE = "__key", "__place", "__size"
+KEY, PLACE, SIZE = "key", "place", "bytes"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -147,20 +147,20 @@ def number_rows(rows: DataFrame, n_rows: int, n_shards: int) -> DataFrame:
     A shard is numbered tile by tile; the tiles' first slots come from their counts,
     so no task orders a whole shard.
     """
-    rows = rows.withColumn("__tile", F.pmod(F.xxhash64(KEY, PLACE, F.lit(3)), F.lit(tiles(n_rows, n_shards))))
-    tile = ["shard", "__tile"]
-    ahead = Window.partitionBy("shard").orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64(KEY, PLACE, F.lit(3)), F.lit(tiles(n_rows, n_shards))))
+    tile = ["shard", "tile"]
+    ahead = Window.partitionBy("shard").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
     firsts = (
         rows.groupBy(*tile)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(*tile, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__first"))
+        .select(*tile, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
     )
     rank = F.row_number().over(Window.partitionBy(*tile).orderBy(KEY, PLACE))
     return (
-        rows.withColumn("__rank", rank)
+        rows.withColumn("rank", rank)
         .join(firsts, tile)
-        .withColumn("slot", (F.col("__first") + F.col("__rank") - 1).cast("long"))
-        .drop("__tile", "__rank", "__first")
+        .withColumn("slot", (F.col("first") + F.col("rank") - 1).cast("long"))
+        .drop("tile", "rank", "first")
     )
 
 
@@ -184,10 +184,11 @@ def shard_digest(docs: DataFrame, n_shards: int = 8) -> DataFrame:
 def shard_rows(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """The rows themselves with ``shard`` and ``slot``."""
     docs = docs.drop("shard", "slot")
-    rows = keyed(docs)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = keyed(docs.select(whole, "doc_id", "text")).select("row", KEY, PLACE, SIZE)
     digest = materialize(rows.select(KEY, PLACE, SIZE))
     placed = rows.withColumn("shard", shard_of(boundaries(digest, n_shards)))
-    return number_rows(placed, digest.count(), n_shards).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
+    return number_rows(placed, digest.count(), n_shards).select("row.*", "shard", "slot")
 
 
 @query("op7_sharding")

@@ -44,7 +44,7 @@ def test_targets_and_taken_words(spark):
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s])
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[s] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    assert all(abs(taken[s] - target[s]) <= mixing.PACKET for s in sizes)
     assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
