@@ -7,7 +7,7 @@ from functools import lru_cache
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +55,10 @@ def stemmed(tokens: Column) -> Column:
     return _stems(tokens)
 
 
-def analyse(c: Column, fold: bool = True, stem: bool = False) -> Column:
-    return stemmed(tokens(c, fold)) if stem else tokens(c, fold)
+def with_stems(terms: DataFrame) -> DataFrame:
+    """``term`` rows with their ``stem``. Meant for distinct terms: a dictionary, not texts."""
+    ship_package(terms.sparkSession)
+    return terms.withColumn("stem", _stems(F.array("term"))[0])
 
 
 def query_terms(q: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivane.config import BM25_B, BM25_K1, BM25_MIN_IDF, DEFAULTS
 from lexivane.functions.terms import query_terms, stemmed
 from lexivane.functions.text import unnest
-from lexivane.operators.postings import TextIndex
+from lexivane.operators.postings import HEAD, TextIndex, bucket_of_term, slot_names, slot_rows, slots_of
 from lexivane.session import bounded_broadcast, fits_broadcast, materialize
 
 
@@ -30,7 +32,7 @@ def query_units(queries: DataFrame, stem: bool = False) -> DataFrame:
     terms = unnest(queries, query_terms(F.col("q")), "query_id").select(
         "query_id", "item.parts", "item.is_prefix"
     )
-    if stem:
+    if stem:  # of the questions alone; the index keeps terms, and their stems in its dictionary
         terms = terms.withColumn("parts", stemmed(F.col("parts")))
     unit = F.concat(F.array_join("parts", " "), F.when(F.col("is_prefix"), "*").otherwise(""))
     grouped = (
@@ -51,63 +53,92 @@ def query_units(queries: DataFrame, stem: bool = False) -> DataFrame:
     )
 
 
-def prefix_expand(prefixes: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``prefix`` -> ``prefix, term`` for every term that begins with it.
+def prefix_expand(prefixes: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``prefix`` -> ``prefix, term`` for every term whose stem begins with it."""
+    wanted = prefixes.select(F.col("prefix").alias("wanted"), F.lit(True).alias("is_prefix")).distinct()
+    return _look_up(wanted, dictionary).select(F.col("wanted").alias("prefix"), "term")
+
+
+def _look_up(wanted: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``wanted, is_prefix, term`` of (wanted, is_prefix) rows.
 
-    Each term lists its own beginnings and those are matched by equality, so
-    there is no range or nested-loop join.
+    A dictionary block is sorted and knows its first and last stem. Blocks are met by
+    the first letters, then by their ends; only the entries of these are compared, so
+    the vocabulary is never unnested.
     """
-    beginnings = F.transform(
-        F.sequence(F.lit(1), F.length("term")), lambda n: F.left(F.col("term"), n)
+    head = F.left("wanted", F.lit(HEAD))
+    asked = bounded_broadcast(wanted.withColumn("head", head))
+    named = dictionary.select("first", "last", "entries", F.explode("heads").alias("head"))
+    past = F.when(F.col("is_prefix"), F.concat("wanted", F.lit("\U0010ffff"))).otherwise(F.col("wanted"))
+    met = named.join(asked, "head").where((F.col("last") >= F.col("wanted")) & (F.col("first") <= past))
+    fits = F.filter(
+        "entries",
+        lambda e: (e["stem"] == F.col("wanted")) | (F.col("is_prefix") & e["stem"].startswith(F.col("wanted"))),
     )
-    listed = unnest(vocab, beginnings, "term").withColumnRenamed("item", "prefix")
-    wanted = prefixes.select("prefix").distinct()
-    return listed.join(bounded_broadcast(wanted), "prefix").select("prefix", "term").distinct()
+    rows = met.select("wanted", "is_prefix", F.explode(fits).alias("e"))
+    return rows.select("wanted", "is_prefix", F.col("e.term").alias("term")).distinct()
 
 
-def expand_units(units: DataFrame, vocab: DataFrame) -> DataFrame:
+def expand_units(units: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``unit, n_parts, part_pos, term``: index terms of each part of a unit."""
     parts = units.select(
-        "unit", F.size("parts").alias("n_parts"), "is_prefix", F.posexplode("parts").alias("part_pos", "part")
-    )
-    open_end = F.col("is_prefix") & (F.col("part_pos") == F.col("n_parts") - 1)
-    whole = parts.filter(~open_end).select("unit", "n_parts", "part_pos", F.col("part").alias("term"))
-    begun = parts.filter(open_end).select("unit", "n_parts", "part_pos", F.col("part").alias("prefix"))
-    grown = prefix_expand(begun, vocab).join(begun, "prefix")
-    return whole.unionByName(grown.select("unit", "n_parts", "part_pos", "term"))
+        "unit", F.size("parts").alias("n_parts"), "is_prefix", F.posexplode("parts").alias("part_pos", "wanted")
+    ).withColumn("is_prefix", F.col("is_prefix") & (F.col("part_pos") == F.col("n_parts") - 1))
+    found = _look_up(parts.select("wanted", "is_prefix").distinct(), dictionary)
+    return parts.join(found, ["wanted", "is_prefix"]).select("unit", "n_parts", "part_pos", "term")
+
+
+def asked_blocks(expanded: DataFrame, index: TextIndex, *columns: str) -> DataFrame:
+    """The blocks of the terms of ``expanded`` with its columns. Buckets of terms that
+    nobody asks for are not opened."""
+    keyed = expanded.withColumn("term_bucket", bucket_of_term(F.col("term"), index.term_buckets))
+    buckets = [r["term_bucket"] for r in keyed.select("term_bucket").distinct().collect()]  # at most term_buckets
+    rows = index.blocks.where(F.col("term_bucket").isin(buckets)).select("term_bucket", "term", "tile", *columns)
+    return rows.join(bounded_broadcast(keyed), ["term_bucket", "term"]).drop("term_bucket")
 
 
-def unit_hits(expanded: DataFrame, postings: DataFrame, phrases: bool) -> DataFrame:
-    """``unit, chunk_id, f, n_tokens``: occurrences of a unit in a chunk.
+_BITS = ("present", "max_tf", "min_len")
 
-    A prefix counts all its terms together. Grouped by unit *and* chunk, so a
-    common word spreads over all tasks.
+
+def unit_tiles(expanded: DataFrame, index: TextIndex) -> tuple[DataFrame, DataFrame | None]:
+    """``unit, tile, present, max_tf, min_len``, and the hits (unit, tile, slot, f) of
+    phrases, if there are any.
+
+    The chunks that have a unit are the union of its terms' bitmaps; postings
+    themselves are read for phrases alone, where all parts are in one chunk.
     """
-    small = fits_broadcast(expanded)
-    side = lambda df: F.broadcast(df) if small else df
+    both = {"max_tf": F.sum("max_tf").alias("max_tf"), "min_len": F.min("min_len").alias("min_len")}
     single = (
-        postings.select("term", "chunk_id", "tf", "n_tokens")
-        .join(side(expanded.filter("n_parts = 1")), "term")
-        .groupBy("unit", "chunk_id")
-        .agg(F.sum("tf").alias("f"), F.max("n_tokens").alias("n_tokens"))
+        asked_blocks(expanded.where("n_parts = 1"), index, *_BITS)
+        .groupBy("unit", "tile")
+        .agg(F.bit_or("present").alias("present"), *both.values())
+    )
+    phrases = expanded.where("n_parts > 1")
+    if not phrases.limit(1).count():
+        return materialize(single), None
+    parts = asked_blocks(phrases, index, *_BITS).groupBy("unit", "n_parts", "part_pos", "tile").agg(
+        F.bit_or("present").alias("present"), F.min("min_len").alias("min_len")
     )
-    if not phrases:
-        return single
+    maybe = (
+        parts.groupBy("unit", "tile")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("n_parts").alias("n_parts"), F.bit_and("present").alias("wanted"), F.min("min_len").alias("min_len"))
+        .where("n = n_parts and wanted <> 0")
+    )
+    maybe = materialize(maybe.select("unit", "tile", "wanted", "min_len"))
+    opened = asked_blocks(phrases, index, "held", "tfs", "positions").join(bounded_broadcast(maybe), ["unit", "tile"])
     starts = (
-        postings.join(side(expanded.filter("n_parts > 1")), "term")
-        .select("unit", "chunk_id", "n_tokens", "n_parts", "part_pos", F.explode("positions").alias("pos"))
-        .groupBy("unit", "chunk_id", (F.col("pos") - F.col("part_pos")).alias("start"))
-        .agg(
-            F.count(F.lit(1)).alias("found"),
-            F.max("n_parts").alias("n_parts"),
-            F.max("n_tokens").alias("n_tokens"),
-        )
-        .filter("found = n_parts")
+        slot_rows(opened, "unit", "tile", "n_parts", "part_pos", "min_len", wanted="wanted")
+        .select("unit", "tile", "slot", "n_parts", "min_len", F.explode(F.transform("positions", lambda p: p - F.col("part_pos"))).alias("start"))
+        .groupBy("unit", "tile", "slot", "start")
+        .agg(F.count(F.lit(1)).alias("found"), F.max("n_parts").alias("n_parts"), F.min("min_len").alias("min_len"))
+        .where("found = n_parts")
     )
-    phrase = starts.groupBy("unit", "chunk_id").agg(
-        F.count(F.lit(1)).alias("f"), F.max("n_tokens").alias("n_tokens")
+    hits = starts.groupBy("unit", "tile", "slot").agg(F.count(F.lit(1)).alias("f"), F.min("min_len").alias("min_len"))
+    hits = materialize(hits)
+    found = hits.groupBy("unit", "tile").agg(
+        F.bit_or(F.expr("shiftleft(1L, slot)")).alias("present"), F.max("f").alias("max_tf"), F.min("min_len").alias("min_len")
     )
-    return single.unionByName(phrase)
+    return materialize(single.unionByName(found)), hits.drop("min_len")
 
 
 def idf(n_rows: Column, n_hits: Column) -> Column:
@@ -115,42 +146,92 @@ def idf(n_rows: Column, n_hits: Column) -> Column:
     return F.when(raw <= 0, F.lit(BM25_MIN_IDF)).otherwise(raw)
 
 
-def _complete(queries: DataFrame, index: TextIndex) -> DataFrame:
-    """One row per query, candidate chunk and unit found in it, with the unit's
-    weight and count, before totals.
+@dataclass(frozen=True)
+class Matches:
+    """What all of a query's terms are in, by tile: ``tiles`` has query_id, tile, the
+    matching slots (``present``) and a bound no score of the tile exceeds."""
+
+    tiles: DataFrame
+    units: DataFrame  # query_id, unit, weight, n_units, n_hits
+    expanded: DataFrame
+    phrases: DataFrame | None
+
 
-    Candidates are the chunks of each query's rarest unit: no other chunk can
-    match all of it. They are looked up in the other units' hits by (unit,
-    chunk), so common words neither multiply rows nor crowd a task.
+def matching_tiles(queries: DataFrame, index: TextIndex, bound: Column | None = None) -> Matches:
+    """Boolean AND of all units of each query, as an AND of bitmaps.
+
+    A query's tiles are those of its rarest unit; the other units are looked up for
+    just these by (unit, tile), so common words neither multiply rows nor crowd a task.
+    ``bound``: the greatest part of a score that a unit can have in a tile.
     """
     # Read several times below, so each step is computed once and stored.
     qu = materialize(query_units(queries, index.stem))
     units = qu.select("unit", "parts", "is_prefix").dropDuplicates(["unit"])
-    phrases = bool(units.filter(F.size("parts") > 1).limit(1).count())
-    hits = materialize(
-        unit_hits(materialize(expand_units(units, index.vocab)), index.postings, phrases)
-    )
-    counts = hits.groupBy("unit").agg(F.count(F.lit(1)).alias("n_hits"))
+    expanded = materialize(expand_units(units, index.dictionary))
+    held, phrases = unit_tiles(expanded, index)
+    counts = held.groupBy("unit").agg(F.sum(F.bit_count("present")).alias("n_hits"))
     known = qu.drop("parts", "is_prefix").join(counts, "unit")
-    ranked = materialize(
-        known.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-        .filter("_n = n_units")
-        .drop("_n")
-    )
+    whole = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    ranked = materialize(known.withColumn("_n", whole).where("_n = n_units").drop("_n"))
     side = F.broadcast if fits_broadcast(ranked) else (lambda df: df)
     rarest = ranked.groupBy("query_id").agg(F.min_by("unit", F.struct("n_hits", "unit")).alias("unit"))
-    candidates = hits.join(side(rarest), "unit").select("query_id", "chunk_id")
-    return candidates.join(side(ranked), "query_id").join(hits, ["unit", "chunk_id"])
+    candidates = held.join(side(rarest), "unit").select("query_id", "tile")
+    parts = candidates.join(side(ranked), "query_id").join(held, ["unit", "tile"])
+    tiles = (
+        parts.groupBy("query_id", "tile")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("n_units").alias("n_units"),
+            F.bit_and("present").alias("present"),
+            F.sum(F.lit(0.0) if bound is None else bound).alias("bound"),
+        )
+        .where("n = n_units and present <> 0")
+        .drop("n", "n_units")
+    )
+    return Matches(tiles, ranked, expanded, phrases)
 
 
 def match_all_terms(queries: DataFrame, index: TextIndex) -> DataFrame:
     """``query_id, chunk_id`` of chunks that hold every term of the query."""
+    tiles = matching_tiles(queries, index).tiles.withColumn("slot", F.explode(slots_of("present")))
+    return tiles.join(slot_names(index.tiles), ["tile", "slot"]).select("query_id", "chunk_id")
+
+
+def _part(f: Column, length: Column, weight_idf: Column, avgdl: Column, k1: float, b: float) -> Column:
+    return weight_idf * (f * (k1 + 1) / (f + k1 * (1 - b + b * length / avgdl)))
+
+
+def first_tiles(tiles: DataFrame, k: int) -> DataFrame:
+    """The ``k`` tiles of greatest bound of each query. A tile has one match at least,
+    so they have ``k`` matches or all."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "tile")
+    return tiles.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+
+def score_tiles(tiles: DataFrame, matches: Matches, index: TextIndex, weight_idf: Column, k1: float, b: float, digits: int | None) -> DataFrame:
+    """``query_id, chunk_id, score`` of all matches in ``tiles``; only the postings of
+    the asked terms in these tiles are read."""
+    pairs = tiles.select("query_id", "tile", "present").join(matches.units.select("query_id", "unit"), "query_id")
+    wanted = pairs.groupBy("unit", "tile").agg(F.bit_or("present").alias("wanted"))
+    wanted = materialize(wanted)
+    opened = asked_blocks(matches.expanded.where("n_parts = 1"), index, "held", "present", "tfs", "positions").join(
+        bounded_broadcast(wanted), ["unit", "tile"]
+    )
+    live = opened.withColumn("wanted", F.col("wanted").bitwiseAND(F.col("present")))
+    found = slot_rows(live, "unit", "tile", wanted="wanted").groupBy("unit", "tile", "slot").agg(F.sum("tf").cast("long").alias("f"))
+    if matches.phrases is not None:
+        found = found.unionByName(matches.phrases.join(bounded_broadcast(wanted.select("unit", "tile")), ["unit", "tile"], "left_semi"))
+    slots = tiles.select("query_id", "tile", F.explode(slots_of("present")).alias("slot"))
+    names = index.tiles.join(bounded_broadcast(tiles.select("tile").distinct()), "tile", "left_semi")
+    side = bounded_broadcast(matches.units)
+    avgdl = index.stats.select("avgdl").scalar()
+    total = F.sum(_part(F.col("f"), F.col("n_tokens"), weight_idf, avgdl, k1, b))
     return (
-        _complete(queries, index)
+        slots.join(slot_names(names), ["tile", "slot"])
+        .join(side, "query_id")
+        .join(found, ["unit", "tile", "slot"])
         .groupBy("query_id", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("n_units").alias("n_units"))
-        .filter("n = n_units")
-        .select("query_id", "chunk_id")
+        .agg((total if digits is None else F.round(total, digits)).alias("score"))
     )
 
 
@@ -163,27 +244,33 @@ def bm25_topk(
     digits: int | None = None,
 ) -> DataFrame:
     """``query_id, chunk_id, score, rank`` of the best ``k`` chunks per query. With
-    ``digits`` scores are rounded before they are ranked."""
+    ``digits`` scores are rounded before they are ranked.
+
+    First the ``k`` tiles of greatest bound are scored, then those others whose bound
+    reaches the score at ``k``. The rest cannot be among the
+    best and their postings are not read.
+    """
     n_rows = index.stats.select("n_chunks").scalar()
     avgdl = index.stats.select("avgdl").scalar()
-    f, length = F.col("f"), F.col("n_tokens")
-    part = (
-        F.col("weight")
-        * idf(n_rows, F.col("n_hits"))
-        * (f * (k1 + 1) / (f + k1 * (1 - b + b * length / avgdl)))
-    )
-    scored = (
-        _complete(queries, index)
-        .withColumn("part", part)
-        .groupBy("query_id", "chunk_id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("n_units").alias("n_units"),
-            (F.sum("part") if digits is None else F.round(F.sum("part"), digits)).alias("score"),
-        )
-        .filter("n = n_units")
-    )
-    return top_ranked(scored.select("query_id", "chunk_id", "score"), k)
+    weight_idf = F.col("weight") * idf(n_rows, F.col("n_hits"))
+    bound = _part(F.col("max_tf"), F.col("min_len"), weight_idf, avgdl, k1, b)
+    matches = matching_tiles(queries, index, bound)
+    tiles = materialize(matches.tiles)
+    first = materialize(first_tiles(tiles, k))
+    score = lambda some: score_tiles(some, matches, index, weight_idf, k1, b, digits)
+    found = materialize(top_ranked(score(first), k))
+    second = materialize(open_tiles(tiles, first, found, k, digits))
+    if second.limit(1).count():
+        found = top_ranked(found.drop("rank").unionByName(score(second)), k)
+    return found
+
+
+def open_tiles(tiles: DataFrame, first: DataFrame, found: DataFrame, k: int, digits: int | None) -> DataFrame:
+    """The tiles beyond ``first`` that may hold one of the best ``k``, by their bound."""
+    least = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    slack = 1e-9 if digits is None else 10.0**-digits  # sums in another order, rounding
+    rest = tiles.join(bounded_broadcast(first.select("query_id", "tile")), ["query_id", "tile"], "left_anti")
+    return rest.join(bounded_broadcast(least), "query_id").where(F.col("bound") * (1 + 1e-9) + slack >= F.col("least")).drop("least")
 
 
 def top_ranked(scored: DataFrame, k: int) -> DataFrame:

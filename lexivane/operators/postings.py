@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.functions.terms import analyse
+from lexivane.functions.terms import tokens, with_stems
 from lexivane.functions.text import let, unnest
+from lexivane.session import materialize
 
 # (rows, name of their text) -> rows with ``embedding``
 Embed = Callable[[DataFrame, str], DataFrame]
@@ -18,35 +19,67 @@ INDEXED = ("content", "title", "heading_path")
 # Positions of one column start this far after the last column's, so that no
 # phrase reaches across columns.
 COLUMN_GAP = 1 << 28
+TILE = 64  # chunks of a tile: the bits of a bitmap
+TILE_BITS = 6
+DICTIONARY_BLOCK = 256
+HEAD = 3  # letters by which dictionary blocks are found
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Tables that retrieval reads. ``fold`` and ``stem`` tell how terms were
-    made, so that queries are analysed the same way."""
+    """Tables that retrieval reads.
+
+    Chunks are numbered by tile and slot; a tile has up to ``TILE`` of them.
+    ``blocks`` has a row for each term and tile: the slots with the term as a bitmap
+    (``held``, and ``present`` without deleted chunks), the greatest tf and the least
+    length among them, and the tfs and positions slot by slot. ``tiles`` names the
+    chunks of each slot, ``dictionary`` has the terms by stem in sorted blocks.
+    ``fold`` and ``stem`` tell how terms were made, so that queries are analysed the
+    same way.
+    """
 
     chunks: DataFrame
-    postings: DataFrame
-    vocab: DataFrame
+    blocks: DataFrame
+    dictionary: DataFrame
+    tiles: DataFrame
     stats: DataFrame
-    lengths: DataFrame
     embeddings: DataFrame | None = None
     fold: bool = True
     stem: bool = False
     n_buckets: int | None = None
     embed: Embed | None = None  # what made ``embeddings``; None: hashed words
+    term_buckets: int = 1
+
+    @property
+    def postings(self) -> DataFrame:
+        """``term, chunk_id, tf, n_tokens, positions``, a row for each posting."""
+        rows = slot_rows(self.blocks, "term", "tile")
+        return rows.join(slot_names(self.tiles), ["tile", "slot"]).select("term", "chunk_id", "tf", "n_tokens", "positions")
+
+    @property
+    def vocab(self) -> DataFrame:
+        """``term, df`` of the terms that chunks have."""
+        return self.blocks.groupBy("term").agg(F.sum(F.bit_count("present")).alias("df"))
+
+    @property
+    def lengths(self) -> DataFrame:
+        return slot_names(self.tiles).select("chunk_id", "n_tokens")
 
 
 def tokenize(chunks: DataFrame, cols=INDEXED, fold: bool = True, stem: bool = False) -> DataFrame:
     """``chunk_id, col, pos, token``: one row per token occurrence."""
     def of_column(c: str) -> Column:
         return F.transform(
-            analyse(F.coalesce(F.col(c), F.lit("")), fold, stem),
+            tokens(F.coalesce(F.col(c), F.lit("")), fold),
             lambda t, i: F.struct(F.lit(c).alias("col"), (i + 1).alias("pos"), t.alias("token")),
         )
 
     parts = [of_column(c) for c in cols]
-    return unnest(chunks, F.concat(*parts), "chunk_id").select("chunk_id", "item.*")
+    rows = unnest(chunks, F.concat(*parts), "chunk_id").select("chunk_id", "item.*")
+    if not stem:
+        return rows
+    stems = with_stems(rows.select(F.col("token").alias("term")).distinct())
+    return rows.join(stems, F.col("token") == F.col("term")).select("chunk_id", "col", "pos", F.col("stem").alias("token"))
 
 
 def _term_runs(occurrences: Column) -> Column:
@@ -73,11 +106,11 @@ def _term_runs(occurrences: Column) -> Column:
     return let(occurrences, lambda s: let(starts_of(s), lambda starts: build(s, starts)))
 
 
-def chunk_terms(chunks: DataFrame, cols=INDEXED, fold: bool = True, stem: bool = False, keep=()) -> DataFrame:
+def chunk_terms(chunks: DataFrame, cols=INDEXED, fold: bool = True, keep=()) -> DataFrame:
     """``chunk_id, n_tokens, terms``: the terms of each chunk, found in its row."""
     def of_column(n: int, c: str) -> Column:
         return F.transform(
-            analyse(F.coalesce(F.col(c), F.lit("")), fold, stem),
+            tokens(F.coalesce(F.col(c), F.lit("")), fold),
             lambda t, i: F.struct(t.alias("term"), (i + 1 + n * COLUMN_GAP).alias("pos")),
         )
 
@@ -97,9 +130,9 @@ def postings_of(terms: DataFrame, keep=()) -> DataFrame:
     )
 
 
-def build_postings(chunks: DataFrame, cols=INDEXED, fold: bool = True, stem: bool = False) -> DataFrame:
+def build_postings(chunks: DataFrame, cols=INDEXED, fold: bool = True) -> DataFrame:
     """``term, chunk_id, tf, n_tokens, positions``. No shuffle."""
-    return postings_of(chunk_terms(chunks, cols, fold, stem))
+    return postings_of(chunk_terms(chunks, cols, fold))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -114,11 +147,86 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     )
 
 
-def derive_index(chunks: DataFrame, fold: bool = True, stem: bool = False) -> TextIndex:
-    """Index tables as plans over ``chunks``, nothing written."""
-    terms = chunk_terms(chunks, fold=fold, stem=stem)
-    postings = postings_of(terms)
-    lengths = terms.select("chunk_id", "n_tokens")
-    return TextIndex(
-        chunks, postings, term_stats(postings), corpus_stats(lengths), lengths, None, fold, stem
+def bucket_of_term(term: Column, n: int) -> Column:
+    """Storage bucket of a term."""
+    return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
+
+
+def with_place(chunks: DataFrame, base: int = 0) -> DataFrame:
+    """Adds ``tile`` and ``slot`` by the place of a row in its partition. To be stored at
+    once: another run may place rows otherwise."""
+    row = F.monotonically_increasing_id()
+    return chunks.withColumns({"tile": F.shiftright(row, TILE_BITS) + F.lit(base), "slot": (row % TILE).cast("int")})
+
+
+def term_blocks(terms: DataFrame) -> DataFrame:
+    """Blocks of ``chunk_terms`` rows that carry ``tile`` and ``slot``: grouped by term
+    and tile, so at most ``TILE`` postings meet, however common a term is."""
+    rows = unnest(terms, F.col("terms"), "tile", "slot", "n_tokens").select("tile", "slot", "n_tokens", "item.*")
+    grouped = rows.groupBy("term", "tile").agg(
+        F.bit_or(F.expr("shiftleft(1L, slot)")).alias("held"),
+        F.max("tf").alias("max_tf"),
+        F.min("n_tokens").alias("min_len"),
+        F.sort_array(F.collect_list(F.struct("slot", "tf", "positions"))).alias("hits"),
     )
+    return grouped.select(
+        "term", "tile", "held", "max_tf", "min_len",
+        F.transform("hits", lambda h: h["tf"]).alias("tfs"),
+        F.transform("hits", lambda h: h["positions"]).alias("positions"),
+    )
+
+
+def slots_of(bitmap: str) -> Column:
+    """The slots of a bitmap, ascending."""
+    return F.expr(f"filter(sequence(0, {TILE - 1}), s -> (shiftright({bitmap}, s) & 1L) = 1L)")
+
+
+def slot_rows(blocks: DataFrame, *keep, wanted: str = "present") -> DataFrame:
+    """``keep, slot, tf, positions``: the postings of blocks whose bit is in ``wanted``."""
+    zipped = F.arrays_zip(slots_of("held").alias("slot"), "tfs", "positions")
+    rows = blocks.select(*keep, F.col(wanted).alias("_wanted"), F.explode(zipped).alias("h"))
+    live = rows.where(F.expr("(shiftright(_wanted, h.slot) & 1L) = 1L"))
+    return live.select(*keep, F.col("h.slot").alias("slot"), F.col("h.tfs").alias("tf"), F.col("h.positions").alias("positions"))
+
+
+def tiles_of(terms: DataFrame) -> DataFrame:
+    """``tile, held, chunk_ids, lens``: what stands in each slot."""
+    listed = F.sort_array(F.collect_list(F.struct("slot", "chunk_id", "n_tokens")))
+    grouped = terms.groupBy("tile").agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("held"), listed.alias("l"))
+    return grouped.select(
+        "tile", "held", F.transform("l", lambda x: x["chunk_id"]).alias("chunk_ids"), F.transform("l", lambda x: x["n_tokens"]).alias("lens")
+    )
+
+
+def slot_names(tiles: DataFrame) -> DataFrame:
+    """``tile, slot, chunk_id, n_tokens`` of the chunks that are not deleted."""
+    zipped = F.arrays_zip(slots_of("held").alias("slot"), "chunk_ids", "lens")
+    rows = tiles.select("tile", "present", F.explode(zipped).alias("h")).where(F.expr("(shiftright(present, h.slot) & 1L) = 1L"))
+    return rows.select("tile", F.col("h.slot").alias("slot"), F.col("h.chunk_ids").alias("chunk_id"), F.col("h.lens").alias("n_tokens"))
+
+
+def dictionary_of(terms: DataFrame, stem: bool = False) -> DataFrame:
+    """``first, last, heads, entries``: distinct terms in blocks, in the order of their
+    stems. ``heads`` are the beginnings of up to ``HEAD`` letters that the block has."""
+    distinct = terms.select("term").distinct()
+    keyed = with_stems(distinct) if stem else distinct.withColumn("stem", F.col("term"))
+    ordered = keyed.repartitionByRange("stem", "term").sortWithinPartitions("stem", "term")
+    placed = ordered.withColumn("block", F.floor(F.monotonically_increasing_id() / DICTIONARY_BLOCK))
+    entries = F.sort_array(F.collect_list(F.struct("stem", "term"))).alias("entries")
+    heads = F.array_distinct(F.flatten(F.collect_set(F.array(*[F.left("stem", F.lit(n)) for n in range(1, HEAD + 1)])))).alias("heads")
+    return placed.groupBy("block").agg(F.min("stem").alias("first"), F.max("stem").alias("last"), heads, entries).drop("block")
+
+
+def corpus_sums(tiles: DataFrame) -> DataFrame:
+    """One row: ``n_chunks, avgdl`` of the chunks that are not deleted."""
+    kept = F.expr("aggregate(filter(arrays_zip(_s, lens), h -> (shiftright(present, h._s) & 1L) = 1L), 0L, (a, h) -> a + h.lens)")
+    rows = tiles.withColumn("_s", slots_of("held")).select(F.bit_count("present").cast("long").alias("n"), kept.alias("t"))
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_chunks"), (F.sum("t") / F.sum("n")).alias("avgdl"))
+
+
+def derive_index(chunks: DataFrame, fold: bool = True, stem: bool = False) -> TextIndex:
+    """Index tables as plans over ``chunks``, of which only the places are stored."""
+    terms = materialize(chunk_terms(materialize(with_place(chunks)), fold=fold, keep=("tile", "slot")))
+    blocks = materialize(term_blocks(terms)).withColumns({"present": F.col("held"), "term_bucket": F.lit(0)})
+    tiles = tiles_of(terms).withColumn("present", F.col("held"))
+    return TextIndex(chunks, blocks, dictionary_of(blocks, stem), tiles, corpus_sums(tiles), None, fold, stem)

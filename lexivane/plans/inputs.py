@@ -67,7 +67,7 @@ def index(spark: SparkSession, sf: str, kind: str, stem: bool = False) -> TextIn
     per application and read by every query that needs it."""
     key = (spark.sparkContext.applicationId, sf, kind, stem)
     if key not in _stores:
-        store = IndexStore(spark, scratch_path(spark, f"index-{kind}"), n_buckets=8, stem=stem)
+        store = IndexStore(spark, scratch_path(spark, f"index-{kind}"), n_buckets=8, stem=stem, term_buckets=8)
         rows = whole_documents(spark, sf) if kind == "documents" else chunk_documents(docs(spark, sf))
         store.write(rows)
         _stores[key] = store

@@ -126,7 +126,7 @@ def corpus_statistics(spark, sf):
 )
 def prefix_expand(spark, sf):
     terms = B.parse_query(inputs.questions(spark, sf)).filter("is_prefix")
-    return B.prefix_expand(terms.select(F.col("term").alias("prefix")), inputs.index(spark, sf, "documents").vocab)
+    return B.prefix_expand(terms.select(F.col("term").alias("prefix")), inputs.index(spark, sf, "documents").dictionary)
 
 
 _SEARCH = f"{UNITS}, {TERMS}, {QUESTIONS}, {BM25}"

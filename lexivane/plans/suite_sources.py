@@ -167,7 +167,7 @@ def upsert(spark, sf):
 def upsert_index(spark, sf):
     """A stored index of whole documents: the English ones get a newer text, the German
     ones lose theirs, and an older version of the French ones comes too late."""
-    store = IndexStore(spark, scratch_path(spark, "upsert"), n_buckets=4)
+    store = IndexStore(spark, scratch_path(spark, "upsert"), n_buckets=4, term_buckets=4)
     langs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), "lang")
     whole = inputs.whole_documents(spark, sf).withColumn("chunk_id", F.concat("doc_key", F.lit(":1")))
     whole = whole.withColumn("source_url", F.col("anchor_link"))
@@ -186,7 +186,7 @@ def upsert_index(spark, sf):
 )
 def clear_index(spark, sf):
     """Rows of each table before and after the index is emptied."""
-    store = IndexStore(spark, scratch_path(spark, "clear"), n_buckets=4)
+    store = IndexStore(spark, scratch_path(spark, "clear"), n_buckets=4, term_buckets=4)
     store.write(chunk_documents(inputs.docs(spark, sf)))
     before = S.store_counts(store.open()).select("store", F.col("n").alias("before"))
     store.clear()
@@ -260,7 +260,7 @@ def docs_per_source(spark, sf):
     (select count(*) from docs where {q_strip('content')} = '') as errors""",
 )
 def ingest_stats(spark, sf):
-    store = IndexStore(spark, scratch_path(spark, "ingest"), n_buckets=4)
+    store = IndexStore(spark, scratch_path(spark, "ingest"), n_buckets=4, term_buckets=4)
     stats = run_ingest(inputs.docs(spark, sf), store, clear=True)
     return spark.createDataFrame(
         [(stats.documents, stats.chunks_created, stats.chunks_stored, stats.errors)],
@@ -330,7 +330,7 @@ def incremental(spark, sf):
     """The documents arrive as files; the stream indexes them and ends. A second batch
     brings a newer blank for a fifth of them and an older text for another fifth."""
     inbox, progress = scratch_path(spark, "inbox"), scratch_path(spark, "progress")
-    store = IndexStore(spark, scratch_path(spark, "stream"), n_buckets=4)
+    store = IndexStore(spark, scratch_path(spark, "stream"), n_buckets=4, term_buckets=4)
     rows = inputs.docs(spark, sf).select("doc_key", "url", "title", "content", F.lit(5).cast("bigint").alias("version"))
     part = F.col("doc_key").cast("bigint") % 5
     late = rows.where(part < 2).withColumns(

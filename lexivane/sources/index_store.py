@@ -1,16 +1,20 @@
-"""The index on storage: chunks, postings, vocabulary, lengths, embeddings.
-
-Every table is partitioned by a bucket of the document key and by the version of that
-bucket. A write adds versions of the buckets it touches to all tables and then puts a
-manifest beside them, which names each bucket's current version. Readers follow the
-newest finished manifest, so they see a write in all tables or in none, and a bucket
-that lost all its words or documents keeps no old rows. ``vacuum`` removes what the
-manifest no longer names.
+"""The index on storage, as segments: chunks, term blocks, tiles, dictionary, embeddings.
+
+A write adds one segment with its own rows alone, and a table of dead slots: a bitmap
+for each tile in which it replaces or removes chunks. Then it puts a manifest beside
+them, which names the segments and dead tables that count. Readers follow the newest
+manifest, so they see a write whole or not at all. Of two writers at once, the second
+finds its manifest's number taken and fails; nothing of it is seen. ``compact`` writes
+all living rows as one segment, ``vacuum`` removes what no manifest names.
+
+Chunks and documents are partitioned by a bucket of the document key, term blocks by a
+bucket of the term, in which they are sorted.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,24 +22,36 @@ from pyspark.sql import functions as F
 
 from lexivane.operators.context import bucket_of
 from lexivane.operators.embedding import embed_dedup, embed_hash, task_prefix
-from lexivane.operators.postings import Embed, TextIndex, chunk_terms, postings_of
-from lexivane.session import bounded_broadcast, materialize, scratch_path
+from lexivane.operators.postings import (
+    Embed,
+    TextIndex,
+    bucket_of_term,
+    chunk_terms,
+    corpus_sums,
+    dictionary_of,
+    term_blocks,
+    tiles_of,
+    with_place,
+)
+from lexivane.session import bounded_broadcast, materialize, remove
 
 CHUNKS = (
     "chunk_id string, doc_key string, source_url string, title string, heading_path string, "
     "anchor_link string, section_seq int, chunk_seq int, content string, token_count int, "
-    "prev_id string, next_id string, created_at timestamp, bucket int"
+    "prev_id string, next_id string, created_at timestamp, tile bigint, slot int, bucket int"
 )
-POSTINGS = "term string, chunk_id string, tf int, n_tokens int, positions array<int>, bucket int"
-VOCAB = "term string, df bigint, bucket int"
-LENGTHS = "chunk_id string, n_tokens int, bucket int"
-STATS = "n_chunks bigint, n_tokens bigint, bucket int"
-EMBEDDINGS = "chunk_id string, embedding array<float>, bucket int"
-DOCUMENTS = "doc_key string, version bigint, bucket int"
 TABLES = {
-    "chunks": CHUNKS, "postings": POSTINGS, "vocab": VOCAB, "lengths": LENGTHS, "stats": STATS,
-    "embeddings": EMBEDDINGS, "documents": DOCUMENTS,
-}
+    "chunks": CHUNKS,
+    "blocks": "term string, tile bigint, held bigint, max_tf int, min_len int, tfs array<int>, positions array<array<int>>, term_bucket int",
+    "tiles": "tile bigint, held bigint, chunk_ids array<string>, lens array<int>",
+    "dictionary": "first string, last string, heads array<string>, entries array<struct<stem: string, term: string>>",
+    "embeddings": "chunk_id string, tile bigint, slot int, embedding array<float>",
+    "documents": "doc_key string, version bigint, bucket int",
+}
+DEAD = "tile bigint, dead bigint"
+# tiles of a segment are numbered from its version's multiple of this
+TILES_OF_SEGMENT = 1 << 46
+ALIVE = "(shiftright(coalesce(dead, 0L), slot) & 1L) = 0L"
 
 
 def upsert_chunks(existing: DataFrame, incoming: DataFrame, key: str = "source_url") -> DataFrame:
@@ -46,8 +62,8 @@ def upsert_chunks(existing: DataFrame, incoming: DataFrame, key: str = "source_u
     return kept.select(*existing.columns).unionByName(incoming.select(*existing.columns))
 
 
-def _buckets(rows: DataFrame) -> list[int]:
-    return sorted(r["bucket"] for r in rows.distinct().collect())  # at most n_buckets
+class ConcurrentWrite(RuntimeError):
+    """Another writer has put its manifest first; the write may be tried again."""
 
 
 @dataclass(frozen=True)
@@ -57,8 +73,10 @@ class IndexStore:
     n_buckets: int = 64
     slices: int = 1
     fold: bool = True
-    stem: bool = False
+    stem: bool = True
     embed: Embed | None = field(default=None, compare=False)
+    term_buckets: int = 64
+    max_segments: int = 16
 
     def _at(self, name: str) -> str:
         return f"{self.path.rstrip('/')}/{name}"
@@ -68,180 +86,211 @@ class IndexStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _manifest(self) -> dict | None:
-        """``version``, ``layout`` and ``buckets`` (current version of each bucket)."""
-        fs, path = self._fs("manifest")
-        if not fs.exists(path):
-            return None
-        names = [x.getPath().getName() for x in fs.listStatus(path)]
-        done = [int(n) for n in names if n.isdigit() and fs.exists(self._fs(f"manifest/{n}/_SUCCESS")[1])]
-        if not done:
-            return None
-        text = self.spark.read.text(self._at(f"manifest/{max(done)}")).first()["value"]
-        held = json.loads(text)
+    def _children(self, name: str) -> list[str]:
+        fs, path = self._fs(name)
+        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _manifest(self) -> dict:
+        """``version``, ``layout``, ``segments`` and ``dead`` (folders that count)."""
+        done = [int(n.split(".")[0]) for n in self._children("manifest") if n.endswith(".json")]
         own = self._layout()
+        if not done:
+            return {"version": 0, "layout": own, "segments": [], "dead": []}
+        held = json.loads(self.spark.read.text(self._at(f"manifest/{max(done)}.json")).first()["value"])
         if held["layout"] != own:
             raise ValueError(f"the index at {self.path} was made with {held['layout']}, not {own}")
         return held
 
     def _layout(self) -> dict:
-        return {"n_buckets": self.n_buckets, "fold": self.fold, "stem": self.stem}
-
-    def _commit(self, version: int, buckets: dict[str, int]) -> None:
-        held = json.dumps({"version": version, "layout": self._layout(), "buckets": buckets})
-        row = self.spark.createDataFrame([(held,)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(self._at(f"manifest/{version}"))
-
-    def _read(self, name: str, only: list[int] | None = None) -> DataFrame:
-        """The current rows of a table, of all buckets or of ``only`` some; other
-        partitions are pruned by their names."""
-        held = (self._manifest() or {"buckets": {}})["buckets"]
-        names = [f"{b}-{v}" for b, v in held.items() if only is None or int(b) in only]
-        fs, path = self._fs(name)
-        if not names or not fs.exists(path):
+        return {"n_buckets": self.n_buckets, "term_buckets": self.term_buckets, "fold": self.fold, "stem": self.stem}
+
+    def _commit(self, version: int, segments: list[str], dead: list[str]) -> None:
+        """Creates the manifest of ``version``, which must not exist yet."""
+        text = json.dumps({"version": version, "layout": self._layout(), "segments": segments, "dead": dead})
+        fs, path = self._fs(f"manifest/{version}.json")
+        try:
+            out = fs.create(path, False)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e) or fs.exists(path):
+                raise ConcurrentWrite(f"version {version} of {self.path} was written by another job") from e
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _read(self, name: str, held: dict, buckets: list[int] | None = None) -> DataFrame:
+        """A table of the segments that count; ``buckets``: only these partitions."""
+        paths = [f"segments/{s}/{name}" for s in held["segments"]]
+        paths = [self._at(p) for p in paths if self._fs(p)[0].exists(self._fs(p)[1])]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        rows = self.spark.read.schema(TABLES[name] + ", version_of int").parquet(self._at(name))
-        return rows.where(F.concat_ws("-", "bucket", "version_of").isin(names)).drop("version_of")
+        # each segment is read by itself, so that its partition folders are its own
+        out = None
+        for p in paths:
+            rows = self.spark.read.schema(TABLES[name]).parquet(p)
+            out = rows if out is None else out.union(rows)
+        return out if buckets is None else out.where(F.col("bucket").isin(buckets))
+
+    def _dead(self, held: dict) -> DataFrame | None:
+        """``tile, dead``: one row for each tile with deleted chunks."""
+        if not held["dead"]:
+            return None
+        rows = self.spark.read.schema(DEAD).parquet(*[self._at(f"dead/{d}") for d in held["dead"]])
+        return bounded_broadcast(rows.groupBy("tile").agg(F.bit_or("dead").alias("dead")))
+
+    def _live(self, name: str, held: dict, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of single chunks that are not deleted."""
+        rows, dead = self._read(name, held, buckets), self._dead(held)
+        return rows if dead is None else rows.join(dead, "tile", "left").where(ALIVE).select(*rows.columns)
+
+    def _masked(self, name: str, held: dict) -> DataFrame:
+        """Bitmap rows, with ``present``: the slots of ``held`` that are not deleted."""
+        rows, dead = self._read(name, held), self._dead(held)
+        if dead is None:
+            return rows.withColumn("present", F.col("held"))
+        present = F.col("held").bitwiseAND(F.bitwise_not(F.coalesce("dead", F.lit(0).cast("long"))))
+        return rows.join(dead, "tile", "left").withColumn("present", present).drop("dead").where("present <> 0")
 
     def exists(self) -> bool:
-        return self._manifest() is not None
-
-    def _write(self, df: DataFrame, name: str, version: int, *order: str) -> None:
-        (
-            df.withColumn("version_of", F.lit(version))
-            .sortWithinPartitions("bucket", *order)
-            .write.mode("append")
-            .partitionBy("bucket", "version_of")
-            .parquet(self._at(name))
-        )
+        return self._manifest()["version"] > 0
+
+    # ---- writing ---------------------------------------------------------
+
+    def _put(self, df: DataFrame, folder: str, name: str, *partition_by: str) -> DataFrame:
+        path = self._at(f"{folder}/{name}")
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.parquet(path)
+        return self.spark.read.schema(TABLES.get(name, DEAD)).parquet(path)
 
-    def _write_all(self, staged: DataFrame, documents: DataFrame, version: int, touched: list[int], kept: dict[str, int]) -> None:
-        """``staged`` is a stored table whose files hold one bucket each, so
-        all tables but the vocabulary are made from it without a shuffle."""
-        for name in TABLES:  # what an attempt that broke off has left
-            fs, path = self._fs(name)
-            for b in touched:
-                fs.delete(self._fs(f"{name}/bucket={b}/version_of={version}")[1], True)
-        put = lambda df, name, *order: self._write(df, name, version, *order)
-        terms = materialize(chunk_terms(staged, fold=self.fold, stem=self.stem, keep=("bucket",)))
-        texts = staged.select("bucket", "chunk_id", "content")
+    def _segment(self, chunks: DataFrame, documents: DataFrame, version: int) -> str:
+        """Writes a segment and returns its folder's name.
+
+        Chunks are shuffled once, to their bucket (and a slice, so that a full bucket is
+        several tasks), and get their tile and slot there. Postings are shuffled once, as
+        they are grouped by term and tile; a common word is spread by its tiles.
+        """
+        name = f"{version}-{uuid.uuid4().hex[:12]}"
+        folder = f"segments/{name}"
+        slice_of = F.pmod(F.xxhash64("chunk_id"), F.lit(self.slices))
+        ordered = chunks.repartition(self.n_buckets * self.slices, "bucket", slice_of).sortWithinPartitions("bucket", "doc_key", "chunk_seq")
+        columns = [c.split()[0] for c in CHUNKS.split(", ")]
+        stored = self._put(with_place(ordered, version * TILES_OF_SEGMENT).select(*columns), folder, "chunks", "bucket")
+        terms = materialize(chunk_terms(stored, fold=self.fold, keep=("tile", "slot")))
+        blocks = term_blocks(terms).withColumn("term_bucket", bucket_of_term(F.col("term"), self.term_buckets))
+        cut = F.pmod(F.xxhash64("tile"), F.lit(self.slices))
+        sorted_blocks = blocks.repartition(self.term_buckets * self.slices, "term_bucket", cut).sortWithinPartitions("term_bucket", "term", "tile")
+        held = self._put(sorted_blocks.select(*[c.split()[0] for c in TABLES["blocks"].split(", ")]), folder, "blocks", "term_bucket")
+        self._put(dictionary_of(held, self.stem), folder, "dictionary")
+        self._put(tiles_of(terms), folder, "tiles")
+        texts = stored.select("chunk_id", "tile", "slot", "content")
         if self.embed is None:
             vectors = embed_hash(texts, "content")
         else:  # a model is asked once for each distinct text
             texts = texts.withColumn("content", task_prefix(F.col("content"), "document"))
             vectors = embed_dedup(texts, "content", lambda rows: self.embed(rows, "content"))
         vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<float>"))
-        put(staged, "chunks", "chunk_id")
-        postings = postings_of(terms, keep=("bucket",))
-        put(postings, "postings", "term", "chunk_id")
-        put(terms.select("bucket", "chunk_id", "n_tokens"), "lengths", "chunk_id")
-        put(vectors.select("bucket", "chunk_id", "embedding"), "embeddings", "chunk_id")
-        vocab = postings.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
-        put(vocab.repartition("bucket"), "vocab", "term")
-        sums = terms.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").cast("long").alias("n_tokens"))
-        put(sums, "stats")
-        put(documents.select("doc_key", "version", "bucket").repartition("bucket"), "documents", "doc_key")
-        self._commit(version, kept | {str(b): version for b in touched})
-
-    def _staged(self, chunks: DataFrame, name: str) -> DataFrame:
-        """The one shuffle of an index build: chunks to their bucket and slice.
-        Slices keep a bucket with much in it from becoming one task."""
-        path = scratch_path(self.spark, name)
-        slice_of = F.pmod(F.xxhash64("chunk_id"), F.lit(self.slices))
-        (
-            chunks.repartition(self.n_buckets * self.slices, "bucket", slice_of)
-            .write.partitionBy("bucket")
-            .parquet(path)
-        )
-        return self.spark.read.schema(CHUNKS).parquet(path)
+        self._put(vectors.select("chunk_id", "tile", "slot", "embedding"), folder, "embeddings")
+        self._put(documents.select("doc_key", "version", "bucket").repartition("bucket"), folder, "documents", "bucket")
+        return name
 
     def _placed(self, chunks: DataFrame) -> DataFrame:
         if "created_at" not in chunks.columns:
             chunks = chunks.withColumn("created_at", F.current_timestamp())
-        names = [c.split()[0] for c in CHUNKS.split(", ")]
-        return chunks.withColumn("bucket", bucket_of(F.col("doc_key"), self.n_buckets)).select(*names)
+        return chunks.withColumn("bucket", bucket_of(F.col("doc_key"), self.n_buckets))
 
     def _keys(self, keys: DataFrame) -> DataFrame:
-        """doc_key and version (0 where none is given) with their bucket, one row each."""
-        version = F.col("version").cast("long") if "version" in keys.columns else F.lit(0).cast("long")
-        newest = keys.groupBy("doc_key").agg(F.max(F.coalesce(version, F.lit(0).cast("long"))).alias("version"))
+        """doc_key, version (the highest given, or null) and bucket, one row each."""
+        version = F.col("version").cast("long") if "version" in keys.columns else F.lit(None).cast("long")
+        newest = keys.groupBy("doc_key").agg(F.max(version).alias("version"))
         return newest.withColumn("bucket", bucket_of(F.col("doc_key"), self.n_buckets))
 
     def write(self, chunks: DataFrame, keys: DataFrame | None = None) -> None:
         """Replaces the whole index."""
-        held = self._manifest()
-        staged = self._staged(self._placed(chunks), "chunks")
-        documents = materialize(self._keys(staged.select("doc_key") if keys is None else keys))
-        touched = _buckets(staged.select("bucket").union(documents.select("bucket")))
-        self._write_all(staged, documents, held["version"] + 1 if held else 1, touched, {})
+        version = self._manifest()["version"] + 1
+        documents = self._keys(chunks.select("doc_key") if keys is None else keys)
+        documents = documents.withColumn("version", F.coalesce("version", F.lit(0).cast("long")))
+        self._commit(version, [self._segment(self._placed(chunks), documents, version)], [])
 
     def upsert(self, chunks: DataFrame, keys: DataFrame | None = None) -> None:
         """Replaces the documents named in ``keys`` (``doc_key`` and, if given,
         ``version``; else those of the chunks) by their chunks; a document without
-        chunks is removed. A document stored with a higher version stays as it is.
-        The version of a removed one is remembered.
+        chunks is removed. A document stored with a higher version stays as it is; one
+        given without a version replaces what is stored and keeps its version. The
+        version of a removed one is remembered.
+
+        What is written follows the batch: its own rows, and a bitmap for each tile
+        in which it replaces chunks.
         """
         held = self._manifest()
-        if held is None:
+        if not held["segments"]:
             return self.write(chunks, keys)
-        incoming = self._staged(self._placed(chunks), "incoming")
-        documents = materialize(self._keys(incoming.select("doc_key") if keys is None else keys))
-        touched = _buckets(documents.select("bucket"))  # at most n_buckets
+        asked = materialize(self._keys(chunks.select("doc_key") if keys is None else keys))
+        touched = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())  # at most n_buckets
         if not touched:
             return None
-        stored = self._read("documents", touched)
-        was = stored.select("doc_key", F.col("version").alias("was"))
-        fresh = materialize(
-            documents.join(was, "doc_key", "left").where("was is null or version >= was").drop("was")
-        )
-        new = incoming.join(fresh.select("doc_key"), "doc_key", "left_semi")
-        old = self._read("chunks", touched).join(fresh.select("doc_key"), "doc_key", "left_anti")
-        merged = self._staged(old.select(*new.columns).unionByName(new), "merged")
-        others = stored.join(fresh.select("doc_key"), "doc_key", "left_anti")
-        self._write_all(merged, others.select(*fresh.columns).unionByName(fresh), held["version"] + 1, touched, held["buckets"])
+        was = self._read("documents", held, touched).groupBy("doc_key").agg(F.max("version").alias("was"))
+        fresh = asked.join(was, "doc_key", "left").where("version is null or was is null or version >= was")
+        fresh = fresh.select("doc_key", F.coalesce("version", "was", F.lit(0).cast("long")).alias("version"), "bucket")
+        fresh = materialize(fresh)
+        if not fresh.limit(1).count():
+            return None
+        names = bounded_broadcast(fresh.select("doc_key"))
+        version = held["version"] + 1
+        new = self._segment(self._placed(chunks).join(names, "doc_key", "left_semi"), fresh, version)
+        replaced = self._live("chunks", held, touched).select("doc_key", "tile", "slot").join(names, "doc_key", "left_semi")
+        gone = materialize(replaced.groupBy("tile").agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("dead")))
+        dead = held["dead"]
+        if gone.limit(1).count():
+            self._put(gone, "dead", new)
+            dead = [*dead, new]
+        self._commit(version, [*held["segments"], new], dead)
+
+    def compaction_due(self) -> bool:
+        """More segments than ``max_segments``, or over a quarter of the slots dead."""
+        held = self._manifest()
+        dead = self._dead(held)
+        if len(held["segments"]) > self.max_segments:
+            return True
+        if dead is None:
+            return False
+        lost = dead.agg(F.sum(F.bit_count("dead"))).first()[0] or 0
+        return 4 * lost > (self._read("tiles", held).agg(F.sum(F.bit_count("held"))).first()[0] or 0)
+
+    def compact(self) -> None:
+        """Writes all living rows as one segment; a job of its own, beside no writer."""
+        held = self._manifest()
+        if not held["segments"]:
+            return
+        documents = self._read("documents", held).groupBy("doc_key", "bucket").agg(F.max("version").alias("version"))
+        version = held["version"] + 1
+        chunks = self._live("chunks", held).drop("tile", "slot")
+        self._commit(version, [self._segment(chunks, documents, version)], [])
 
     def clear(self) -> None:
         """Empties the index; the layout stays."""
-        held = self._manifest()
-        self._commit(held["version"] + 1 if held else 1, {})
+        self._commit(self._manifest()["version"] + 1, [], [])
 
     def vacuum(self) -> int:
-        """Deletes bucket versions and manifests that are no longer current; only
-        while nothing reads an older state. Returns how many folders went."""
-        held, gone = self._manifest(), 0
-        if held is None:
-            return 0
-        old = [f"manifest/{x}" for x in self._children("manifest") if x.isdigit() and int(x) < held["version"]]
-        for name in TABLES:
-            for b in self._children(name):
-                for v in self._children(f"{name}/{b}") if b.startswith("bucket=") else ():
-                    if v.startswith("version_of=") and held["buckets"].get(b.split("=")[1]) != int(v.split("=")[1]):
-                        old.append(f"{name}/{b}/{v}")
-        for x in old:
-            fs, path = self._fs(x)
-            gone += bool(fs.delete(path, True))
-        return gone
-
-    def _children(self, name: str) -> list[str]:
-        fs, path = self._fs(name)
-        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        """Deletes segments, dead tables and manifests that no longer count; only while
+        nothing reads an older state and nothing writes. Returns how many folders went."""
+        held = self._manifest()
+        old = [f"manifest/{x}" for x in self._children("manifest") if x.endswith(".json") and int(x.split(".")[0]) < held["version"]]
+        old += [f"segments/{x}" for x in self._children("segments") if x not in held["segments"]]
+        old += [f"dead/{x}" for x in self._children("dead") if x not in held["dead"]]
+        return sum(remove(self.spark, self._at(x)) for x in old)
 
     def open(self) -> TextIndex:
-        # a term has a row per bucket here; readers take distinct terms
-        vocab = self._read("vocab").select("term", "df")
-        stats = self._read("stats").agg(
-            F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"),
-            (F.sum("n_tokens") / F.sum("n_chunks")).alias("avgdl"),
-        )
+        held = self._manifest()
+        tiles = self._masked("tiles", held)
         return TextIndex(
-            self._read("chunks"),
-            self._read("postings"),
-            vocab,
-            stats,
-            self._read("lengths"),
-            self._read("embeddings"),
-            self.fold,
-            self.stem,
-            self.n_buckets,
-            self.embed,
+            chunks=self._live("chunks", held).drop("tile", "slot"),
+            blocks=self._masked("blocks", held),
+            dictionary=self._read("dictionary", held),
+            tiles=tiles,
+            stats=corpus_sums(tiles),
+            embeddings=self._live("embeddings", held).drop("tile", "slot"),
+            fold=self.fold,
+            stem=self.stem,
+            n_buckets=self.n_buckets,
+            embed=self.embed,
+            term_buckets=self.term_buckets,
         )

@@ -1,21 +1,25 @@
-from lexivane.operators.chunking import chunk_documents
 """Limiter, frontier, stored index and streams."""
 
 import datetime as dt
+import os
 import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexivane.operators import bm25 as B
 from lexivane.operators import ratelimit as R
+from lexivane.operators.bm25 import bm25_topk
+from lexivane.operators.chunking import chunk_documents
 from lexivane.operators.embedding import embed_dedup, embed_hash, embed_udf, mean_pool
 from lexivane.operators.frontier import frontier_bfs
 from lexivane.operators.pages import clean_pages, extract_links, seed_select, split_ok_quarantine
+from lexivane.operators.postings import bucket_of_term
 from lexivane.operators.stats import store_counts
 from lexivane.plans.ingest import ingest_pages, run_ingest
 from lexivane.plans.retrieve import hybrid_retrieve
-from lexivane.sources.index_store import IndexStore
+from lexivane.sources.index_store import ConcurrentWrite, IndexStore
 from lexivane.streaming.incremental import DOCUMENT_SCHEMA, incremental_ingest
 from lexivane.streaming.limiter import STATE_PROVIDER, rate_limit_stream, window_count_stream
 
@@ -153,7 +157,7 @@ def contents(store):
 
 
 def test_store(spark, folder):
-    store = IndexStore(spark, f"{folder}/ix", n_buckets=3)
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=3, term_buckets=2)
     long = ". ".join(f"sentence number {i} about models" for i in range(120))
     docs = documents(spark, [("a", long, 1), ("b", "short text", 1), ("c", " ", 1), ("d", None, 1)])
     stats = run_ingest(docs, store, clear=True)
@@ -173,7 +177,7 @@ def test_store(spark, folder):
 
 
 def test_a_write_leaves_no_dead_rows(spark, folder):
-    store = IndexStore(spark, f"{folder}/ix", n_buckets=2)
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=2)
     many = documents(spark, [(f"k{i}", f"text number {i}", 1) for i in range(8)]).withColumn("url", F.lit("one source"))
     run_ingest(many, store, clear=True)
     run_ingest(many.where("doc_key = 'k3'").withColumn("content", F.lit("!!!")), store)  # no words left in it
@@ -193,13 +197,13 @@ def test_a_write_leaves_no_dead_rows(spark, folder):
 
 
 def test_an_index_is_opened_as_it_was_made(spark, folder):
-    IndexStore(spark, f"{folder}/ix", n_buckets=4).write(chunk_documents(documents(spark, [("a", "x y", 1)])))
-    with pytest.raises(ValueError, match="n_buckets"):
+    IndexStore(spark, f"{folder}/ix", n_buckets=4, term_buckets=2).write(chunk_documents(documents(spark, [("a", "x y", 1)])))
+    with pytest.raises(ValueError, match="buckets"):
         IndexStore(spark, f"{folder}/ix", n_buckets=64).open()
 
 
 def test_an_unfinished_write_is_not_seen(spark, folder):
-    store = IndexStore(spark, f"{folder}/ix", n_buckets=2)
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=2)
     run_ingest(documents(spark, [("a", "old text", 1)]), store, clear=True)
     commit, IndexStore._commit = IndexStore._commit, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
     try:
@@ -212,8 +216,102 @@ def test_an_unfinished_write_is_not_seen(spark, folder):
     assert contents(store) == {"a:1": "new text"} and store.open().postings.where("term in ('half', 'old')").count() == 0
 
 
+def size_of(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def index_rows(store):
+    ix = store.open()
+    kinds = {"postings": ["term", "chunk_id", "tf", "n_tokens", "positions"], "lengths": ["chunk_id", "n_tokens"], "embeddings": ["chunk_id", "embedding"], "stats": ["n_chunks", "avgdl"]}
+    return {n: sorted(map(repr, getattr(ix, n).select(*cols).collect())) for n, cols in kinds.items()} | {"chunks": contents(store)}
+
+
+def test_delta_segments_equal_a_rebuild(spark, folder):
+    """A batch writes what it brings; reads, before and after compaction, are those of
+    an index built at once from what is left."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["models", "data", "train", "run", "the"]) + str(rng.randrange(40)) for _ in range(n))
+    now = {f"k{i}": text(30) for i in range(300)}
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=4, term_buckets=2)
+    run_ingest(documents(spark, [(k, t, 1) for k, t in now.items()]), store, clear=True)
+    whole = size_of(f"{folder}/ix")
+    for batch in range(3):
+        before = size_of(f"{folder}/ix")
+        news = {f"k{rng.randrange(310)}": text(20) if i % 3 else None for i in range(4)}
+        run_ingest(documents(spark, [(k, t, 2 + batch) for k, t in news.items()]), store)
+        assert size_of(f"{folder}/ix") - before < 0.4 * whole
+        now = {k: t for k, t in (now | news).items() if t}
+    built = IndexStore(spark, f"{folder}/new", n_buckets=4, term_buckets=2)
+    run_ingest(documents(spark, [(k, t, 1) for k, t in now.items()]), built, clear=True)
+    want = index_rows(built)
+    assert index_rows(store) == want and len(store._manifest()["segments"]) == 4
+    assert not store.compaction_due()
+    q = spark.createDataFrame([(1, "mod"), (2, "data1 run"), (3, "the")], "query_id bigint, q string")
+    best = lambda s: sorted((r["query_id"], r["chunk_id"], round(r["score"], 9)) for r in bm25_topk(q, s.open(), k=5).collect())
+    assert best(store) == best(built)
+    store.compact()
+    assert index_rows(store) == want and len(store._manifest()["segments"]) == 1
+    assert store.vacuum() > 0 and index_rows(store) == want
+    run_ingest(documents(spark, [("k1", "older", 0)]).drop("version"), store)  # no version given: replaces
+    assert contents(store)["k1:1"] == "older"
+
+
+def test_keys_without_a_version_replace_and_keep_it(spark, folder):
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=2)
+    put = lambda text, v: store.upsert(
+        chunk_documents(documents(spark, [("a", text, 1)]).drop("version")),
+        spark.createDataFrame([("a", v)], "doc_key string, version bigint"),
+    )
+    put("five", 5), put("new", None)
+    assert contents(store) == {"a:1": "new"}
+    put("four", 4)
+    assert contents(store) == {"a:1": "new"}
+    put("six", 6)
+    assert contents(store) == {"a:1": "six"}
+
+
+def test_the_second_of_two_writers_fails(spark, folder):
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=2)
+    store.write(chunk_documents(documents(spark, [("a", "x y", 1)])))
+    held, manifest = store._manifest(), IndexStore._manifest
+    store.upsert(chunk_documents(documents(spark, [("b", "first", 1)])))
+    IndexStore._manifest = lambda self: held  # what a job saw that began at the same time
+    try:
+        with pytest.raises(ConcurrentWrite):
+            store.upsert(chunk_documents(documents(spark, [("c", "second", 1)])))
+    finally:
+        IndexStore._manifest = manifest
+    assert contents(store) == {"a:1": "x y", "b:1": "first"}
+
+
+def test_only_asked_buckets_and_promising_tiles_are_read(spark, folder):
+    """Of the blocks, the buckets of the asked terms; of the postings, the tiles whose
+    bound reaches the best ones."""
+    rng = random.Random(5)
+    rare = {i * 700 for i in range(12)}
+    rows = [(f"k{i:04d}", "common " * (9 if i in rare else 1) + " ".join(f"w{rng.randrange(90)}" for _ in range(5 if i in rare else 25)), 1) for i in range(9000)]
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=16, stem=False)
+    store.write(chunk_documents(documents(spark, rows)))
+    ix = store.open()
+    q = spark.createDataFrame([(1, "common")], "query_id bigint, q string")
+    units = B.query_units(q)
+    expanded = B.expand_units(units, ix.dictionary)
+    plan = B.asked_blocks(expanded, ix, "present")._jdf.queryExecution().toString()
+    wanted = spark.createDataFrame([("common",)], "t string").select(bucket_of_term(F.col("t"), 16)).first()[0]
+    assert f"PartitionFilters: [isnotnull(term_bucket#" in plan and f"= {wanted})" in plan.split("PartitionFilters")[1][:120]
+    assert "positions" not in plan.split("ReadSchema")[1][:200]
+    seen = []
+    score, B.score_tiles = B.score_tiles, lambda tiles, *a: (seen.append(tiles.agg(F.sum(F.bit_count("present"))).first()[0]), score(tiles, *a))[1]
+    try:
+        got = [r["chunk_id"] for r in bm25_topk(q, ix, k=5).orderBy("rank").collect()]
+    finally:
+        B.score_tiles = score
+    assert set(got) <= {f"k{i:04d}:1" for i in rare} and len(got) == 5
+    assert sum(seen) < 0.15 * 9000
+
+
 def test_versions_decide_in_a_batch_and_over_batches(spark, folder):
-    store = IndexStore(spark, f"{folder}/stream", n_buckets=2)
+    store = IndexStore(spark, f"{folder}/stream", n_buckets=2, term_buckets=2)
     parts = (
         [("a", "alpha five", 5), ("b", "beta", 1), ("c", "gamma", 1), ("c", " ", 2)],  # a newer blank beats an older text
         [("a", "alpha four", 4), ("b", None, 2)],  # an older version comes late; a text is withdrawn
@@ -227,7 +325,7 @@ def test_versions_decide_in_a_batch_and_over_batches(spark, folder):
 
 
 def test_retrieval_with_neighbours(spark, folder):
-    store = IndexStore(spark, f"{folder}/ix", n_buckets=2)
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=2)
     text = "# Guide\n" + "\n".join(f"## Part {w}\nAll about {w} here." for w in ("ants", "bees", "crows", "ducks", "elks"))
     run_ingest(documents(spark, [("g", text, 1), ("z", "Nothing of note.", 1)]), store, clear=True)
     queries = spark.createDataFrame([(1, "crows", 1)], "query_id bigint, q string, top_k int")
@@ -247,7 +345,7 @@ def test_pages_into_the_index(spark, folder):
     )
     seeds = spark.createDataFrame([("http://h/a#top",)], "url string")
     assert [r["page_id"] for r in seed_select(pages, seeds).collect()] == [1]
-    store = IndexStore(spark, f"{folder}/ix", n_buckets=2)
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=2)
     assert ingest_pages(pages, store, seeds).documents == 1
     assert contents(store) == {"1:1": "# Aone two"}
     assert clean_pages(pages, "broad").count() == 0
@@ -261,7 +359,7 @@ def test_quarantine(spark):
 
 
 def test_incremental_equals_batch(spark, folder):
-    store = IndexStore(spark, f"{folder}/stream", n_buckets=2)
+    store = IndexStore(spark, f"{folder}/stream", n_buckets=2, term_buckets=2)
     first = [("a", "alpha one", 1), ("b", "beta one", 1)]
     second = [("a", "alpha two", 2), ("a", "alpha old", 1), ("c", "gamma", 1)]
     for part in (first, second):
@@ -269,7 +367,7 @@ def test_incremental_equals_batch(spark, folder):
         incremental_ingest(spark, f"{folder}/in", store, f"{folder}/cp").awaitTermination()
     want = {"a:1": "alpha two", "b:1": "beta one", "c:1": "gamma"}
     assert contents(store) == want
-    batch = IndexStore(spark, f"{folder}/batch", n_buckets=2)
+    batch = IndexStore(spark, f"{folder}/batch", n_buckets=2, term_buckets=2)
     run_ingest(documents(spark, [("a", "alpha two", 2), ("b", "beta one", 1), ("c", "gamma", 1)]), batch, clear=True)
     assert contents(batch) == want
 
@@ -293,7 +391,7 @@ def test_a_model_serves_the_index_and_the_questions(spark, folder):
         return lambda texts: [[float(t.count(c)) for c in "abcdefgh"] for t in texts]
 
     model = lambda rows, column: embed_udf(rows, column, letters, 8)
-    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, embed=model)
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=2, embed=model)
     texts = ["aaaa zz", "bbbb zz", "bbbb zz", "hhhh zz"]
     run_ingest(documents(spark, [(f"k{i}", t, 1) for i, t in enumerate(texts)]), store, clear=True)
     assert {len(r["embedding"]) for r in store.open().embeddings.collect()} == {8}
