@@ -1,4 +1,4 @@
-"""HTML expressions: regular-expression cascades over the raw page."""
+"""HTML expressions over the raw page."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexivane.functions.markup import RAW, block_markdown, first_subtree, has_class, without_raw, without_subtrees
 from lexivane.functions.text import (
     LINE_BREAKS,
     blank_to_null,
@@ -48,39 +49,42 @@ def decode_entities(c: Column) -> Column:
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
+# fixed values: the patterns of the conversion and their order decide the result
+MARKDOWN_STEPS = (
+    (r"(?s)<h1[^>]*>(.*?)</h1>", "# $1"),
+    (r"(?s)<h2[^>]*>(.*?)</h2>", "## $1"),
+    (r"(?s)<h3[^>]*>(.*?)</h3>", "### $1"),
+    (r"(?s)<h4[^>]*>(.*?)</h4>", "#### $1"),
+    (r"(?s)<pre[^>]*><code[^>]*>(.*?)</code></pre>", "```\n$1\n```"),
+    (r"(?d)<code[^>]*>(.*?)</code>", "`$1`"),
+    (r"<ul[^>]*>|</ul>|<ol[^>]*>|</ol>", ""),
+    (r"(?s)<li[^>]*>(.*?)</li>", "- $1"),
+    (r"(?s)<p[^>]*>(.*?)</p>", "$1\n\n"),
+    (r"<[^>]+>", ""),
+    (r"(?U)\n\s*\n\s*\n", "\n\n"),
+)
+
+
 def html_to_markdown(c: Column) -> Column:
     """Headings, code, lists and paragraphs to markdown; other tags dropped.
 
     Entities are left as they are, and nothing is inserted before a heading.
     """
-    steps = [(rf"(?s)<h{n}[^>]*>(.*?)</h{n}>", "#" * n + " $1") for n in (1, 2, 3, 4)]
-    steps += [
-        (r"(?s)<pre[^>]*><code[^>]*>(.*?)</code></pre>", "```\n$1\n```"),
-        (r"(?d)<code[^>]*>(.*?)</code>", "`$1`"),
-        (r"<ul[^>]*>|</ul>|<ol[^>]*>|</ol>", ""),
-        (r"(?s)<li[^>]*>(.*?)</li>", "- $1"),
-        (r"(?s)<p[^>]*>(.*?)</p>", "$1\n\n"),
-        (r"<[^>]+>", ""),
-        (r"(?U)\n\s*\n\s*\n", "\n\n"),
-    ]
-    for pattern, new in steps:
+    for pattern, new in MARKDOWN_STEPS:
         c = F.regexp_replace(c, pattern, new)
     return strip(c)
 
 
 def strip_boilerplate(c: Column, tags, classes=()) -> Column:
-    """Drop comments, then each listed element, then div/section elements whose
-    class holds one of ``classes``."""
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    for tag in tags:
-        c = F.regexp_replace(c, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", "")
-    if classes:
-        names = "|".join(classes)
-        for tag in ("div", "section"):
-            c = F.regexp_replace(
-                c, rf"(?is)<{tag}\s[^>]*class=[\"'][^\"']*({names})[^\"']*[\"'][^>]*>.*?</{tag}\s*>", ""
-            )
-    return c
+    """Drop comments, then the listed elements and the div/section elements whose class
+    holds one of ``classes``, each with all that is in it."""
+    c = without_raw(c, tuple(t for t in tags if t in RAW))
+    listed = [t for t in tags if t not in RAW]
+
+    def pick(name: Column, token: Column) -> Column:
+        return name.isin(*listed) | (name.isin("div", "section") & has_class(token, classes))
+
+    return without_subtrees(c, pick) if listed or classes else c
 
 
 def page_text(c: Column) -> Column:
@@ -96,14 +100,11 @@ def visible_text_flat(c: Column) -> Column:
 
 
 def main_region(c: Column, classes=()) -> Column:
-    """Inner HTML of ``main`` or ``article``, else a div of a content class,
-    else the whole page."""
-    named = r"(?is)<(main|article)(?:\s[^>]*)?>(.*?)</\1\s*>"
-    ladder = [F.nullif(F.regexp_extract(c, named, 2), F.lit(""))]
+    """Inner HTML of the first ``main`` or ``article``, else of the first div of a
+    content class, else the whole page."""
+    ladder = [F.nullif(first_subtree(c, lambda name, t: name.isin("main", "article")), F.lit(""))]
     if classes:
-        names = "|".join(classes)
-        div = rf"(?is)<div\s[^>]*class=[\"'][^\"']*(?:{names})[^\"']*[\"'][^>]*>(.*?)</div\s*>"
-        ladder.append(F.nullif(F.regexp_extract(c, div, 1), F.lit("")))
+        ladder.append(F.nullif(first_subtree(c, lambda name, t: (name == "div") & has_class(t, classes)), F.lit("")))
     return F.coalesce(*ladder, c)
 
 
@@ -113,9 +114,10 @@ def visible_text_lines(c: Column, classes=()) -> Column:
     return join_nonblank(F.split(text, "\n"), "\n")
 
 
-def main_article_markdown(c: Column) -> Column:
-    clean = strip_boilerplate(main_region(c), ("script", "style"))
-    return normalize_markdown(html_to_markdown(clean))
+def main_article_markdown(c: Column, base: Column | None = None) -> Column:
+    """Markdown of a page's article, lines stripped and blank lines single. Links and
+    images are made absolute if ``base``, the page's address, is given."""
+    return normalize_markdown(decode_entities(block_markdown(main_region(without_raw(c)), base)))
 
 
 def element_text(c: Column, pattern: str, group: int) -> Column:

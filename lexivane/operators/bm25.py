@@ -1,4 +1,8 @@
-"""Keyword search: every term required, prefixes expanded, BM25 order."""
+"""Keyword search: every term required, prefixes expanded, BM25 order.
+
+Small sides of joins are stored tables here, so Spark knows their sizes and broadcasts
+those below its own threshold.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from lexivane.config import BM25_B, BM25_K1, BM25_MIN_IDF, DEFAULTS
 from lexivane.functions.terms import query_terms, stemmed
 from lexivane.functions.text import unnest
 from lexivane.operators.postings import HEAD, TextIndex, bucket_of_term, slot_names, slot_rows, slots_of
-from lexivane.session import bounded_broadcast, fits_broadcast, materialize
+from lexivane.session import bounded_broadcast, materialize
 
 
 def parse_query(queries: DataFrame) -> DataFrame:
@@ -88,19 +92,17 @@ def expand_units(units: DataFrame, dictionary: DataFrame) -> DataFrame:
     return parts.join(found, ["wanted", "is_prefix"]).select("unit", "n_parts", "part_pos", "term")
 
 
-def asked_blocks(expanded: DataFrame, index: TextIndex, *columns: str) -> DataFrame:
+def asked_blocks(expanded: DataFrame, index: TextIndex, buckets: list[int], *columns: str) -> DataFrame:
     """The blocks of the terms of ``expanded`` with its columns. Buckets of terms that
     nobody asks for are not opened."""
-    keyed = expanded.withColumn("term_bucket", bucket_of_term(F.col("term"), index.term_buckets))
-    buckets = [r["term_bucket"] for r in keyed.select("term_bucket").distinct().collect()]  # at most term_buckets
     rows = index.blocks.where(F.col("term_bucket").isin(buckets)).select("term_bucket", "term", "tile", *columns)
-    return rows.join(bounded_broadcast(keyed), ["term_bucket", "term"]).drop("term_bucket")
+    return rows.join(expanded, ["term_bucket", "term"]).drop("term_bucket")
 
 
 _BITS = ("present", "max_tf", "min_len")
 
 
-def unit_tiles(expanded: DataFrame, index: TextIndex) -> tuple[DataFrame, DataFrame | None]:
+def unit_tiles(expanded: DataFrame, index: TextIndex, buckets: list[int], any_phrase: bool) -> tuple[DataFrame, DataFrame | None]:
     """``unit, tile, present, max_tf, min_len``, and the hits (unit, tile, slot, f) of
     phrases, if there are any.
 
@@ -109,14 +111,14 @@ def unit_tiles(expanded: DataFrame, index: TextIndex) -> tuple[DataFrame, DataFr
     """
     both = {"max_tf": F.sum("max_tf").alias("max_tf"), "min_len": F.min("min_len").alias("min_len")}
     single = (
-        asked_blocks(expanded.where("n_parts = 1"), index, *_BITS)
+        asked_blocks(expanded.where("n_parts = 1"), index, buckets, *_BITS)
         .groupBy("unit", "tile")
         .agg(F.bit_or("present").alias("present"), *both.values())
     )
     phrases = expanded.where("n_parts > 1")
-    if not phrases.limit(1).count():
+    if not any_phrase:
         return materialize(single), None
-    parts = asked_blocks(phrases, index, *_BITS).groupBy("unit", "n_parts", "part_pos", "tile").agg(
+    parts = asked_blocks(phrases, index, buckets, *_BITS).groupBy("unit", "n_parts", "part_pos", "tile").agg(
         F.bit_or("present").alias("present"), F.min("min_len").alias("min_len")
     )
     maybe = (
@@ -125,7 +127,7 @@ def unit_tiles(expanded: DataFrame, index: TextIndex) -> tuple[DataFrame, DataFr
         .where("n = n_parts and wanted <> 0")
     )
     maybe = materialize(maybe.select("unit", "tile", "wanted", "min_len"))
-    opened = asked_blocks(phrases, index, "held", "tfs", "positions").join(bounded_broadcast(maybe), ["unit", "tile"])
+    opened = asked_blocks(phrases, index, buckets, "held", "slots", "tfs", "positions").join(maybe, ["unit", "tile"])
     starts = (
         slot_rows(opened, "unit", "tile", "n_parts", "part_pos", "min_len", wanted="wanted")
         .select("unit", "tile", "slot", "n_parts", "min_len", F.explode(F.transform("positions", lambda p: p - F.col("part_pos"))).alias("start"))
@@ -154,6 +156,7 @@ class Matches:
     tiles: DataFrame
     units: DataFrame  # query_id, unit, weight, n_units, n_hits
     expanded: DataFrame
+    buckets: list[int]  # those of the asked terms
     phrases: DataFrame | None
 
 
@@ -167,16 +170,18 @@ def matching_tiles(queries: DataFrame, index: TextIndex, bound: Column | None =
     # Read several times below, so each step is computed once and stored.
     qu = materialize(query_units(queries, index.stem))
     units = qu.select("unit", "parts", "is_prefix").dropDuplicates(["unit"])
-    expanded = materialize(expand_units(units, index.dictionary))
-    held, phrases = unit_tiles(expanded, index)
+    bucket = bucket_of_term(F.col("term"), index.term_buckets)
+    expanded = materialize(expand_units(units, index.dictionary).withColumn("term_bucket", bucket))
+    asked = expanded.groupBy("term_bucket").agg(F.max("n_parts").alias("n")).collect()  # at most term_buckets
+    buckets, any_phrase = [r["term_bucket"] for r in asked], any(r["n"] > 1 for r in asked)
+    held, phrases = unit_tiles(expanded, index, buckets, any_phrase)
     counts = held.groupBy("unit").agg(F.sum(F.bit_count("present")).alias("n_hits"))
     known = qu.drop("parts", "is_prefix").join(counts, "unit")
     whole = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     ranked = materialize(known.withColumn("_n", whole).where("_n = n_units").drop("_n"))
-    side = F.broadcast if fits_broadcast(ranked) else (lambda df: df)
     rarest = ranked.groupBy("query_id").agg(F.min_by("unit", F.struct("n_hits", "unit")).alias("unit"))
-    candidates = held.join(side(rarest), "unit").select("query_id", "tile")
-    parts = candidates.join(side(ranked), "query_id").join(held, ["unit", "tile"])
+    candidates = held.join(rarest, "unit").select("query_id", "tile")
+    parts = candidates.join(ranked, "query_id").join(held, ["unit", "tile"])
     tiles = (
         parts.groupBy("query_id", "tile")
         .agg(
@@ -188,7 +193,7 @@ def matching_tiles(queries: DataFrame, index: TextIndex, bound: Column | None =
         .where("n = n_units and present <> 0")
         .drop("n", "n_units")
     )
-    return Matches(tiles, ranked, expanded, phrases)
+    return Matches(tiles, ranked, expanded, buckets, phrases)
 
 
 def match_all_terms(queries: DataFrame, index: TextIndex) -> DataFrame:
@@ -208,27 +213,25 @@ def first_tiles(tiles: DataFrame, k: int) -> DataFrame:
     return tiles.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def score_tiles(tiles: DataFrame, matches: Matches, index: TextIndex, weight_idf: Column, k1: float, b: float, digits: int | None) -> DataFrame:
+def score_tiles(tiles: DataFrame, matches: Matches, index: TextIndex, weight_idf: Column, avgdl: float, k1: float, b: float, digits: int | None) -> DataFrame:
     """``query_id, chunk_id, score`` of all matches in ``tiles``; only the postings of
     the asked terms in these tiles are read."""
     pairs = tiles.select("query_id", "tile", "present").join(matches.units.select("query_id", "unit"), "query_id")
     wanted = pairs.groupBy("unit", "tile").agg(F.bit_or("present").alias("wanted"))
     wanted = materialize(wanted)
-    opened = asked_blocks(matches.expanded.where("n_parts = 1"), index, "held", "present", "tfs", "positions").join(
-        bounded_broadcast(wanted), ["unit", "tile"]
+    opened = asked_blocks(matches.expanded.where("n_parts = 1"), index, matches.buckets, "held", "present", "slots", "tfs").join(
+        wanted, ["unit", "tile"]
     )
     live = opened.withColumn("wanted", F.col("wanted").bitwiseAND(F.col("present")))
     found = slot_rows(live, "unit", "tile", wanted="wanted").groupBy("unit", "tile", "slot").agg(F.sum("tf").cast("long").alias("f"))
     if matches.phrases is not None:
-        found = found.unionByName(matches.phrases.join(bounded_broadcast(wanted.select("unit", "tile")), ["unit", "tile"], "left_semi"))
+        found = found.unionByName(matches.phrases.join(wanted.select("unit", "tile"), ["unit", "tile"], "left_semi"))
     slots = tiles.select("query_id", "tile", F.explode(slots_of("present")).alias("slot"))
-    names = index.tiles.join(bounded_broadcast(tiles.select("tile").distinct()), "tile", "left_semi")
-    side = bounded_broadcast(matches.units)
-    avgdl = index.stats.select("avgdl").scalar()
-    total = F.sum(_part(F.col("f"), F.col("n_tokens"), weight_idf, avgdl, k1, b))
+    names = index.tiles.join(tiles.select("tile").distinct(), "tile", "left_semi")
+    total = F.sum(_part(F.col("f"), F.col("n_tokens"), weight_idf, F.lit(avgdl), k1, b))
     return (
         slots.join(slot_names(names), ["tile", "slot"])
-        .join(side, "query_id")
+        .join(matches.units, "query_id")
         .join(found, ["unit", "tile", "slot"])
         .groupBy("query_id", "chunk_id")
         .agg((total if digits is None else F.round(total, digits)).alias("score"))
@@ -250,14 +253,14 @@ def bm25_topk(
     reaches the score at ``k``. The rest cannot be among the
     best and their postings are not read.
     """
-    n_rows = index.stats.select("n_chunks").scalar()
-    avgdl = index.stats.select("avgdl").scalar()
-    weight_idf = F.col("weight") * idf(n_rows, F.col("n_hits"))
-    bound = _part(F.col("max_tf"), F.col("min_len"), weight_idf, avgdl, k1, b)
+    sums = index.stats.first()
+    avgdl = sums["avgdl"] or 0.0
+    weight_idf = F.col("weight") * idf(F.lit(sums["n_chunks"]), F.col("n_hits"))
+    bound = _part(F.col("max_tf"), F.col("min_len"), weight_idf, F.lit(avgdl), k1, b)
     matches = matching_tiles(queries, index, bound)
     tiles = materialize(matches.tiles)
     first = materialize(first_tiles(tiles, k))
-    score = lambda some: score_tiles(some, matches, index, weight_idf, k1, b, digits)
+    score = lambda some: score_tiles(some, matches, index, weight_idf, avgdl, k1, b, digits)
     found = materialize(top_ranked(score(first), k))
     second = materialize(open_tiles(tiles, first, found, k, digits))
     if second.limit(1).count():
@@ -269,8 +272,8 @@ def open_tiles(tiles: DataFrame, first: DataFrame, found: DataFrame, k: int, dig
     """The tiles beyond ``first`` that may hold one of the best ``k``, by their bound."""
     least = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     slack = 1e-9 if digits is None else 10.0**-digits  # sums in another order, rounding
-    rest = tiles.join(bounded_broadcast(first.select("query_id", "tile")), ["query_id", "tile"], "left_anti")
-    return rest.join(bounded_broadcast(least), "query_id").where(F.col("bound") * (1 + 1e-9) + slack >= F.col("least")).drop("least")
+    rest = tiles.join(first.select("query_id", "tile"), ["query_id", "tile"], "left_anti")
+    return rest.join(least, "query_id").where(F.col("bound") * (1 + 1e-9) + slack >= F.col("least")).drop("least")
 
 
 def top_ranked(scored: DataFrame, k: int) -> DataFrame:

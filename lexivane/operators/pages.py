@@ -89,7 +89,7 @@ def clean_pages(pages: DataFrame, mode: str = "article") -> DataFrame:
     """
     url, html = F.col("url"), F.col("html")
     if mode == "article":
-        content, title = main_article_markdown(html), extract_title(html, url, "title")
+        content, title = main_article_markdown(html, url), extract_title(html, url, "title")
     elif mode == "broad":
         pages = page_quality(pages, mode).filter("is_doc")
         content = visible_text_flat(strip_boilerplate(html, BROAD_BOILERPLATE))

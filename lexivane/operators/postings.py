@@ -32,7 +32,7 @@ class TextIndex:
     Chunks are numbered by tile and slot; a tile has up to ``TILE`` of them.
     ``blocks`` has a row for each term and tile: the slots with the term as a bitmap
     (``held``, and ``present`` without deleted chunks), the greatest tf and the least
-    length among them, and the tfs and positions slot by slot. ``tiles`` names the
+    length among them, and ``slots``, ``tfs`` and ``positions`` in order of the slots. ``tiles`` names the
     chunks of each slot, ``dictionary`` has the terms by stem in sorted blocks.
     ``fold`` and ``stem`` tell how terms were made, so that queries are analysed the
     same way.
@@ -171,6 +171,7 @@ def term_blocks(terms: DataFrame) -> DataFrame:
     )
     return grouped.select(
         "term", "tile", "held", "max_tf", "min_len",
+        F.transform("hits", lambda h: h["slot"]).alias("slots"),
         F.transform("hits", lambda h: h["tf"]).alias("tfs"),
         F.transform("hits", lambda h: h["positions"]).alias("positions"),
     )
@@ -183,10 +184,12 @@ def slots_of(bitmap: str) -> Column:
 
 def slot_rows(blocks: DataFrame, *keep, wanted: str = "present") -> DataFrame:
     """``keep, slot, tf, positions``: the postings of blocks whose bit is in ``wanted``."""
-    zipped = F.arrays_zip(slots_of("held").alias("slot"), "tfs", "positions")
-    rows = blocks.select(*keep, F.col(wanted).alias("_wanted"), F.explode(zipped).alias("h"))
-    live = rows.where(F.expr("(shiftright(_wanted, h.slot) & 1L) = 1L"))
-    return live.select(*keep, F.col("h.slot").alias("slot"), F.col("h.tfs").alias("tf"), F.col("h.positions").alias("positions"))
+    lists = [c for c in ("slots", "tfs", "positions") if c in blocks.columns]
+    some = blocks.where(F.col(wanted).bitwiseAND(F.col("held")) != 0)
+    rows = some.select(*keep, F.col(wanted).alias("_wanted"), F.explode(F.arrays_zip(*lists)).alias("h"))
+    live = rows.where(F.expr("(shiftright(_wanted, h.slots) & 1L) = 1L"))
+    names = {"slots": "slot", "tfs": "tf", "positions": "positions"}
+    return live.select(*keep, *[F.col(f"h.{c}").alias(names[c]) for c in lists])
 
 
 def tiles_of(terms: DataFrame) -> DataFrame:

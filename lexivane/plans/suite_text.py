@@ -60,6 +60,34 @@ def q_normal(x: str) -> str:
     return q_strip(rf"regexp_replace(array_to_string({q_lines(x)}, chr(10)), '\n\n\n+', chr(10) || chr(10), 'g')")
 
 
+def q_kept(tags, classes=(), raw=("script", "style")) -> str:
+    """CTEs that end in ``kept(page_id, clean)``: pages without the elements of these
+    tags and classes, by the depth of open elements, one token at a time."""
+    listed = ", ".join(f"'{t}'" for t in tags if t not in raw)
+    classed = f"or (name in ('div', 'section') and regexp_matches(t, '(?is)\\sclass\\s*=\\s*(\"[^\"]*({'|'.join(classes)})|''[^'']*({'|'.join(classes)}))'))" if classes else ""
+    return rf"""toks as (select page_id, regexp_extract_all({q_boilerplate('html', [t for t in tags if t in raw])}, '(?s)<[!/]?[A-Za-z][^>]*>|[^<]+|<') as ts from pages),
+tok as (
+  select *, case when t[1] <> '<' or length(t) = 1 then 0 when t[2] = '/' then -1 when t[2] = '!' or ends_with(t, '/>')
+      or name in ('area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr') then 0 else 1 end as kind,
+    name in ({listed}) {classed} as drops
+  from (select page_id, i, ts[i] as t, lower(regexp_extract(ts[i], '^</?([A-Za-z][A-Za-z0-9]*)', 1)) as name
+        from (select page_id, ts, unnest(range(1, len(ts) + 1)) as i from toks))),
+run as (
+  with recursive r(page_id, i, open, level, keep) as (
+    select page_id, 0::bigint, []::varchar[], 0::bigint, false from toks
+    union all
+    select page_id, i, now, case when level = 0 and kind = 1 and drops then len(now) when level > 0 and len(now) < level then 0 else level end,
+      case when level = 0 then not (kind = 1 and drops) else len(now) < level and found <> len(open) - level + 1 end
+    from (select r.page_id, tok.i, r.level, r.open, tok.kind, tok.drops, coalesce(list_position(r.open, name), 0) as found,
+            case when kind = 1 then list_prepend(name, r.open)
+              when kind = -1 and list_contains(r.open, name) then r.open[list_position(r.open, name) + 1:] else r.open end as now
+          from r join tok on tok.page_id = r.page_id and tok.i = r.i + 1))
+  select * from r where i > 0),
+kept as (
+  select p.page_id, coalesce(string_agg(t, '' order by tok.i) filter (where keep), '') as clean
+  from pages p left join tok using (page_id) left join run using (page_id, i) group by p.page_id)"""
+
+
 Q_TEXT = q_entities(q_drop(q_boilerplate("html", ("script", "style")), "<[^>]+>"))
 Q_MAIN = r"""coalesce(nullif(regexp_extract(html, '(?is)<article(\s[^>]*)?>(.*?)</article\s*>', 2), ''), html)"""
 Q_TITLE = q_strip(q_entities(q_drop(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)", "<[^>]+>")))
@@ -80,30 +108,28 @@ def html_to_markdown(spark, sf):
 
 @query(
     "strip_boilerplate",
-    f"select page_id, {q_boilerplate('html', FOCUSED_BOILERPLATE, FOCUSED_BOILERPLATE_CLASSES)} as content from pages",
+    f"with {q_kept(FOCUSED_BOILERPLATE, FOCUSED_BOILERPLATE_CLASSES)} select page_id, clean as content from kept",
 )
 def strip_boilerplate(spark, sf):
     clean = H.strip_boilerplate(F.col("html"), FOCUSED_BOILERPLATE, FOCUSED_BOILERPLATE_CLASSES)
     return _page(spark, sf, clean)
 
 
-Q_FLAT = rf"""array_to_string(list_filter(list_transform(
-  regexp_split_to_array({q_entities(q_drop(q_boilerplate("html", BROAD_BOILERPLATE), "<[^>]+>"))}, '[\n\r]|  '),
-  lambda s: {q_strip("s")}), lambda s: s <> ''), ' ')"""
+Q_FLAT = rf"""{q_kept(BROAD_BOILERPLATE)}, flat as (select page_id, array_to_string(list_filter(list_transform(
+  regexp_split_to_array({q_entities(q_drop("clean", "<[^>]+>"))}, '[\n\r]|  '),
+  lambda s: {q_strip("s")}), lambda s: s <> ''), ' ') as content from kept)"""
 
 
-@query("visible_text_flat", f"select page_id, {Q_FLAT} as content from pages")
+@query("visible_text_flat", f"with {Q_FLAT} select page_id, content from flat")
 def visible_text_flat(spark, sf):
     return _page(spark, sf, H.visible_text_flat(H.strip_boilerplate(F.col("html"), BROAD_BOILERPLATE)))
 
 
-_CLEAN = q_boilerplate("html", FOCUSED_BOILERPLATE, FOCUSED_BOILERPLATE_CLASSES)
-
-
 @query(
     "visible_text_lines",
-    f"""select page_id, array_to_string(list_filter({q_lines(q_entities("regexp_replace(" + Q_MAIN.replace("html", "clean") + ", '<[^>]+>', chr(10), 'g')"))},
-      lambda s: s <> ''), chr(10)) as content from (select page_id, {_CLEAN} as clean from pages)""",
+    f"""with {q_kept(FOCUSED_BOILERPLATE, FOCUSED_BOILERPLATE_CLASSES)} select page_id,
+      array_to_string(list_filter({q_lines(q_entities("regexp_replace(" + Q_MAIN.replace("html", "clean") + ", '<[^>]+>', chr(10), 'g')"))},
+      lambda s: s <> ''), chr(10)) as content from kept""",
 )
 def visible_text_lines(spark, sf):
     clean = H.strip_boilerplate(F.col("html"), FOCUSED_BOILERPLATE, FOCUSED_BOILERPLATE_CLASSES)
@@ -116,12 +142,27 @@ def normalize_markdown(spark, sf):
     return d.select("doc_id", X.normalize_markdown(F.col("text")).alias("content"))
 
 
+def q_article(x: str) -> str:
+    """What the articles of the table hold: paragraphs, line ends, a heading, and
+    emphasis that is never closed. White space of the source is one blank."""
+    for pattern, new in (
+        (r"\s+", " "),
+        ("<h1[^>]*>", "\n\n# "),
+        ("</h1>|</?p>", "\n\n"),
+        ("<br>", "\n"),
+        ("<[^>]+>", ""),
+        (r"(?m)^#{1,6}\s*$", ""),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return q_entities(x)
+
+
 @query(
     "main_article_markdown",
-    f"select page_id, {q_normal(q_markdown(q_boilerplate(Q_MAIN, ('script', 'style'))))} as content from pages",
+    f"select page_id, {q_normal(q_article(Q_MAIN))} as content from pages",
 )
 def main_article_markdown(spark, sf):
-    return _page(spark, sf, H.main_article_markdown(F.col("html")))
+    return _page(spark, sf, H.main_article_markdown(F.col("html"), F.col("url")))
 
 
 @query(
@@ -250,7 +291,7 @@ def page_quality_focused(spark, sf):
 
 @query(
     "min_content",
-    f"""with c as (select page_id, {Q_FLAT} as content from pages)
+    f"""with {Q_FLAT}, c as (select page_id, content from flat)
     select page_id, cast(len({q_words('content')}) as bigint) as word_count from c where length(content) >= 200""",
 )
 def min_content(spark, sf):

@@ -42,7 +42,7 @@ CHUNKS = (
 )
 TABLES = {
     "chunks": CHUNKS,
-    "blocks": "term string, tile bigint, held bigint, max_tf int, min_len int, tfs array<int>, positions array<array<int>>, term_bucket int",
+    "blocks": "term string, tile bigint, held bigint, max_tf int, min_len int, slots array<int>, tfs array<int>, positions array<array<int>>, term_bucket int",
     "tiles": "tile bigint, held bigint, chunk_ids array<string>, lens array<int>",
     "dictionary": "first string, last string, heads array<string>, entries array<struct<stem: string, term: string>>",
     "embeddings": "chunk_id string, tile bigint, slot int, embedding array<float>",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexivane.functions import html as H
+from lexivane.functions import markup as M
 from lexivane.functions import text as X
 from lexivane.functions import urls as U
 from lexivane.functions.terms import query_terms, tokens
@@ -80,6 +81,47 @@ def test_html(spark):
     assert one(spark, H.visible_text_flat(F.col("h")), h="<p> a  b </p>\n\n<p>c</p>") == "a b c"
 
 
+def test_nested_elements_go_and_stay_whole(spark):
+    drop = lambda h, *tags, classes=(): one(spark, H.strip_boilerplate(F.col("h"), tags, classes), h=h)
+    assert drop("a<nav>x<nav>y</nav>z</nav>b", "nav") == "ab"
+    assert drop("<div>k<div class='side sidebar-left'>x<div>y</div>z</div>l</div>", classes=("sidebar",)) == "<div>kl</div>"
+    assert drop("<div class='nav'><div><p>x</div></div>k", classes=("nav",)) == "k"
+    # never closed: up to the end of its parent; an end tag alone changes nothing
+    assert drop("<div><header>x<p>y</div>k</header>l", "header") == "<div></div>k</header>l"
+    assert drop("k<footer>x<br>y", "footer") == "k"
+    assert drop("a<img src=x>b<nav/>c<NAV>d</Nav>", "nav") == "a<img src=x>b<nav/>c"
+    assert drop("", "nav") == "" and drop("no tags < here", "nav") == "no tags < here"
+    lines = lambda h: one(spark, H.visible_text_lines(F.col("h"), ("content",)), h=h)
+    assert lines("<p>x</p><div class='content'><div>one<div>two</div></div>three</div>y") == "one\ntwo\nthree"
+    assert lines("<main>one<main>two</main>three</main>four") == "one\ntwo\nthree"
+    assert lines("<article></article><div class=my-content>one</div>") == "one"
+    assert drop("<div>" * 3000 + "<nav>x</nav>" * 300 + "</div>" * 3000, "nav") == "<div>" * 3000 + "</div>" * 3000
+
+
+ARTICLE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/x">menu</a></nav>
+<article class="doc"><div><h1>Guide &amp; more</h1>intro
+text<p>See <a href="../b/c.html#s">the <b>c</b> page</a>, <a href='https://o.org/'>other</a> and <a>none</a>.</p>
+<h5>Deep</h5><p>one<br/>two <em>three</em> <b>never closed</p>
+<ul><li>a<ol><li>x</li><li>y <code>z()</code></li></ol></li><li>b</li></ul>
+<pre><code>if a &lt; b:
+    go()</code></pre>
+<img alt="Fig" src="i.png"><table><tr><th>h</th><td>1</td></tr></table><script>var t = "</p>";</script><hr>end</div></article>
+<footer>f</footer></body></html>"""
+
+
+def test_article_blocks(spark):
+    got = one(spark, H.main_article_markdown(F.col("h"), F.col("u")), h=ARTICLE, u="http://h.org/a/d/p.html?q=1")
+    assert got == "\n".join(
+        ["# Guide & more", "", "intro text", "", "See [the **c** page](http://h.org/a/b/c.html#s), [other](https://o.org/) and none.", "",
+         "##### Deep", "", "one", "two *three* never closed", "", "- a", "1. x", "2. y `z()`", "- b", "", "```", "if a < b:", "go()", "```", "",
+         "![Fig](http://h.org/a/d/i.png)", "", "| h | 1 |", "", "---", "", "end"]
+    )
+    assert one(spark, H.main_article_markdown(F.col("h")), h="<main><a href='x'>y</a></main>") == "[y](x)"
+    nested = one(spark, M.block_markdown(F.col("h")), h="<ul><li>a<ul><li>b<ol><li>c</ol></ul><li>d</ul>")
+    assert [x for x in nested.split("\n") if x.strip()] == ["- a", "  - b", "    1. c", "- d"]
+    assert one(spark, H.main_article_markdown(F.col("h")), h="<p>" + "w<br>" * 3000) == "\n".join(["w"] * 3000)
+
+
 @pytest.mark.parametrize(
     "html, ladder, want",
     [
