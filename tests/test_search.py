@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexivane.functions.porter import porter_stem
 from lexivane.operators import fusion as U
 from lexivane.operators import knn as N
+from lexivane.operators import vector_lists as V
 from lexivane.operators.bm25 import bm25_topk, match_all_terms
 from lexivane.operators.postings import derive_index
 
@@ -154,9 +155,8 @@ def brute(q, v, k, metric):
 @pytest.mark.parametrize("metric", ["cosine", "l2sq"])
 @pytest.mark.parametrize("block", [4096, 7])
 def test_knn(spark, monkeypatch, metric, block):
-    """A third of the vectors are copies; the small block forces the grid."""
+    """A third of the vectors are copies; small blocks make several passes."""
     monkeypatch.setattr(N, "QUERY_BLOCK", block)
-    monkeypatch.setattr(N, "VECTOR_BLOCK", 11)
     q, qdf = vectors(spark, 1, 20, "query_id")
     v, vdf = vectors(spark, 2, 60, "chunk_id", copies=20)
     got = {(r["query_id"], r["chunk_id"], r["rank"]) for r in N.knn(qdf, vdf, 5, metric, digits=6).collect()}
@@ -169,22 +169,53 @@ def test_l2_scores(spark):
     assert [r["score"] for r in N.knn(q, v, 2, "l2sq").orderBy("rank").collect()] == [1.0, 0.5]
 
 
-def test_vectors_that_cannot_be_compared_are_left_out(spark):
-    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "query_id bigint, embedding array<double>")
-    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [1.0, None]), ("e", [1.0, 1e-9])], "chunk_id string, embedding array<double>")
-    assert [(r["query_id"], r["chunk_id"]) for r in N.knn(q, v, 9).collect()] == [(1, "a"), (1, "e")]
+def test_vectors_meet_those_of_their_length(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [1.0] * 9), (5, [0.0, 0.0])], "query_id bigint, embedding array<double>")
+    v = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [1.0, None]), ("e", [1.0, 1e-9]), ("f", [1.0] * 3)], "chunk_id string, embedding array<double>"
+    )
+    assert sorted((r["query_id"], r["chunk_id"]) for r in N.knn(q, v, 9).collect()) == [(1, "a"), (1, "e"), (3, "c")]
+    assert {tuple(r) for r in N.knn_rejected(q, v).collect()} == {
+        ("query", "2", "no vector"), ("query", "4", "no counterpart of this length"), ("vector", "b", "no vector"),
+        ("vector", "d", "null component"), ("vector", "f", "no counterpart of this length"),
+    }
+    assert N.knn(q.limit(0), v, 9).count() == 0 and N.knn(q, v.limit(0), 9).count() == 0
     # without digits the full scores decide
     w = spark.createDataFrame([("a", [1.0, 2e-4]), ("z", [1.0, 1e-4])], "chunk_id string, embedding array<double>")
     q = q.where("query_id = 1")
     assert [r["chunk_id"] for r in N.knn(q, w, 1).collect()] == ["z"] and [r["chunk_id"] for r in N.knn(q, w, 1, digits=6).collect()] == ["a"]
 
 
-def test_lsh_recall(spark):
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
-    d = v.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    near = N.knn_lsh(q, d, 5)
-    exact = N.knn(q, d, 5)
-    assert near.join(exact, ["query_id", "chunk_id"]).count() > 0.5 * exact.count()
-    first = near.filter("rank = 1")
-    assert first.filter("score = 1.0").count() == first.count() == q.count()
+def clustered(n, families=40, d=16, seed=2):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(families, d))
+    return [(i, (centres[i % families] + 0.15 * rng.normal(size=d)).tolist()) for i in range(n)]
+
+
+def test_lists_find_neighbours_in_few_lists(spark, monkeypatch):
+    """Where vectors lie in families, a tenth of them is enough."""
+    rows = clustered(3000)
+    v = spark.createDataFrame(rows, "chunk_id bigint, embedding array<double>")
+    q = v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    lists = V.build_lists(v, n_lists=90, k=5)
+    exact = N.knn(q, v, 5)
+    near = V.knn_lists(q, lists, 5)
+    both = near.withColumnRenamed("score", "s").join(exact, ["query_id", "chunk_id"])
+    assert both.count() >= 0.9 * exact.count() and both.where("abs(s - score) > 1e-12").count() == 0
+    assert V.scored_share(lists) < 0.1
+    monkeypatch.setattr(N, "QUERY_BLOCK", 7)
+    again = V.knn_lists(q, lists, 5)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in df.collect())
+    assert key(again) == key(near)
+    plan = lists.rows.where("list in (3)")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan
+    assert V.knn_lists(q, lists, 5, probes=len(lists.centroids)).join(exact, ["query_id", "chunk_id", "rank"]).count() == exact.count()
+
+
+def test_lists_of_odd_vectors(spark):
+    kind = "chunk_id string, embedding array<double>"
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0]), ("e", [1.0, 1.0]), ("e", [1.0, 1.0])], kind)
+    q = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0]), (3, None)], "query_id bigint, embedding array<double>")
+    lists = V.build_lists(v)
+    assert sorted((r["query_id"], r["chunk_id"]) for r in V.knn_lists(q, lists, 9, probes=9).collect()) == [(1, "a"), (1, "e"), (1, "e")]
+    assert V.knn_lists(q, V.build_lists(v.limit(0)), 9).count() == 0
