@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from lexivane.config import RATE_LIMIT_REQUESTS, RATE_LIMIT_WINDOW_SECONDS
 from lexivane.session import materialize, ship_package
 
+# intervals into which a window is cut for counting
+WINDOW_PIECES = 8
 # A busy stretch of more requests than this is worked in slices.
 SLICE_ROWS = 2_000_000
 
@@ -43,27 +45,41 @@ def window_count(
     key: str,
     ts: str,
     window_seconds: int = RATE_LIMIT_WINDOW_SECONDS,
+    pieces: int = WINDOW_PIECES,
 ) -> DataFrame:
     """Adds ``n_recent``: requests of the client in the window that ends with
-    this request, refused ones included.
+    this request, refused ones included; null where the time is null.
 
-    A window reaches into one earlier bucket of its own length at most, so each
-    request is also shown to the next bucket and the frame runs per client and
-    bucket: a busy client is spread over its buckets.
+    It is the client's requests up to now less those up to a window ago. Time is cut
+    into ``pieces`` intervals a window: requests before an interval are a prefix sum of
+    counts made before the shuffle, and only the interval in which a time lies is
+    opened. No frame runs over a client's requests, so one with most of them is spread
+    over its intervals; requests of one time are one row with a count.
     """
     width = window_seconds * 1_000_000
-    rows = _bucketed(events, ts, width)
-    shown = rows.withColumn("_shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "_b", F.col("_b") + F.col("_shift")
-    )
-    frame = (
-        Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-(width - 1), Window.currentRow)
+    piece = lambda us: F.floor(us / F.lit(max(1, width // pieces)))
+    rows = events.withColumn("_us", micros(events, ts))
+    times = rows.where("_us is not null").groupBy(F.col(key).alias("_k"), "_us").agg(F.count(F.lit(1)).alias("_n"))
+    times = materialize(times)
+    past = F.col("_us") - width
+    none = F.lit(0).cast("bigint")
+    marks = times.select("_k", "_us", F.col("_us").alias("_t"), "_n", F.lit(0).alias("_asked")).unionByName(
+        times.select("_k", "_us", past.alias("_t"), none.alias("_n"), F.lit(1).alias("_asked"))
     )
-    return (
-        shown.withColumn("n_recent", F.count(F.lit(1)).over(frame))
-        .filter("_shift = 0")
-        .drop("_us", "_b", "_shift")
+    marks = marks.withColumn("_b", piece(F.col("_t")))
+    along = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marks.groupBy("_k", "_b").agg(F.sum("_n").alias("_n"))
+    before = sums.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_n").over(along), none).alias("_before"))
+    # a request at the very time that is asked for counts as past
+    inside = Window.partitionBy("_k", "_b").orderBy("_t", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    upto = marks.withColumn("_in", F.sum("_n").over(inside)).join(
+        before, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_b2"))
     )
+    sign = F.when(F.col("_asked") == 1, -1).otherwise(1)
+    counts = upto.groupBy("_k", "_us").agg(F.sum(sign * (F.col("_before") + F.col("_in"))).alias("n_recent"))
+    counts = counts.withColumnRenamed("_us", "_us2")
+    met = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_us") == F.col("_us2"))
+    return rows.join(counts, met, "left").drop("_us", "_us2", "_k")
 
 
 def _admit(us: np.ndarray, held: deque, limit: int, width: int) -> np.ndarray:

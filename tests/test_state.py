@@ -72,6 +72,20 @@ def test_window_count(spark):
     assert len(out) == 300
 
 
+@pytest.mark.parametrize("pieces", [1, 3, 8, 10**9])
+def test_window_count_of_a_busy_client(spark, pieces):
+    """Nine of ten requests are one client's; its intervals are many tasks' work."""
+    rng = random.Random(6)
+    rows = [("busy" if i % 10 else rng.choice(["b", None]), rng.choice([rng.randint(0, 400), 50])) for i in range(800)]
+    df = requests(spark, rows).withColumn("ts", F.when(F.col("event_id") != 7, F.col("ts")))
+    got = {r["event_id"]: r["n_recent"] for r in R.window_count(df, "client", "ts", 20, pieces).collect()}
+    live = [(i, c, s) for i, (c, s) in enumerate(rows) if i != 7]
+    assert got == {i: sum(d == c and s - 20 < t <= s for _, d, t in live) for i, c, s in live} | {7: None}
+    plan = R.window_count(df, "client", "ts", 20)._jdf.queryExecution().toString()
+    assert "windowspecdefinition(_k" in plan and "windowspecdefinition(client" not in plan
+    assert R.window_count(df.limit(0), "client", "ts", 20).count() == 0
+
+
 def test_stream_of_requests_equals_batch(spark, folder):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     rng = random.Random(9)
