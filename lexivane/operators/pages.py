@@ -109,12 +109,20 @@ def clean_pages(pages: DataFrame, mode: str = "article") -> DataFrame:
     return docs if mode == "article" else min_content(docs)
 
 
+def page_hrefs(html: Column) -> Column:
+    """Distinct link targets of one page, as they are written."""
+    return F.array_distinct(
+        F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
+    )
+
+
+def resolved(base: Column, href: Column) -> Column:
+    return url_join(base, F.replace(href, F.lit("&amp;"), F.lit("&")))
+
+
 def page_links(html: Column, base: Column) -> Column:
     """Distinct absolute targets of the links of one page."""
-    hrefs = F.regexp_extract_all(
-        html, F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1)
-    )
-    return F.array_distinct(F.transform(hrefs, lambda h: url_join(base, F.replace(h, F.lit("&amp;"), F.lit("&")))))
+    return F.array_distinct(F.transform(page_hrefs(html), lambda h: resolved(base, h)))
 
 
 def extract_links(

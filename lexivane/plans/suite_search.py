@@ -27,7 +27,7 @@ from lexivane.plans.catalog import (
     q_tokens,
     query,
 )
-from lexivane.plans.retrieve import embed_queries, hybrid_retrieve
+from lexivane.plans.retrieve import embed_queries, hybrid_retrieve, prompts
 from lexivane.session import materialize
 from lexivane.sources.tables import table
 
@@ -35,6 +35,22 @@ from lexivane.sources.tables import table
 RULES = ((("the", "and"), "src1", 0.02), (("de",), "src2", 0.005))
 
 
+# What the registered queries ask of a model; users bring their own.
+PROMPT = """You answer questions about documentation, and only from the passages given here.
+
+Rules:
+- Use nothing that is not in the passages.
+- End each statement of fact with [Source: chunk_id].
+- If the passages do not hold the answer, say that.
+- Give steps and code from the passages where they help.
+
+PASSAGES:
+{context_chunks}
+
+QUESTION: {user_question}
+"""
+
+
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
     return (
@@ -162,13 +178,13 @@ def bm25_stemmed(spark, sf):
 
 
 def _lists(spark, sf):
-    q, ix = inputs.questions(spark, sf), inputs.index(spark, sf, "documents")
+    q, ix = inputs.questions(spark, sf), inputs.index(spark, sf, "chunks")
     vec = inputs.once(spark, sf, "vec", lambda: knn(embed_queries(q), ix.embeddings, digits=6))
     kw = inputs.once(spark, sf, "kw", lambda: B.bm25_topk(q, ix, digits=6))
     return q, vec, kw, ix
 
 
-_FUSE = f"{_SEARCH}, {VECTOR_SEARCH}, {FUSED}"
+_FUSE = f"{CHUNKS}, {TERMS}, {QUESTIONS}, {BM25}, {VECTOR_SEARCH}, {FUSED}"
 
 
 @query(
@@ -301,6 +317,37 @@ def hybrid(spark, sf):
     )
 
 
+@query(
+    "answer_prompts",
+    rf"""with {_HYBRID}, {q_boosted(RULES)},
+    asked as (select query_id, case when query_id % 10 = 3 then ' ' else q end as q, query_id % 23 as top_k from questions),
+    hits as (select query_id, chunk_id, score, final_rank as rank from boosted join asked using (query_id)
+      where query_id % 10 <> 3 and top_k between 1 and 20 and final_rank <= top_k), {_Q_WINDOW},
+    best as (select *, min(hit_rank) over (partition by query_id, doc_key) as b from win),
+    results as (select w.query_id, row_number() over (partition by w.query_id order by b, w.doc_key, w.chunk_seq) as position, c.*
+      from best w join chunks c using (chunk_id)),
+    contexts as (
+      select query_id, count(*) as n, string_agg(chr(10) || '--- Chunk ID: ' || chunk_id || ' ---' || chr(10)
+        || 'Source: ' || source_url || chr(10) || 'Section: ' || heading_path || chr(10) || 'Content:' || chr(10)
+        || content || chr(10) || '---' || chr(10), chr(10) order by position) as context
+      from results group by query_id)
+    select query_id, case when query_id % 10 = 3 then 'empty query' when top_k not between 1 and 20 then 'top_k out of range'
+        when n is null then 'no result' else 'ok' end as status,
+      replace(replace('{PROMPT.replace("'", "''")}', '{{user_question}}', q), '{{context_chunks}}', context) as prompt,
+      coalesce(n, 0) as chunks_retrieved, case when query_id % 2 = 1 then coalesce(n, 0) else 0 end as n_sources
+    from asked left join contexts using (query_id)""",
+)
+def answer_prompts(spark, sf):
+    """From questions to prompts, blank ones and those that ask for too much among them."""
+    q = inputs.questions(spark, sf)
+    asked = q.select(
+        "query_id", F.when(F.col("query_id") % 10 == 3, " ").otherwise(F.col("q")).alias("q"),
+        (F.col("query_id") % 23).cast("int").alias("top_k"), (F.col("query_id") % 2 == 1).alias("include_sources"),
+    )
+    out = prompts(asked, inputs.index(spark, sf, "chunks"), PROMPT, rules=RULES, digits=6)
+    return out.select("query_id", "status", "prompt", "chunks_retrieved", F.size("sources").cast("bigint").alias("n_sources"))
+
+
 # ---- answers -------------------------------------------------------------
 
 _Q_RESULTS = """results as (
@@ -326,12 +373,12 @@ def format_context(spark, sf):
 
 @query(
     "build_prompt",
-    f"""with {_ANSWERS}, {_Q_CONTEXT} select query_id, replace(replace('{A.PROMPT.replace("'", "''")}', '{{user_question}}', q), '{{context_chunks}}', context) as prompt
+    f"""with {_ANSWERS}, {_Q_CONTEXT} select query_id, replace(replace('{PROMPT.replace("'", "''")}', '{{user_question}}', q), '{{context_chunks}}', context) as prompt
     from contexts join questions using (query_id)""",
 )
 def build_prompt(spark, sf):
     contexts = A.format_context(_results(spark, sf))
-    return A.build_prompt(inputs.questions(spark, sf), contexts)
+    return A.build_prompt(inputs.questions(spark, sf), contexts, PROMPT)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexivane.config import (
@@ -14,9 +15,9 @@ from lexivane.config import (
 )
 from lexivane.functions import html as H
 from lexivane.functions import text as X
-from lexivane.functions.urls import url_host
+from lexivane.functions.urls import url_host, url_page
 from lexivane.operators import pages as P
-from lexivane.operators.frontier import frontier_bfs, frontier_step
+from lexivane.operators.frontier import crawl_sources, frontier_bfs, frontier_step
 from lexivane.plans import inputs
 from lexivane.plans.catalog import DOCS, q_entities, q_lines, q_strip, q_words, query
 from lexivane.plans.suite_sources import TREE, tree
@@ -239,11 +240,11 @@ edges as (select src, word as dst from hop union select word, src from hop)"""
 
 @query(
     "frontier_bfs",
-    f"""with recursive {Q_EDGES}, reach as (
+    f"""with recursive {Q_EDGES}, reach(url, depth) using key (url) as (
       select url, 0 as depth from (select min(src) as url from links)
-      union select e.dst, r.depth + 1 from reach r join edges e on e.src = r.url
-        where r.depth < (select count(distinct src) from edges) and r.depth < 40)
-    select url, min(depth) as depth from reach group by url""",
+      union select distinct e.dst, r.depth + 1 from reach r join edges e on e.src = r.url
+        where not exists (select 1 from recurring.reach x where x.url = e.dst))
+    select url, depth from reach""",
 )
 def bfs(spark, sf):
     hop = P.extract_links(inputs.pages(spark, sf)).select("src", F.substring_index("dst", "/", -1).alias("word")).distinct()
@@ -254,6 +255,53 @@ def bfs(spark, sf):
     return frontier_bfs(edges, start)
 
 
+# Pages of the table do not link to one another, so each gets links to five others.
+_STEPS = ((3, 1), (7, 2), (11, 5), (2, 3), (5, 8))
+Q_CRAWL = f"""n as (select count(*) as n, min(page_id) as low from pages),
+w as (select page_id, url, regexp_extract(url, '^[^?#]*') as page, length(html) % 9 <> 0 as accepted from pages),
+known as (select page, min(page_id) as page_id from w where accepted group by page),
+hop as (
+  select distinct k.page as src, t.page as dst
+  from known k, n, (values {', '.join(str(s) for s in _STEPS)}) v(a, b) join w t on t.page_id = low + (v.a * (k.page_id - low) + v.b) % n),
+sources as (
+  select i as source, pattern, 15 * i as budget, w.page as start
+  from (values (1, '/en'), (2, '.net'), (3, '.org'), (4, 'http')) s(i, pattern) join n on true join w on w.page_id = low + s.i)"""
+
+
+@query(
+    "crawl_sources",
+    f"""with recursive {Q_CRAWL},
+    reach(source, url, depth) using key (source, url) as (
+      select source, start, 0 from sources where start in (select page from known)
+      union
+      select distinct r.source, h.dst, r.depth + 1 from reach r join hop h on h.src = r.url join sources s on s.source = r.source
+        join known k on k.page = h.dst
+      where contains(h.dst, s.pattern)
+        and not exists (select 1 from recurring.reach x where x.source = r.source and x.url = h.dst))
+    select cast(source as varchar) as source, url, depth, place from (
+      select *, row_number() over (partition by source order by depth, url) as place from reach) join sources using (source)
+    where place <= budget""",
+)
+def crawl(spark, sf):
+    """Four sources with patterns and budgets of their own; a ninth of the pages is rejected."""
+    p = inputs.pages(spark, sf).select("page_id", url_page(F.col("url")).alias("url"), "html")
+    ends = p.agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("low")).first()
+    targets = F.array(*[F.lit(ends["low"]) + (a * (F.col("page_id") - ends["low"]) + b) % ends["n"] for a, b in _STEPS])
+    named = p.select(F.col("page_id").alias("to"), F.concat(F.lit("<a href='"), F.col("url"), F.lit("'>x</a>")).alias("link"))
+    links = p.select("page_id", F.explode(targets).alias("to")).join(named, "to").groupBy("page_id").agg(F.array_join(F.collect_list("link"), " ").alias("links"))
+    first = Window.partitionBy("url").orderBy("page_id")
+    accepted = p.withColumn("accepted", F.length("html") % 9 != 0)
+    one = accepted.where("accepted").withColumn("r", F.row_number().over(first)).where("r = 1").join(links, "page_id")
+    starts = p.where(F.col("page_id").between(ends["low"] + 1, ends["low"] + 4)).select((F.col("page_id") - ends["low"]).alias("i"), "url")
+    rules = spark.createDataFrame([(1, "/en"), (2, ".net"), (3, ".org"), (4, "http")], "i bigint, pattern string").join(starts, "i")
+    sources = rules.select(
+        F.col("i").cast("string").alias("name"), F.lit("http://base/").alias("base_url"), F.array("url").alias("start_urls"),
+        F.array("pattern").alias("allowed_patterns"), (F.col("i") * 15).alias("max_pages"),
+    )
+    pages = one.select("url", F.col("links").alias("html"), "accepted")
+    return crawl_sources(pages, sources, accept=lambda x: x).withColumn("place", F.col("place").cast("bigint"))
+
+
 def q_hits(x: str, words) -> str:
     return " + ".join(f"cast(contains({x}, '{w}') as integer)" for w in words)
 

@@ -13,7 +13,7 @@ from lexivane.operators import ratelimit as R
 from lexivane.operators.bm25 import bm25_topk
 from lexivane.operators.chunking import chunk_documents
 from lexivane.operators.embedding import embed_dedup, embed_hash, embed_udf, mean_pool
-from lexivane.operators.frontier import frontier_bfs
+from lexivane.operators.frontier import crawl_sources, frontier_bfs
 from lexivane.operators.pages import clean_pages, extract_links, seed_select, split_ok_quarantine
 from lexivane.operators.postings import bucket_of_term
 from lexivane.operators.stats import store_counts
@@ -150,6 +150,42 @@ def test_frontier(spark):
     assert depth(frontier_bfs(chain, spark.createDataFrame([("n0",)], "url string"))) == {f"n{i}": i for i in range(13)}
 
 
+def test_crawl_of_many_sources(spark):
+    """Against the one-by-one crawl, source after source, budget by budget."""
+    rng = random.Random(11)
+    hosts = ["http://a.org", "http://b.org"]
+    urls = [f"{rng.choice(hosts)}/{rng.choice(['docs', 'blog'])}/p{i}" for i in range(60)]
+    links = {u: rng.sample(urls, 3) for u in urls}
+    good = {u for i, u in enumerate(urls) if i % 7}
+    html = lambda u: "".join(f"<a href='{v}?q=1#x'>l</a>" if v.startswith("http://a") else f"<a href=\"{v}\">l</a>" for v in links[u]) + "<a href='docs/p3'>r</a>"
+    pages = spark.createDataFrame([(u, html(u), u in good) for u in urls] * 2, "url string, html string, accepted boolean")
+    rules = [
+        ("s1", "http://a.org/x/", [urls[1], urls[2]], ["/docs/"], 8), ("s2", "http://b.org/", [urls[3], urls[0], "http://no.org"], [], 25),
+        ("s3", "http://b.org/", [urls[4]], None, 1000), ("s4", "http://b.org/", [urls[5]], ["/docs/"], 0), (None, "http://b.org/", [urls[5]], [], 9),
+        ("s5", "http://b.org/", None, [], 9),
+    ]
+    sources = spark.createDataFrame(rules, "name string, base_url string, start_urls array<string>, allowed_patterns array<string>, max_pages int")
+    want = set()
+    for name, base, start, allowed, most in rules:
+        if name is None or most < 1:
+            continue
+        level, seen, depth, got = sorted(set(start or [])), set(start or []), 0, []
+        while level and len(got) < most:
+            took = [u for u in level if u in good]
+            got += [(name, u, depth) for u in took]
+            found = {v for u in took for v in [*links[u], base + "docs/p3"] if not allowed or any(a in v for a in allowed)}
+            level, depth = sorted(found - seen), depth + 1
+            seen |= found
+        want |= {(*g, i) for i, g in enumerate(got[:most], 1)}
+    out = crawl_sources(pages, sources, accept=lambda p: p)
+    assert {(r["source"], r["url"], r["depth"], r["place"]) for r in out.collect()} == want
+    few = crawl_sources(pages, sources, accept=lambda p: p, most=2)
+    assert max(r["place"] for r in few.collect()) == 2
+    own = crawl_sources(pages, sources, mode="focused", accept=lambda p: p).where("source = 's2' and depth > 0")
+    assert own.where("url not like 'http://b.org/%'").count() == 0 < own.count()
+    assert crawl_sources(pages, sources.limit(0)).count() == 0 == crawl_sources(pages.limit(0), sources).count()
+
+
 def test_links(spark):
     html = "<a href='/docs/x?y=1#z'>1</a><a class=k href=\"http://other/docs/\">2</a><a href='/docs/x'>3</a><a href='/no'>4</a>"
     pages = spark.createDataFrame([(1, "http://h/p/", html)], "page_id bigint, url string, html string")
