@@ -130,13 +130,14 @@ def has_class(token: Column, classes) -> Column:
     return attribute(token, "class").rlike("(?i)" + "|".join(classes)) if classes else F.lit(False)
 
 
-def scan(items: Column, zero: Column, step, emit) -> Column:
-    """``emit(state before, item)`` of each item, the state carried by ``step``.
+def scan(items: Column, zero: Column, step, emit, kind: str = "string") -> Column:
+    """``emit(state before, item)``, of type ``kind``, for each item, the state carried
+    by ``step``.
 
-    Results are gathered in chunks, so that a long page is not copied for each token.
+    Results are gathered in chunks, so that a long list is not copied for each item.
     """
-    none = F.expr("cast(array() as array<string>)")
-    lists = F.expr("cast(array() as array<array<string>>)")
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    lists = F.expr(f"cast(array() as array<array<{kind}>>)")
     n = F.size(items)
     firsts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
     chunks = F.transform(firsts, lambda k: F.slice(items, k * CHUNK + 1, CHUNK))
