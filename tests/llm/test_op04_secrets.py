@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from lexivane.llm import secrets
 
 KIND = "doc_id long, text string, source string, lang string"
@@ -49,6 +52,33 @@ def test_owners_tell_examples_from_live_credentials(spark):
     assert scan(spark, rows)[100]["live_spans"] == ""  # a second owner, though unknown
 
 
+def test_copies_within_one_owner_are_examples_too(spark):
+    many, wide = "Kq7wT1nB5xHc9JdF3gVa", "Wn8sK2pQ0vYt7RzL4mXe"
+    rows = [(i, f"see {many} and {many}", "hot", "en") for i in range(secrets.COPIED_DOCUMENTS)]
+    rows += [(100 + i, f"in {wide}", "hot", f"l{i}") for i in range(secrets.COPIED_REPOSITORIES)]
+    rows += [(200, "own Zx4cV7bN1mQ9wE3rT6yU", "hot", "en")]
+    got = scan(spark, rows)
+    assert got[0]["live_spans"] == got[100]["live_spans"] == "" and got[0]["example_spans"] == "other:4:24,other:29:49"
+    assert (got[200]["live_spans"], got[200]["held_by"]) == ("other:4:24", "1/1/1")
+    assert scan(spark, rows[1:])[1]["live_spans"] == "other:4:24,other:29:49"
+
+
+def test_many_matches_in_one_text(spark):
+    text = "".join(f"token=Zx4cV7bN1mQ9wE3rT6yU{i} Qw8sK2pQ0vYt7RzL4mXe{i} " for i in range(20_000))
+    got = scan(spark, [(1, text, "s", "en")])[1]
+    want = brute(text)
+    assert got["n_assign"] == 20_000 and got["base_sha256"] == hashlib.sha256(",".join(w[2] for w in want).encode()).hexdigest()
+    assert got["live_spans"].count("other:") == 20_000
+
+
+def test_overlaps(spark):
+    rng = random.Random(2)
+    spans = [[(a := rng.randrange(60), r, a + rng.randint(1, 9), "v") for _ in range(rng.randrange(9))] for r in (0, 3) for _ in range(40)]
+    df = spark.createDataFrame(list(zip(spans[:40], spans[40:])), "b array<struct<start:int,rank:int,end:int,value:string>>, o array<struct<start:int,rank:int,end:int,value:string>>")
+    for r in df.select("b", "o", secrets.apart(F.col("b"), F.col("o")).alias("got")).collect():
+        assert [tuple(x) for x in r["got"]] == sorted(tuple(x) for x in r["o"] if not any(y["start"] < x["end"] and x["start"] < y["end"] for y in r["b"]))
+
+
 def test_repeats_nulls_clashes_and_an_empty_table(spark):
     df = spark.createDataFrame([(None, "token=abcdef1", None, None)] * 3, KIND).selectExpr("*", "1 as rid", "2 as base", "3 as hash")
     got = secrets.find_secrets(df).collect()
