@@ -234,11 +234,12 @@ def zero_fallback(spark, sf):
 
 @query(
     "embed_dedup",
-    f"with {q_hash_vectors('v', 'documents', 'doc_id', 'text')} {q_dense('v', 'doc_id', 'documents')}",
+    f"with {CHUNKS}, {q_hash_vectors('v', 'chunks', 'chunk_id', 'content')} {q_dense('v', 'chunk_id', 'chunks')}",
 )
 def embed_dedup(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return _dims(E.embed_dedup(d, "text", lambda df: E.embed_hash(df, "text")), "doc_id")
+    """Chunks, of which equal ones are embedded once."""
+    d = C.chunk_documents(inputs.docs(spark, sf)).select("chunk_id", "content")
+    return _dims(E.embed_dedup(d, "content", lambda df: E.embed_hash(df, "content")), "chunk_id")
 
 
 @query(

@@ -39,21 +39,28 @@ class _Limiter(StatefulProcessor):
         batch = pd.concat(list(rows), ignore_index=True)
         batch.columns = self.names
         batch = batch.sort_values(["_us", self.order_by], kind="stable")
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
         verdicts = []
         for us in batch["_us"].tolist():
+            if us < mark:  # what it would be compared with may be forgotten
+                verdicts.append(None)
+                continue
             recent = bisect_right(held, us) - bisect_right(held, us - self.window_us)
             verdicts.append(recent < self.limit)
             if verdicts[-1]:
                 insort(held, us)
         # later requests may still be as late as the watermark allows
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
         del held[: bisect_right(held, min(mark, held[-1]) - self.window_us) if held else 0]
-        self.admitted.put([(us,) for us in held])
+        if held:
+            self.admitted.put([(us,) for us in held])
+        else:
+            self.admitted.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         if held:
             self.handle.registerTimer((held[-1] + self.window_us) // 1000 + 1)
-        yield batch.drop(columns="_us").assign(admitted=verdicts)
+        late = ["late" if v is None else None for v in verdicts]
+        yield batch.drop(columns="_us").assign(admitted=pd.array(verdicts, dtype="boolean"), reason=late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.admitted.clear()
@@ -72,14 +79,19 @@ def rate_limit_stream(
     window_seconds: int = RATE_LIMIT_WINDOW_SECONDS,
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Adds ``admitted`` to a stream of requests. Set ``STATE_PROVIDER`` as
+    """Adds ``admitted`` and ``reason`` to a stream of requests. Set ``STATE_PROVIDER`` as
     ``spark.sql.streaming.stateStore.providerClass`` first. Requests later than
-    ``delay`` are not judged any more."""
+    ``delay`` are not judged any more: they come with a null ``admitted`` and the reason
+    ``late``."""
     ship_package(requests.sparkSession)
-    schema = T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType())])
+    fields = [*requests.schema.fields, T.StructField("admitted", T.BooleanType()), T.StructField("reason", T.StringType())]
+    schema = T.StructType(fields)
     return (
-        requests.withWatermark(ts, delay)
+        # the watermark is kept on a copy, so that late rows reach the processor
+        requests.withColumn("_mark", F.col(ts))
+        .withWatermark("_mark", delay)
         .withColumn("_us", micros(requests, ts))
+        .drop("_mark")
         .groupBy(key)
         .transformWithStateInPandas(
             _Limiter(limit, window_seconds * 1_000_000, order_by, [*requests.columns, "_us"]),

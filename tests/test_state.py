@@ -119,6 +119,20 @@ def test_late_requests_and_a_limit_of_none(spark, folder):
     assert set(verdicts(R.rate_limit(df, "client", "ts", "event_id", 0, 60)).values()) == {False}
 
 
+def test_requests_beyond_the_delay_leave_a_row(spark, folder):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    parts = ([("a", 100)], [("b", 5000)], [("c", 5001)], [("a", 90), ("a", 5002), ("d", 7)])
+    df, at = requests(spark, [r for p in parts for r in p]), 0
+    for part in parts:
+        df.filter(f"event_id >= {at} and event_id < {at + len(part)}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        at += len(part)
+        out = rate_limit_stream(spark.readStream.schema(df.schema).parquet(f"{folder}/in"), "client", "ts", "event_id", 1, 60, delay="1 minute")
+        sink = out.writeStream.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True)
+        sink.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    got = {r["event_id"]: (r["admitted"], r["reason"]) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {0: (True, None), 1: (True, None), 2: (True, None), 3: (None, "late"), 4: (True, None), 5: (None, "late")}
+
+
 def test_requests_without_client_or_time_are_kept(spark):
     df = requests(spark, [("a", 1), (None, 2), ("a", 3)])
     df = df.withColumn("ts", F.when(F.col("event_id") != 2, F.col("ts")))
