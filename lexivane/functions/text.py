@@ -135,26 +135,27 @@ def valid_utf8(raw: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(repaired)
 
 
+# ---- fixed values: patterns of both conversions, whose order decides the result ----
+MDX_PARTS = (r"import.*?from.*?;", r"(?s)<[A-Z][^>]*>.*?</[A-Z][^>]*>", r"<[A-Z][^>]*/>", r"\{[^}]*\}")
+RST_STEPS = (
+    (r"(?d)\.\. [^:]+::.*?\n", ""),
+    (r"(?d)\.\. [^:]+:.*?\n", ""),
+    (r"(?dmU)^([A-Z][A-Z\s]+)$", "# $1"),
+    (r"(?dmU)^([A-Z][a-z\s]+)$", "## $1"),
+    (r"(?sU)::\s*\n(.*?)(?=\n\S|\z)", "```\n$1\n```"),
+)
+# ---- end of fixed values ----
+
+
 def mdx_to_markdown(c: Column) -> Column:
     """Drop imports, components and brace expressions, in that order."""
-    for pattern in (
-        r"import.*?from.*?;",
-        r"(?s)<[A-Z][^>]*>.*?</[A-Z][^>]*>",
-        r"<[A-Z][^>]*/>",
-        r"\{[^}]*\}",
-    ):
+    for pattern in MDX_PARTS:
         c = F.regexp_replace(c, pattern, "")
     return strip(c)
 
 
 def rst_to_markdown(c: Column) -> Column:
     """Directives out, capitalised lines to headings, ``::`` blocks fenced."""
-    for pattern, new in (
-        (r"(?d)\.\. [^:]+::.*?\n", ""),
-        (r"(?d)\.\. [^:]+:.*?\n", ""),
-        (r"(?dmU)^([A-Z][A-Z\s]+)$", "# $1"),
-        (r"(?dmU)^([A-Z][a-z\s]+)$", "## $1"),
-        (r"(?sU)::\s*\n(.*?)(?=\n\S|\z)", "```\n$1\n```"),
-    ):
+    for pattern, new in RST_STEPS:
         c = F.regexp_replace(c, pattern, new)
     return c

@@ -72,8 +72,7 @@ DOCS = """docs as (
 QUESTIONS = f"""questions as (
   select item_id * 1000 + i as query_id, ss[i] as q
   from (select item_id, {q_sentences('text')} as ss from benchmark),
-       range(1, 1000) r(i)
-  where i <= len(ss))"""
+       unnest(range(1, len(ss) + 1)) r(i))"""
 
 # Packing: `p` holds running token sums. A chunk that starts at st and has i0 as
 # its first new sentence ends before the first later sentence that overflows.
@@ -143,7 +142,7 @@ QUESTION_TERMS = r"""raw_terms as (
   from questions),
 qt as (
   select query_id, i as pos, ts[i] as term, length(ts[i]) >= 3 as is_prefix
-  from raw_terms, range(1, 2000) r(i) where i <= len(ts))"""
+  from raw_terms, unnest(range(1, len(ts) + 1)) r(i))"""
 
 # a term with _ or - would be a phrase; the questions have none
 BM25 = f"""{QUESTION_TERMS},

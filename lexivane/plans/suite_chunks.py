@@ -29,8 +29,8 @@ TURNS = """docs as (
 SECTIONS = rf"""lines as (
   select doc_key, url, i as pos, ls[i] as line,
     regexp_matches(ls[i], '^#{{1,6}}\s+.') as is_head
-  from (select doc_key, url, string_split(content, chr(10)) as ls from docs), range(1, 100000) r(i)
-  where i <= len(ls)),
+  from (select doc_key, url, string_split(content, chr(10)) as ls from docs), unnest(range(1, len(ls) + 1)) r(i)
+  where true),
 numbered as (
   select *, sum(cast(is_head as integer)) over (partition by doc_key order by pos) as sec from lines),
 bodies as (
@@ -92,7 +92,7 @@ def token_estimate(spark, sf):
 @query(
     "split_sentences",
     f"""with s as (select doc_id, {q_sentences('text')} as ss from documents)
-    select doc_id, cast(i as integer) as pos, ss[i] as sentence from s, range(1, 100000) r(i) where i <= len(ss)""",
+    select doc_id, cast(i as integer) as pos, ss[i] as sentence from s, unnest(range(1, len(ss) + 1)) r(i)""",
 )
 def split_sentences(spark, sf):
     d = spread(table(spark, sf, "documents"))
@@ -109,7 +109,7 @@ def pack_chunks(spark, sf):
 @query(
     "overlap_suffix",
     f"""with s as (select doc_id, list_transform({q_sentences('text')}, lambda x: length(x) // 4) as tk from documents),
-    j as (select doc_id, tk, i, list_sum(tk[i:len(tk)]) as total from s, range(1, 100000) r(i) where i <= len(tk))
+    j as (select doc_id, tk, i, list_sum(tk[i:len(tk)]) as total from s, unnest(range(1, len(tk) + 1)) r(i))
     select s.doc_id, cast(count(j.i) as integer) as n, cast(coalesce(max(j.total), 0) as integer) as tokens
     from s left join j on s.doc_id = j.doc_id and j.total <= 50 group by s.doc_id""",
 )

@@ -113,7 +113,7 @@ def parse_query(spark, sf):
     "tokenize",
     f"""with {UNITS}, t as (select chunk_id, 'content' as col, {q_tokens('content')} as ts from chunks
       union all select chunk_id, 'title', {q_tokens('title')} from chunks)
-    select chunk_id, col, cast(i as integer) as pos, ts[i] as token from t, range(1, 100000) r(i) where i <= len(ts)""",
+    select chunk_id, col, cast(i as integer) as pos, ts[i] as token from t, unnest(range(1, len(ts) + 1)) r(i)""",
 )
 def tokenize_documents(spark, sf):
     return tokenize(inputs.whole_documents(spark, sf))
@@ -123,7 +123,7 @@ def tokenize_documents(spark, sf):
     "build_postings",
     f"""with {UNITS}, t as (select chunk_id, 0 as n, {q_tokens('content')} as ts from chunks
       union all select chunk_id, 1, {q_tokens('title')} from chunks),
-    o as (select chunk_id, ts[i] as term, i + n * 268435456 as pos from t, range(1, 100000) r(i) where i <= len(ts))
+    o as (select chunk_id, ts[i] as term, i + n * 268435456 as pos from t, unnest(range(1, len(ts) + 1)) r(i))
     select chunk_id, term, cast(count(*) as integer) as tf, string_agg(cast(pos as varchar), ',' order by pos) as positions
     from o group by chunk_id, term""",
 )
@@ -408,7 +408,7 @@ def source_list(spark, sf):
     f"""with c as (select conv_id, turn, {q_sentences('text')} as ss from conversations),
     s as (select conv_id || '-' || turn as answer_id, ss[i] as s, i,
         case when i % 3 = 0 then null when i % 5 = 0 then 'nowhere' else 'u' || turn end as cited
-      from c, range(1, 100000) r(i) where i <= len(ss)),
+      from c, unnest(range(1, len(ss) + 1)) r(i)),
     a as (select answer_id, count(distinct cited) as n_cited, count(distinct cited) filter (where cited = 'nowhere') as n_invalid,
         count(*) filter (where cited is null) as n_uncited from s group by answer_id),
     k as (select conv_id || '-' || turn as answer_id from conversations)
