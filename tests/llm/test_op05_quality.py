@@ -56,3 +56,11 @@ def test_the_table_of_thresholds_is_the_plan(spark):
     got = quality.judge(df, (("n_words", 2, None),)).first()
     assert got["kept"] is True and got["n_words"] == 2
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_of_any_name_pass(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").selectExpr("*", "7 as counts", "8 as COUNTS_", "9 as n_words_", "'x' as base")
+    got = quality.judge(df)
+    assert set(df.columns) <= set(got.columns) and got.where("counts = 7 and COUNTS_ = 8").count() == 2
+    kept = quality.kept_rows(df.withColumn("kept", df.counts), (("n_words", 2, None),))
+    assert [r.asDict() for r in kept.collect()] == [{"doc_id": 1, "text": "a b", "counts": 7, "COUNTS_": 8, "n_words_": 9, "base": "x", "kept": 7}]

@@ -61,3 +61,17 @@ def test_each_stage_takes_empty_and_odd_documents(spark):
         assert stage(spark, odd, SF).count() <= 4
         assert stage(spark, odd.limit(0), SF).count() == 0
     assert quality.judge(odd).where("kept").count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use inside stay the user's own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr(
+        "*", "doc_id as keep", "doc_id as lower", "doc_id as counts", "doc_id as key", "doc_id as place", "doc_id as whole", "doc_id as row",
+        "doc_id as size", "doc_id as finish", "doc_id as k1", "doc_id as u", "doc_id as label", "map('a', doc_id) as extra",
+    )
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF)
+        assert after.columns[: len(docs.columns)] == docs.columns, name
+        rows = [r.asDict() for r in after.collect()]
+        assert rows and all(r[c] == r["doc_id"] for r in rows for c in docs.columns[5:-1]), name
+        assert all(r["extra"] == {"a": r["doc_id"]} for r in rows), name
