@@ -288,10 +288,39 @@ def context_window(spark, sf):
     return out.withColumn("hit_rank", F.col("hit_rank").cast("bigint"))
 
 
-@query("expand_context")
+@query(
+    "expand_context",
+    f"""with recursive {_CHUNK_SEARCH}, {_Q_HITS},
+    h as (
+      select query_id, rank, score, b.chunk_id, p1.chunk_id as p1, p2.chunk_id as p2, n1.chunk_id as n1, n2.chunk_id as n2
+      from hits b
+      join chunks c using (chunk_id)
+      left join chunks p1 on p1.doc_key = c.doc_key and p1.chunk_seq = c.chunk_seq - 1
+      left join chunks p2 on p2.doc_key = c.doc_key and p2.chunk_seq = c.chunk_seq - 2
+      left join chunks n1 on n1.doc_key = c.doc_key and n1.chunk_seq = c.chunk_seq + 1
+      left join chunks n2 on n2.doc_key = c.doc_key and n2.chunk_seq = c.chunk_seq + 2),
+    walk(query_id, rank, listed, scored) as (
+      select distinct query_id, 0::bigint, []::varchar[], []::varchar[] from h
+      union all
+      select query_id, rank, listed || case when n1 is null or list_contains(listed, n1) then []
+          when n2 is null or list_contains(listed, n2) then [n1] else [n1, n2] end, scored
+      from (
+        select query_id, rank, scored, n1, n2, listed[:list_position(listed, chunk_id) - 1]
+          || case when p1 is null or list_contains(listed, p1) then []
+               when p2 is null or list_contains(listed, p2) then [p1] else [p1, p2] end
+          || listed[list_position(listed, chunk_id):] as listed
+        from (
+          select h.*, case when list_contains(w.listed, chunk_id) then w.listed else list_append(w.listed, chunk_id) end as listed,
+            case when list_contains(w.listed, chunk_id) then w.scored else list_append(w.scored, chunk_id) end as scored
+          from walk w join h on h.query_id = w.query_id and h.rank = w.rank + 1))),
+    done as (select * from walk qualify row_number() over (partition by query_id order by rank desc) = 1)
+    select d.query_id, i as position, d.listed[i] as chunk_id,
+      case when list_contains(d.scored, d.listed[i]) then h.score else 0 end as score
+    from done d, unnest(range(1, len(d.listed) + 1)) r(i) left join h on h.query_id = d.query_id and h.chunk_id = d.listed[i]""",
+)
 def expand_context(spark, sf):
     ix, hits = _hits(spark, sf)
-    return K.expand_context(hits, ix.chunks)
+    return K.expand_context(hits, ix.chunks).withColumn("position", F.col("position").cast("bigint"))
 
 
 @query(
