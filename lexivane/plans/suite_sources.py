@@ -47,11 +47,23 @@ TREE = f"""tree as (
     octet_length(encode(text)) as length, text from documents)"""
 
 
-@query("scan_docs")
+@query(
+    "scan_docs",
+    """select lang, source, cast(sum(octet_length(encode(text)) + 1) as bigint) as length, cast(sum(length(text) + 1) as bigint) as n_chars
+    from documents where text is not null and lang is not null and source is not null group by lang, source""",
+)
 def scan_docs(spark, sf):
-    """The table files themselves, as a tree scan sees them."""
-    found = FS.scan_docs(spark, sf, exts=(".parquet",))
-    return found.select(F.substring_index("path", "/", -1).alias("name"), "length")
+    """Documents put into text files below folders of language and source, and found
+    again with what they hold; files of other kinds among them are not."""
+    root = scratch_path(spark, "tree")
+    d = table(spark, sf, "documents").where("text is not null and lang is not null and source is not null")
+    d.select("lang", "source", F.col("text").alias("value")).write.partitionBy("lang", "source").text(f"{root}/docs")
+    d.select("doc_id").write.parquet(f"{root}/docs/lang=other/source=parquet")
+    found = FS.decode_text(FS.scan_docs(spark, root, exts=(".txt",)))
+    folder = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
+    return found.groupBy(folder("lang"), folder("source")).agg(
+        F.sum("length").alias("length"), F.sum(F.length("text").cast("bigint")).alias("n_chars")
+    )
 
 
 @query("decode_text", "select doc_id, 'x' || text || 'y' as text from documents")
