@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexivane.llm.common import query, table
 from lexivane.session import bounded_broadcast, scratch_path, ship_package, write_and_read
@@ -290,6 +291,18 @@ class Shard:
         at = np.cumsum(size) - size
         return flat[np.repeat(first[symbols] - at, size) + np.arange(size.sum())]
 
+    def _expand_few(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of some symbols, by their own rules alone, level by level."""
+        out = symbols.astype(np.int64)
+        while (out >= self.base).any():
+            pair = out >= self.base
+            at = np.cumsum(1 + pair) - 1 - pair
+            wide = np.empty(len(out) + int(pair.sum()), np.int64)
+            wide[at] = out
+            wide[at[pair]], wide[at[pair] + 1] = self.rules[out[pair] - self.base].T
+            out = wide
+        return out.astype(np.uint32)
+
     def ids(self) -> np.ndarray:
         return self._expand(self.seq)
 
@@ -298,7 +311,7 @@ class Shard:
         ends = np.cumsum(self.lengths[self.seq])
         a, z = np.searchsorted(ends, (low, high - 1), "right")
         first = ends[a] - self.lengths[self.seq[a]]
-        return self._expand(self.seq[a : z + 1])[low - first : high - first]
+        return self._expand_few(self.seq[a : z + 1])[low - first : high - first]
 
     def document(self, i: int) -> np.ndarray:
         start = int(self.counts[:i].sum())
@@ -364,7 +377,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int, path: str,
             T.StructField("payload", T.BinaryType()),
         ]
     )
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind.simpleString()]
+    id_type = to_arrow_type(id_kind)
     ordered = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return write_and_read(ordered.mapInArrow(_write_shards(shared, end, base, id_type, shard_ids), schema), path)
 
@@ -396,9 +409,13 @@ def read_token_files(shards: DataFrame) -> DataFrame:
     own = shards.select("part", "seq", "doc_ids", "payload").mapInArrow(
         _read_shards, f"part int, seq int, doc_id {kind}, local bigint, n_tokens bigint, ids_crc32 bigint"
     )
-    # one row per shard, so one task orders them
-    ahead = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("first"))
+    # sums of parts are ordered first, one row for each writing task, then shards in their part
+    before = lambda c, order: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.select("part", before("n", Window.orderBy("part")).alias("part_first"))
+    own_first = before("n_ids", Window.partitionBy("part").orderBy("seq"))
+    firsts = shards.select("part", "seq", own_first.alias("own_first")).join(bounded_broadcast(parts), "part")
+    firsts = firsts.select("part", "seq", (F.col("part_first") + F.col("own_first")).alias("first"))
     return own.join(bounded_broadcast(firsts), ["part", "seq"]).select(
         "doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -68,3 +68,30 @@ def test_no_pair_repeats_when_a_grammar_is_done():
     assert len(tf.repair(many.astype(np.uint32), 49_408)[1]) > 1 << 14
     seq, rules = tf.repair(long_copy.astype(np.uint32), 49_408)
     assert len(seq) < 400
+
+
+def test_a_range_uses_its_own_rules_alone():
+    rng = np.random.default_rng(9)
+    parts = [np.tile(rng.integers(2, 40_000, 50), 60) for _ in range(6)]
+    ids = np.concatenate(parts).astype(np.uint32)
+    shard = tf.Shard.read(tf.pack(ids, np.full(6, 3000), 49_408))
+    shard._expansions = None  # all rules at once are for whole shards
+    assert np.array_equal(shard.document(2), parts[2])
+    used, todo = set(), set(shard.seq.tolist())
+    ends = np.cumsum(shard.lengths[shard.seq])
+    a, z = np.searchsorted(ends, (6000, 8999), "right")
+    todo = set(shard.seq[a : z + 1].tolist())
+    while todo:
+        used |= todo
+        todo = {int(x) for s in todo if s >= shard.base for x in shard.rules[s - shard.base]} - used
+    others = [i for i in range(len(shard.rules)) if shard.base + i not in used]
+    shard.rules = shard.rules.copy()
+    shard.rules[others] = shard.base + len(shard.rules)  # out of range for whoever looks
+    assert others and np.array_equal(shard.document(2), parts[2])
+
+
+def test_ids_of_any_kind(spark, folder):
+    for i, kind in enumerate(("smallint", "decimal(20,0)", "date", "double")):
+        df = spark.createDataFrame([(3, "a b"), (1, "c")], "n int, text string").selectExpr(f"cast(cast(n as {'timestamp' if kind == 'date' else 'int'}) as {kind}) as doc_id", "text")
+        got = tf.read_token_files(tf.write_token_files(df, PATH, 1, f"{folder}/{i}"))
+        assert got.schema["doc_id"].dataType.simpleString() == kind and got.agg({"n_tokens": "sum"}).first()[0] == 5
