@@ -18,7 +18,7 @@ from lexivane.operators.pages import clean_pages, extract_links, seed_select, sp
 from lexivane.operators.postings import bucket_of_term
 from lexivane.operators.stats import store_counts
 from lexivane.plans.ingest import ingest_pages, run_ingest
-from lexivane.plans.retrieve import hybrid_retrieve
+from lexivane.plans.retrieve import hybrid_retrieve, prompts
 from lexivane.sources.index_store import ConcurrentWrite, IndexStore
 from lexivane.streaming.incremental import DOCUMENT_SCHEMA, incremental_ingest
 from lexivane.streaming.limiter import STATE_PROVIDER, rate_limit_stream, window_count_stream
@@ -404,6 +404,20 @@ def test_retrieval_with_neighbours(spark, folder):
     assert [(r["chunk_id"], r["heading_path"]) for r in bare] == [("g:4", "Guide > Part crows")]
 
 
+def test_every_question_has_a_row(spark, folder):
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=2, embed=lambda rows, c: embed_hash(rows.withColumn("t", F.lit("")), "t", 8).drop("t"))
+    run_ingest(documents(spark, [("g", "# Guide\nAll about ants here.", 1)]), store, clear=True)
+    rows = [(1, "ants", 1, True), (2, "  ", 1, True), (3, "ants", 21, True), (4, "bees", 5, True), (5, "ants", None, True), (6, "ants", 2, False)]
+    asked = spark.createDataFrame(rows, "query_id bigint, q string, top_k int, include_sources boolean")
+    got = {r["query_id"]: r for r in prompts(asked, store.open(), "{user_question}? {context_chunks}").collect()}
+    assert {i: r["status"] for i, r in got.items()} == {
+        1: "ok", 2: "empty query", 3: "top_k out of range", 4: "no result", 5: "top_k out of range", 6: "ok"
+    }
+    assert got[1]["prompt"].startswith("ants? \n--- Chunk ID: g:1") and got[2]["prompt"] is None
+    assert [(len(got[i]["sources"]), got[i]["chunks_retrieved"]) for i in (1, 2, 4, 6)] == [(1, 1), (0, 0), (0, 0), (0, 1)]
+    assert prompts(asked.limit(0), store.open(), "x").count() == 0
+
+
 def test_pages_into_the_index(spark, folder):
     pages = spark.createDataFrame(
         [(1, "http://H/a/?x=1", "<article><h1>A</h1><p>one two</p></article>"), (2, "http://h/b", "<p>b</p>")],
