@@ -12,6 +12,7 @@ from lexivane.functions.text import (
     LINE_BREAKS,
     blank_to_null,
     join_nonblank,
+    let,
     normalize_markdown,
     stem_to_title,
     strip,
@@ -95,7 +96,7 @@ def page_text(c: Column) -> Column:
 
 def visible_text_flat(c: Column) -> Column:
     """Cleaned page as one line, single spaces between the pieces."""
-    text = decode_entities(F.regexp_replace(c, r"<[^>]+>", ""))
+    text = let(F.regexp_replace(c, r"<[^>]+>", ""), decode_entities)
     return join_nonblank(F.split(text, LINE_BREAKS + "|  "), " ")
 
 
@@ -110,14 +111,17 @@ def main_region(c: Column, classes=()) -> Column:
 
 def visible_text_lines(c: Column, classes=()) -> Column:
     """Main region of a cleaned page, one line per piece of text."""
-    text = decode_entities(F.regexp_replace(main_region(c, classes), r"<[^>]+>", "\n"))
+    region = let(c, lambda x: main_region(x, classes))
+    text = let(F.regexp_replace(region, r"<[^>]+>", "\n"), decode_entities)
     return join_nonblank(F.split(text, "\n"), "\n")
 
 
 def main_article_markdown(c: Column, base: Column | None = None) -> Column:
     """Markdown of a page's article, lines stripped and blank lines single. Links and
     images are made absolute if ``base``, the page's address, is given."""
-    return normalize_markdown(decode_entities(block_markdown(main_region(without_raw(c)), base)))
+    # each step is bound once: the next one uses it more than once
+    region = let(without_raw(c), lambda x: main_region(x))
+    return let(let(block_markdown(region, base), decode_entities), normalize_markdown)
 
 
 def element_text(c: Column, pattern: str, group: int) -> Column:

@@ -1,6 +1,7 @@
 """HTML as tag events: subtrees by a depth stack, and markdown of blocks.
 
-A page is cut into tokens, which are tags or pieces of text. A stack of open elements
+A page is cut into tokens, which are tags or runs of text; tags of elements within a line
+(``INLINE``) are part of the text. A stack of open elements
 is carried over them by ``aggregate``: an end tag closes the nearest open element of its
 name and all that are open in it, and one without such an element is ignored. So nested
 elements end where they end, and an element that is never closed ends with its parent.
@@ -25,7 +26,14 @@ BLOCKS = (
     "figure", "footer", "form", "header", "main", "nav", "p", "section", "summary", "table", "tbody", "thead",
 )
 
-TOKEN = r"(?s)<[!/]?[A-Za-z][^>]*>|[^<]+|<"
+# fixed values: elements within a line, which hold no blocks
+INLINE = (
+    "a", "abbr", "b", "br", "cite", "code", "em", "font", "i", "img", "kbd", "mark", "q", "s", "samp", "small", "span", "strong",
+    "sub", "sup", "time", "tt", "u", "var", "wbr",
+)
+
+# a run of text and tags within a line (in pieces, as Java's expressions recurse), a tag, or a stray sign
+TOKEN = rf"(?is)(?:[^<]++|</?(?:{'|'.join(INLINE)})(?=[\s/>])[^>]*+>){{1,200}}|<[!/]?[A-Za-z][^>]*+>|<"
 CHUNK = 256
 OPEN, CLOSE, TEXT, OTHER = 1, 2, 0, 3
 
@@ -50,7 +58,7 @@ def token_kind(token: Column, name: Column) -> Column:
     """Void and self-closed elements, which hold nothing, are OTHER, as is a doctype."""
     tag = F.length(token) > 1
     return (
-        F.when(~token.startswith("<") | ~tag, F.lit(TEXT))
+        F.when(~token.startswith("<") | ~tag | name.isin(*INLINE), F.lit(TEXT))
         .when(token.startswith("</"), F.lit(CLOSE))
         .when(token.startswith("<!") | token.endswith("/>") | name.isin(*VOID), F.lit(OTHER))
         .otherwise(F.lit(OPEN))
@@ -157,74 +165,97 @@ LINK, TARGET, LINK_END, BOLD, BOLD_END, SLANT, SLANT_END, LINE = "\x01\x02\x03\x
 _MARKS = LINK + TARGET + LINK_END + BOLD + BOLD_END + SLANT + SLANT_END + LINE
 
 
-def block_markdown(c: Column, base: Column | None = None) -> Column:
-    """Markdown of a page or a part of it, entities not yet decoded.
+LISTS = r"(?i)</?(?:ul|ol|li|pre)(?=[\s/>])[^>]*>"
 
-    Blocks, headings of six levels, list items (numbered in ``ol``, indented by their
-    depth) and rows of tables stand on lines of their own; links and images get
-    absolute targets if ``base`` is given; emphasis that is never closed is dropped;
-    white space of the source is one blank, but in ``pre``.
+
+def _lists_and_pre(c: Column) -> Column:
+    """List items and preformatted text as lines, white space elsewhere as one blank.
+
+    Only the tags of lists and ``pre`` need to know what they stand in, so the scan goes
+    over these alone, each with what follows it.
     """
-    c = F.translate(without_raw(c), _MARKS, "")
-    absolute = (lambda u: url_join(base, u)) if base is not None else (lambda u: u)
+    plain = lambda x: F.regexp_replace(x, r"\s+", " ")
+    zero = F.struct(F.expr("cast(array() as array<struct<ordered: boolean, n: int>>)").alias("lists"), F.lit(0).alias("pre"))
 
-    def mark(t: Column) -> Column:
-        name = tag_name(t)
-        kind = token_kind(t, name)
-        target = F.when(name == "a", attribute(t, "href")).when(name == "img", attribute(t, "src"))
-        target = F.when(F.coalesce(target, F.lit("")) != "", absolute(target)).otherwise("")
-        alt = F.when(name == "img", attribute(t, "alt")).otherwise("")
-        text = F.when(kind == TEXT, t).otherwise("")
-        return F.struct(kind.alias("kind"), name.alias("name"), target.alias("target"), alt.alias("alt"), text.alias("text"))
+    def mark(tag: Column, rest: Column) -> Column:
+        return F.struct(tag_name(tag).alias("name"), (~tag.startswith("</")).alias("opens"), rest.alias("rest"))
 
-    lists = F.expr("cast(array() as array<struct<ordered: boolean, n: int>>)")
-    zero = F.struct(lists.alias("lists"), F.lit(0).alias("pre"))
+    def depth_of_pre(s: Column, t: Column) -> Column:
+        return F.when(t["name"] == "pre", F.greatest(s["pre"] + F.when(t["opens"], 1).otherwise(-1), F.lit(0))).otherwise(s["pre"])
 
     def step(s: Column, t: Column) -> Column:
         is_list = t["name"].isin("ul", "ol")
-        new = F.struct((t["name"] == "ol").alias("ordered"), F.lit(0).alias("n"))
-        top = F.get(s["lists"], F.lit(0))
         rest = F.slice(s["lists"], 2, F.size(s["lists"]))
-        counted = F.array_prepend(rest, F.struct(top["ordered"].alias("ordered"), (top["n"] + 1).alias("n")))
+        top = F.get(s["lists"], F.lit(0))
+        new = F.struct((t["name"] == "ol").alias("ordered"), F.lit(0).alias("n"))
+        counted = F.struct(top["ordered"].alias("ordered"), (top["n"] + 1).alias("n"))
         held = (
-            F.when(is_list & (t["kind"] == OPEN), F.array_prepend(s["lists"], new))
-            .when(is_list & (t["kind"] == CLOSE) & (F.size(s["lists"]) > 0), rest)
-            .when((t["name"] == "li") & (t["kind"] == OPEN) & (F.size(s["lists"]) > 0), counted)
+            F.when(is_list & t["opens"], F.array_prepend(s["lists"], new))
+            .when(is_list & (F.size(s["lists"]) > 0), rest)
+            .when((t["name"] == "li") & t["opens"] & (F.size(s["lists"]) > 0), F.array_prepend(rest, counted))
             .otherwise(s["lists"])
         )
-        pre = F.when(t["name"] == "pre", F.when(t["kind"] == OPEN, s["pre"] + 1).otherwise(F.greatest(s["pre"] - 1, F.lit(0)))).otherwise(s["pre"])
-        return F.struct(held.alias("lists"), pre.alias("pre"))
+        return F.struct(held.alias("lists"), depth_of_pre(s, t).alias("pre"))
 
     def emit(s: Column, t: Column) -> Column:
-        name, opened = t["name"], t["kind"] == OPEN
-        depth = F.size(s["lists"])
-        top = F.get(s["lists"], F.lit(0))
+        depth, top = F.size(s["lists"]), F.get(s["lists"], F.lit(0))
         number = F.when(F.coalesce(top["ordered"], F.lit(False)), F.concat((top["n"] + 1).cast("string"), F.lit(". "))).otherwise("- ")
         item = F.concat(F.lit(LINE), F.repeat(F.lit("  "), F.greatest(depth - 1, F.lit(0))), number)
-        level = F.try_element_at(F.array(*[F.lit("#" * n + " ") for n in range(1, 7)]), F.substring(name, 2, 1).try_cast("int"))
-        text = F.when(s["pre"] > 0, t["text"]).otherwise(F.regexp_replace(t["text"], r"\s+", " "))
-        pair = lambda a, b: F.when(opened, a).otherwise(b)
-        return (
-            F.when(t["kind"] == TEXT, text)
-            .when(name.rlike("^h[1-6]$"), pair(F.concat(F.lit("\n\n"), level), F.lit("\n\n")))
-            .when(name.isin(*BLOCKS), F.lit("\n\n"))
-            .when(name == "br", F.lit("\n"))
-            .when(name == "hr", F.lit("\n\n---\n\n"))
-            .when(name.isin("ul", "ol"), F.when(depth > F.when(opened, 0).otherwise(1), F.lit(LINE)).otherwise("\n\n"))
-            .when(name == "li", pair(item, F.lit("")))
-            .when(name == "pre", pair(F.lit("\n\n```\n"), F.lit("\n```\n\n")))
-            .when((name == "code") & (s["pre"] == 0), F.lit("`"))
-            .when(name == "tr", pair(F.lit("\n| "), F.lit("")))
-            .when(name.isin("td", "th"), pair(F.lit(""), F.lit(" | ")))
-            .when(name == "a", pair(F.concat(F.lit(LINK), t["target"], F.lit(TARGET)), F.lit(LINK_END)))
-            .when(name == "img", F.concat(F.lit("!["), t["alt"], F.lit("]("), t["target"], F.lit(")")))
-            .when(name.isin("b", "strong"), pair(F.lit(BOLD), F.lit(BOLD_END)))
-            .when(name.isin("i", "em"), pair(F.lit(SLANT), F.lit(SLANT_END)))
-            .otherwise("")
+        inner = F.when(t["opens"], depth > 0).otherwise(depth > 1)
+        piece = (
+            F.when(t["name"] == "li", F.when(t["opens"], item).otherwise(""))
+            .when(t["name"] == "pre", F.when(t["opens"], "\n\n```\n").otherwise("\n```\n\n"))
+            .otherwise(F.when(inner, LINE).otherwise("\n\n"))
         )
+        rest = F.when(depth_of_pre(s, t) > 0, F.regexp_replace(t["rest"], r"</?[A-Za-z][^>]*>", "")).otherwise(plain(t["rest"]))
+        return F.concat(piece, rest)
+
+    def put(b: Column) -> Column:
+        marks = F.transform(b["tags"], lambda tag, i: mark(tag, F.get(b["gaps"], i + 1)))
+        return F.concat(plain(F.get(b["gaps"], F.lit(0))), F.array_join(scan(marks, zero, step, emit), ""))
+
+    both = F.struct(F.regexp_extract_all(c, F.lit(LISTS), F.lit(0)).alias("tags"), F.split(c, LISTS, -1).alias("gaps"))
+    return F.when(c.rlike(LISTS), let(both, put)).otherwise(plain(c))
+
+
+def _targets(text: Column, base: Column | None) -> Column:
+    """Link and image tags with their targets, absolute if ``base`` is given."""
+    absolute = (lambda u: F.when(u == "", u).otherwise(url_join(base, u))) if base is not None else (lambda u: u)
+    marked = F.regexp_replace(text, r"(?is)<(a|img)(\s[^>]*)?/?>", f"{LINK}$1$2{TARGET}")
+
+    def one(part: Column, i: Column) -> Column:
+        tag, rest = F.substring_index(part, TARGET, 1), F.substr(part, F.instr(part, TARGET) + 1)
+        image = F.concat(F.lit("!["), attribute(tag, "alt"), F.lit("]("), absolute(attribute(tag, "src")), F.lit(")"), rest)
+        link = F.concat(F.lit(LINK), absolute(attribute(tag, "href")), F.lit(TARGET), rest)
+        return F.when(i == 0, part).when(F.lower(F.left(tag, F.lit(1))) == "i", image).otherwise(link)
+
+    return F.array_join(F.transform(F.split(marked, LINK), one), "")
+
 
-    text = F.array_join(let(F.transform(tokens(c), mark), lambda marks: scan(marks, zero, step, emit)), "")
-    for pattern, new in (
+def block_markdown(c: Column, base: Column | None = None) -> Column:
+    """Markdown of a page or a part of it, entities not yet decoded.
+
+    Blocks, headings of six levels, list items (numbered in ``ol``, indented by their
+    depth) and rows of tables stand on lines of their own; links and images get
+    absolute targets if ``base`` is given; emphasis that is never closed is dropped;
+    white space of the source is one blank, but in ``pre``.
+    """
+    text = _targets(let(F.translate(without_raw(c), _MARKS, ""), _lists_and_pre), base)
+    end = r"(?=[\s/>])[^>]*>"
+    steps = [(rf"(?i)<h{n}{end}", "\n\n" + "#" * n + " ") for n in range(1, 7)]
+    steps += [
+        (rf"(?i)</h[1-6]{end}|</?(?:{'|'.join(BLOCKS)}){end}", "\n\n"),
+        (rf"(?i)<br{end}", "\n"),
+        (rf"(?i)<hr{end}", "\n\n---\n\n"),
+        (rf"(?i)</?code{end}", "`"),
+        (rf"(?i)<tr{end}", "\n| "),
+        (rf"(?i)</t[dh]{end}", " | "),
+        (rf"(?i)</a{end}", LINK_END),
+        (rf"(?i)<(?:b|strong){end}", BOLD),
+        (rf"(?i)</(?:b|strong){end}", BOLD_END),
+        (rf"(?i)<(?:i|em){end}", SLANT),
+        (rf"(?i)</(?:i|em){end}", SLANT_END),
+        (r"(?s)<[!/]?[A-Za-z][^>]*>", ""),
         (f"{LINK}([^{TARGET}]+){TARGET}\\s*([^{LINK_END}{LINK}]*?[^{LINK_END}{LINK}\\s])\\s*{LINK_END}", "[$2]($1)"),
         (f"{LINK}[^{TARGET}]*{TARGET}", ""),
         (f"{BOLD}([^{BOLD}{BOLD_END}\n]+){BOLD_END}", "**$1**"),
@@ -232,6 +263,7 @@ def block_markdown(c: Column, base: Column | None = None) -> Column:
         (f"[{LINK_END}{BOLD}{BOLD_END}{SLANT}{SLANT_END}]", ""),
         (f"{LINE}(?: ?{LINE})*", "\n"),
         (r"(?m)^#{1,6}\s*$", ""),
-    ):
+    ]
+    for pattern, new in steps:
         text = F.regexp_replace(text, pattern, new)
     return text

@@ -84,7 +84,10 @@ def crawl_sources(
     name, and start addresses and budgets that are null or not positive, take nothing.
     """
     scratch_dir(pages.sparkSession)
-    judged = accept(pages) if accept else page_quality(pages, mode).withColumnRenamed("is_doc", "accepted")
+    if accept:
+        judged = accept(pages)
+    else:
+        judged = page_quality(pages.select("url", "html"), mode).withColumnRenamed("is_doc", "accepted")
     known = judged.where("accepted").select("url", page_hrefs(F.col("html")).alias("hrefs")).dropDuplicates(["url"])
     known = materialize(known)  # addresses only; read in every round
     budget = F.col("max_pages") if most is None else F.least("max_pages", F.lit(most))
