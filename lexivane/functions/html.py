@@ -21,6 +21,7 @@ from lexivane.functions.urls import url_host, url_path
 
 # The named entities of HTML 4 and "apos"; "amp" is decoded after all others.
 ENTITIES = {n: chr(p) for n, p in name2codepoint.items() if n != "amp"} | {"apos": "'"}
+BASIC_ENTITIES = ("lt", "gt", "quot", "apos", "nbsp")  # besides "amp"
 
 
 def _code_point(code: Column) -> Column:
@@ -30,7 +31,15 @@ def _code_point(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
 
 
+def decode_named(c: Column, names) -> Column:
+    """Entities of these names and "amp" alone."""
+    for name in names:
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(ENTITIES[name]))
+    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+
+
 def decode_entities(c: Column) -> Column:
+    """Numeric entities and those with a name in HTML 4."""
     codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"), F.lit(1)))
     c = F.when(
         F.contains(c, F.lit("&#")),
@@ -88,10 +97,12 @@ def strip_boilerplate(c: Column, tags, classes=()) -> Column:
     return without_subtrees(c, pick) if listed or classes else c
 
 
-def page_text(c: Column) -> Column:
-    """All readable text of a page: no scripts, styles, comments or doctype."""
+def page_text(c: Column, entities=None) -> Column:
+    """All readable text of a page: no scripts, styles, comments or doctype.
+    ``entities``: the only names to be decoded."""
     c = strip_boilerplate(c, ("script", "style"))
-    return decode_entities(F.regexp_replace(c, r"<[^>]+>", ""))
+    text = F.regexp_replace(c, r"<[^>]+>", "")
+    return decode_entities(text) if entities is None else decode_named(text, entities)
 
 
 def visible_text_flat(c: Column) -> Column:

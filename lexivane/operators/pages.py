@@ -58,9 +58,10 @@ def _keyword_count(low: Column, keywords) -> Column:
     return total
 
 
-def page_quality(pages: DataFrame, mode: str) -> DataFrame:
-    """Adds ``is_doc``, judged on the page before anything is removed from it."""
-    text = page_text(F.col("html"))
+def page_quality(pages: DataFrame, mode: str, entities=None) -> DataFrame:
+    """Adds ``is_doc``, judged on the page before anything is removed from it. Its length
+    is that of the decoded text; ``entities`` names the only ones to be decoded."""
+    text = page_text(F.col("html"), entities)
     with_text = pages.withColumn("_text", text).withColumn("_low", F.lower("_text"))
     enough = F.length("_text") >= MIN_PAGE_CHARS
     if mode == "broad":

@@ -10,6 +10,7 @@ from lexivane.functions import markup as M
 from lexivane.functions import text as X
 from lexivane.functions import urls as U
 from lexivane.functions.terms import query_terms, tokens
+from lexivane.operators.pages import page_quality
 from lexivane.sources import files as FS
 
 
@@ -195,3 +196,11 @@ def test_tree_to_documents(spark, folder):
     assert docs["a.md"]["url"] == "file://a.md" and docs["a.md"]["title"] == "Title A"
     assert docs["deep/er/b.mdx"]["content"] == "# B"
     assert docs["c.rst"]["content"] == "# SOME TITLE\nbody"
+
+
+def test_page_quality_counts_the_entities_it_is_asked_to_decode(spark):
+    page = "<p>api guide model " + "x" * 470 + "&copy;&middot;&amp;&nbsp;&#65;</p>"  # 496 or 491 + 5 characters
+    pages = spark.createDataFrame([(1, page)], "page_id bigint, html string")
+    judged = lambda *how: page_quality(pages, *how).first()["is_doc"]
+    assert not judged("broad") and judged("broad", H.BASIC_ENTITIES)
+    assert one(spark, H.page_text(F.col("h"), H.BASIC_ENTITIES), h="&copy;&lt;b&gt;&amp;lt;&apos;&quot;&nbsp;&#65;") == "&copy;<b>&lt;'\"\xa0&#65;"
