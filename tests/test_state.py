@@ -501,3 +501,25 @@ def test_equal_texts_are_encoded_once(spark):
 def test_mean_pool(spark):
     df = spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0]), ("b", [7.0, 0.0])], "k string, v array<float>")
     assert {r["k"]: r["v"] for r in mean_pool(df, "k", "v").collect()} == {"a": [2.0, 4.0], "b": [7.0, 0.0]}
+
+
+def test_a_full_bucket_is_cut_into_tasks(spark, folder):
+    """One bucket, and a word that all chunks have: no task gets the whole of either."""
+    text = F.concat(F.lit("common "), F.sha2(F.col("id").cast("string"), 256), F.lit(" "), F.sha2((-F.col("id")).cast("string"), 256))
+    rows = spark.range(0, 3000, 1, 6).select(
+        F.concat(F.lit("k"), "id").alias("doc_key"), F.lit("u").alias("url"), F.lit("t").alias("title"), text.alias("content")
+    )
+    store = IndexStore(spark, f"{folder}/ix", n_buckets=1, term_buckets=1)
+    sizes = [f"spark.sql.adaptive.{x}" for x in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize")]
+    for name in sizes:
+        spark.conf.set(name, "16k")
+    try:
+        store.write(chunk_documents(rows))
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    segment = f"{folder}/ix/segments/{os.listdir(f'{folder}/ix/segments')[0]}"
+    files = lambda path: sum(x.endswith(".parquet") for x in os.listdir(f"{segment}/{path}"))
+    assert (files("chunks/bucket=0") > 1, files("blocks/term_bucket=0") > 1) == (True, True)
+    common = store.open().postings.where("term = 'common'")
+    assert common.count() == common.select("chunk_id").distinct().count() == store.open().chunks.count() == 3000
