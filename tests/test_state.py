@@ -15,6 +15,7 @@ from lexivane.operators.chunking import chunk_documents
 from lexivane.operators.embedding import embed_dedup, embed_hash, embed_udf, mean_pool
 from lexivane.operators.frontier import crawl_sources, frontier_bfs
 from lexivane.operators.pages import clean_pages, extract_links, seed_select, split_ok_quarantine
+from lexivane.operators import postings as PO
 from lexivane.operators.postings import bucket_of_term
 from lexivane.operators.stats import store_counts
 from lexivane.plans.ingest import ingest_pages, run_ingest
@@ -523,3 +524,15 @@ def test_a_full_bucket_is_cut_into_tasks(spark, folder):
     assert (files("chunks/bucket=0") > 1, files("blocks/term_bucket=0") > 1) == (True, True)
     common = store.open().postings.where("term = 'common'")
     assert common.count() == common.select("chunk_id").distinct().count() == store.open().chunks.count() == 3000
+
+
+def test_postings_are_grouped_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    rows = spark.range(200).select(F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("same word "), "id").alias("content"))
+    rows = PO.with_place(rows.coalesce(1)).withColumns({"title": F.lit(None).cast("string"), "heading_path": F.lit("")})
+    terms = PO.chunk_terms(rows, keep=("tile", "slot"))
+    assert PO.block_parts(terms) is None
+    monkeypatch.setattr(PO, "TOKENS_PER_TASK", 50)
+    assert PO.block_parts(terms) == 12  # 600 tokens
+    cut = PO.term_blocks(terms, 12)
+    assert cut.rdd.getNumPartitions() == 12
+    assert sorted(map(str, cut.collect())) == sorted(map(str, PO.term_blocks(terms).collect()))
