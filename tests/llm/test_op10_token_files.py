@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from lexivane.llm import token_files as tf
@@ -95,3 +96,30 @@ def test_ids_of_any_kind(spark, folder):
         df = spark.createDataFrame([(3, "a b"), (1, "c")], "n int, text string").selectExpr(f"cast(cast(n as {'timestamp' if kind == 'date' else 'int'}) as {kind}) as doc_id", "text")
         got = tf.read_token_files(tf.write_token_files(df, PATH, 1, f"{folder}/{i}"))
         assert got.schema["doc_id"].dataType.simpleString() == kind and got.agg({"n_tokens": "sum"}).first()[0] == 5
+
+
+def test_a_word_is_encoded_once_whatever_its_case_and_signs():
+    enc, text = tf.Encoder(Tokenizer.from_file(PATH).to_str()), "The the, THE! the's über. Über a_b \x01 x\x01y don'. H̱ ẖ x<|endoftext|>. lead"
+    texts = [f" {text} ", None, "", f"{text}\n" * 3]
+    met = []
+    for t in ("tokenizer", "letters"):
+        whole = getattr(enc, t)
+        setattr(enc, t, type("", (), {"encode_batch_fast": lambda self, x, whole=whole, **k: [met.extend(y.split(" ")) for y in x] and whole.encode_batch_fast(x, **k)})())
+    ids, n, pieces = enc.encode(pa.array(texts), 1, pieces=True)
+    plain = Tokenizer.from_file(PATH)
+    want = [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+    words = [w for t in texts for w in [*(t or "").replace("\n", " ").split(" "), None] if w != ""]
+    each = [1 if w is None else len(plain.encode(w, add_special_tokens=False).ids) for w in words]
+    assert pieces.tolist() == each
+    assert met.count("the") == 1 and "THE!" not in met and "the," not in met
+
+
+def test_what_is_kept_of_earlier_texts_does_not_show(monkeypatch):
+    monkeypatch.setattr(tf, "HELD", 3)
+    monkeypatch.setattr(tf, "CACHED", 2)
+    enc, plain = tf.Encoder(Tokenizer.from_file(PATH).to_str()), Tokenizer.from_file(PATH)
+    for t in ("one two", "two three. one", "four five six two", "", "one four, seven"):
+        want = plain.encode(t, add_special_tokens=False).ids + [1]
+        assert enc.encode([t], 1)[0].tolist() == want
+        assert len(enc.known[0]) == len(enc.known[2]) <= 4 and len(enc.known[1]) == enc.known[2].sum()
