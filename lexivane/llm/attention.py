@@ -87,34 +87,62 @@ def _exp(z: np.ndarray) -> np.ndarray:
     return np.exp(np.minimum(z, 60, out=z), out=z)
 
 
+def _sums(z: np.ndarray) -> np.ndarray:
+    """Of rows; a product with ones is faster than ``sum`` over short rows."""
+    return (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], z.dtype)).reshape(*z.shape[:-1], 1)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = _exp(z)
-    z /= z.sum(-1, keepdims=True)
+    z /= _sums(z)
     return z
 
 
 def _log_softmax_at(z: np.ndarray, column: np.ndarray) -> np.ndarray:
     own = np.minimum(z[np.arange(len(column)), column], 60)
-    return own - np.log(_exp(z) @ np.ones(z.shape[1], z.dtype))
+    return own - np.log(_sums(_exp(z))[:, 0])
+
+
+def _flat(z: np.ndarray) -> np.ndarray:
+    return z.reshape(-1, z.shape[-1])
 
 
 def _forward(m, inputs, valid):
-    x = m["emb"][inputs] + m["pos"]
-    late = x[:, HALF:]
-    q, k, v = late @ m["q"], x @ m["k"], x @ m["v"]
-    z = q @ k.transpose(0, 2, 1) * np.float32(HEAD**-0.5)
-    a = _softmax(np.where(_SEEN & valid[:, None, :], z, np.float32(-1e9)))
+    n, w = inputs.shape
+    x = m["emb"][inputs]
+    x += m["pos"]
+    late = np.ascontiguousarray(x[:, HALF:])
+    # one product for all windows, not one for each
+    q = (_flat(late) @ (m["q"] * np.float32(HEAD**-0.5))).reshape(n, w - HALF, HEAD)
+    k, v = (_flat(x) @ m["k"]).reshape(n, w, HEAD), (_flat(x) @ m["v"]).reshape(n, w, HEAD)
+    a = q @ k.transpose(0, 2, 1)
+    _exp(a)
+    a *= _SEEN
+    gaps = np.flatnonzero(~valid.all(1))  # windows at the ends of texts
+    a[gaps] *= valid[gaps, None, :]
+    sums = _sums(a)
+    a /= np.where(sums > 0, sums, 1)  # places past the end of a text may see nothing
     c = a @ v
-    h = late + c @ m["o"]
-    f = h @ m["w1"] + m["b1"]
-    r = np.maximum(f, 0)
-    return x, late, q, k, v, a, c, h, r, h + r @ m["w2"]
+    h = late + (_flat(c) @ m["o"]).reshape(late.shape)
+    r = np.maximum(_flat(h) @ m["w1"] + m["b1"], 0)
+    return x, late, q, k, v, a, c, h, r, h + (r @ m["w2"]).reshape(h.shape)
+
+
+def _ordered(group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of their group, and the groups' edges in that order."""
+    order = np.argsort(group.astype(np.min_scalar_type(n)), kind="stable")
+    return order, np.append(0, np.cumsum(np.bincount(group, minlength=n)))
 
 
-def _by_group(group: np.ndarray):
-    order = np.argsort(group, kind="stable")
-    edge = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
-    return [(int(group[order[a]]), order[a:z]) for a, z in zip(edge, edge[1:])]
+def _members(h: np.ndarray, edge: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Logits of the members of each row's group, and the rows of the groups that have any;
+    rows stand in order of their groups."""
+    z = np.empty((len(h), w.shape[2]), np.result_type(h, w))
+    parts = [(int(g), slice(int(edge[g]), int(edge[g + 1]))) for g in np.flatnonzero(np.diff(edge))]
+    for g, own in parts:
+        np.matmul(h[own], w[g], out=z[own])
+        z[own] += b[g]
+    return z, parts
 
 
 def _last(m, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,33 +152,32 @@ def _last(m, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, part, member
 
 
-def log_probs(m, classes: np.ndarray, counts: np.ndarray, batch: int = 2048, few: int = 256) -> np.ndarray:
+def log_probs(m, classes: np.ndarray, counts: np.ndarray, batch: int = 256) -> np.ndarray:
     """Natural log probability of each class given those before it in its text.
 
-    Windows go through the layer ``few`` at a time, so that they stay in the cache.
+    Windows go through the model ``batch`` at a time, so that they stay in the cache.
     """
     out = np.zeros(len(classes))
     inputs, valid, place = windows(classes, counts)
     for low in range(0, len(inputs), batch):
-        high = min(low + batch, len(inputs))
-        h = np.concatenate([_forward(m, inputs[i : min(i + few, high)], valid[i : min(i + few, high)])[-1] for i in range(low, high, few)])
-        to = place[low:high].ravel()
-        h, to = h.reshape(-1, HEAD)[to >= 0], to[to >= 0]
-        own, part, member = _last(m, classes[to])
-        last = _log_softmax_at(h[own] @ m["pw"] + m["pb"], part)
-        for g, rows in _by_group(part):
-            last[rows] += _log_softmax_at(h[own[rows]] @ m["sw"][g] + m["sb"][g], member[rows])
-        out[to[own]] = last
-        group, member = np.divmod(np.minimum(classes[to], LAST), GROUPS)
-        order = np.argsort(group.astype(np.uint8), kind="stable")  # tokens of a group side by side
-        h, to, group, member = h[order], to[order], group[order], member[order]
-        lp = _log_softmax_at(h @ m["gw"] + m["gb"], group)
-        edge = np.searchsorted(group, np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            own = slice(edge[g], edge[g + 1])
-            if edge[g] < edge[g + 1]:
-                lp[own] += _log_softmax_at(h[own] @ m["mw"][g] + m["mb"][g], member[own])
-        out[to] += lp
+        to = place[low : low + batch].ravel()
+        h = _forward(m, inputs[low : low + batch], valid[low : low + batch])[-1].reshape(-1, HEAD)
+        if to.min() < 0:
+            h, to = h[to >= 0], to[to >= 0]
+        y = classes[to]
+        for first, kinds, (w, b), (mw, mb) in (
+            (y > BEGIN, _last(m, y), (m["pw"], m["pb"]), (m["sw"], m["sb"])),
+            (None, (None, *np.divmod(np.minimum(y, LAST), GROUPS)), (m["gw"], m["gb"]), (m["mw"], m["mb"])),
+        ):
+            own, group, member = kinds
+            if first is not None and not len(own):
+                continue
+            order, edge = _ordered(group, len(b))
+            rows = order if own is None else own[order]
+            hs, group, member = h[rows], group[order], member[order]
+            lp = _log_softmax_at(hs @ w + b, group)
+            lp += _log_softmax_at(_members(hs, edge, mw, mb)[0], member)
+            out[to[rows]] += lp
     return out
 
 
@@ -164,7 +191,34 @@ def gradients(m, inputs, valid, y) -> tuple[float, dict[str, np.ndarray]]:
     return loss, d
 
 
-SPARSE = ("emb", "sw", "sb")  # a batch meets few of their rows
+SPARSE = ("emb", "mw", "mb", "sw", "sb")  # a batch meets few of their rows
+
+
+def _head_gradients(d, m, h, y, n, names, group, member):
+    """Adds the gradients of a softmax in two steps to ``d``; returns its loss, the gradient
+    of ``h``, and (groups met, gradients of their weights, of their biases)."""
+    w, b, mw, mb = (m[k] for k in names)
+    order, edge = _ordered(group, len(b))
+    hs, group, member, at = h[order], group[order], member[order], np.arange(len(order))
+    p = _softmax(hs @ w + b)
+    loss = -np.log(p[at, group] + 1e-30).sum()
+    p[at, group] -= 1
+    p /= n
+    d[names[0]], d[names[1]] = hs.T @ p, np.ones(len(p), p.dtype) @ p
+    dh = p @ w.T
+    s, parts = _members(hs, edge, mw, mb)
+    s = _softmax(s)
+    loss -= np.log(s[at, member] + 1e-30).sum()
+    s[at, member] -= 1
+    s /= n
+    dw = np.zeros((len(parts), *mw.shape[1:]), s.dtype)
+    for i, (g, own) in enumerate(parts):
+        np.matmul(hs[own].T, s[own], out=dw[i])
+        dh[own] += s[own] @ mw[g].T
+    db = np.add.reduceat(s, [own.start for _, own in parts], axis=0) if parts else np.zeros((0, mb.shape[1]), s.dtype)
+    out = np.empty_like(dh)
+    out[order] = dh
+    return loss, out, (np.array([g for g, _ in parts], np.int64), dw, db)
 
 
 def _gradients(m, inputs, valid, y) -> tuple[float, dict]:
@@ -174,61 +228,34 @@ def _gradients(m, inputs, valid, y) -> tuple[float, dict]:
     own = np.flatnonzero(y.ravel() >= 0)
     n, hs, t = max(len(own), 1), flat[own], y.ravel()[own]
     last, part, member = _last(m, t)
-    t = np.minimum(t, LAST)
-    p = _softmax(hs @ m["gw"] + m["gb"])
-    loss = -np.log(p[np.arange(len(t)), t // GROUPS] + 1e-30).sum()
-    p[np.arange(len(t)), t // GROUPS] -= 1
-    p /= n
-    d = {"gw": hs.T @ p, "gb": p.sum(0), "mw": np.zeros_like(m["mw"]), "mb": np.zeros_like(m["mb"])}
-    dh = p @ m["gw"].T
-    for g, rows in _by_group(t // GROUPS):
-        s = _softmax(hs[rows] @ m["mw"][g] + m["mb"][g])
-        at = np.arange(len(rows)), t[rows] % GROUPS
-        loss -= np.log(s[at] + 1e-30).sum()
-        s[at] -= 1
-        s /= n
-        d["mw"][g], d["mb"][g] = hs[rows].T @ s, s.sum(0)
-        dh[rows] += s @ m["mw"][g].T
-    hl = hs[last]
-    p = _softmax(hl @ m["pw"] + m["pb"])
-    loss -= np.log(p[np.arange(len(part)), part] + 1e-30).sum()
-    p[np.arange(len(part)), part] -= 1
-    p /= n
-    d["pw"], d["pb"] = hl.T @ p, p.sum(0)
-    dl, parts = p @ m["pw"].T, _by_group(part)
-    sw, sb = (np.zeros((len(parts), *m[k].shape[1:]), m[k].dtype) for k in ("sw", "sb"))
-    for i, (g, rows) in enumerate(parts):
-        s = _softmax(hl[rows] @ m["sw"][g] + m["sb"][g])
-        at = np.arange(len(rows)), member[rows]
-        loss -= np.log(s[at] + 1e-30).sum()
-        s[at] -= 1
-        s /= n
-        sw[i], sb[i] = hl[rows].T @ s, s.sum(0)
-        dl[rows] += s @ m["sw"][g].T
+    d = {}
+    loss, dh, (met, dw, db) = _head_gradients(d, m, hs, t, n, ("gw", "gb", "mw", "mb"), *np.divmod(np.minimum(t, LAST), GROUPS))
+    d["mw"], d["mb"] = (met, dw), (met, db)
+    more, dl, (met, dw, db) = _head_gradients(d, m, hs[last], t[last], n, ("pw", "pb", "sw", "sb"), part, member)
+    d["sw"], d["sb"] = (met, dw), (met, db)
+    loss += more
     dh[last] += dl
-    met = np.array([g for g, _ in parts], np.int64)
-    d["sw"], d["sb"] = (met, sw), (met, sb)
     dtop = np.zeros_like(flat)
     dtop[own] = dh
-    dtop = dtop.reshape(top.shape)
-    two = lambda z: z.reshape(-1, z.shape[-1])
     dr = (dtop @ m["w2"].T) * (r > 0)
-    d["w2"], d["w1"], d["b1"] = two(r).T @ two(dtop), two(h).T @ two(dr), two(dr).sum(0)
+    d["w2"], d["w1"], d["b1"] = r.T @ dtop, _flat(h).T @ dr, dr.sum(0)
     dh = dtop + dr @ m["w1"].T
-    d["o"] = two(c).T @ two(dh)
-    dc = dh @ m["o"].T
-    da = dc @ v.transpose(0, 2, 1)
+    d["o"] = _flat(c).T @ dh
+    dc = (dh @ m["o"].T).reshape(c.shape)
+    dz = dc @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dc
-    dz = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(HEAD**-0.5)
-    dq, dk = dz @ k, dz.transpose(0, 2, 1) @ q
-    d["q"], d["k"], d["v"] = two(late).T @ two(dq), two(x).T @ two(dk), two(x).T @ two(dv)
-    dx = dk @ m["k"].T + dv @ m["v"].T
-    dx[:, HALF:] += dh + dq @ m["q"].T
+    dz -= _sums(dz * a)
+    dz *= a
+    dq, dk = dz @ k, _flat(dz.transpose(0, 2, 1) @ q)
+    dq, dv = _flat(dq) * np.float32(HEAD**-0.5), _flat(dv)
+    d["q"], d["k"], d["v"] = _flat(late).T @ dq, _flat(x).T @ dk, _flat(x).T @ dv
+    dx = (dk @ m["k"].T + dv @ m["v"].T).reshape(x.shape)
+    dx[:, HALF:] += (dh + dq @ m["q"].T).reshape(late.shape)
     d["pos"] = dx.sum(0)
-    rows = two(dx)
-    met, at = np.unique(inputs.ravel(), return_inverse=True)
-    at = at.ravel()
-    d["emb"] = met, np.stack([np.bincount(at, rows[:, j], len(met)) for j in range(HEAD)], 1).astype(np.float32)
+    order = np.argsort(inputs.ravel().astype(np.min_scalar_type(len(m["emb"]))), kind="stable")
+    met = inputs.ravel()[order]
+    first = np.flatnonzero(np.diff(met, prepend=-1))
+    d["emb"] = met[first], np.add.reduceat(_flat(dx)[order], first, axis=0)
     return loss / n, d
 
 

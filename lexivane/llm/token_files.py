@@ -79,7 +79,7 @@ def _places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts: each distinct word of a call goes through the tokenizer once."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, held: int = HELD):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -88,7 +88,7 @@ class Encoder:
         self.mark_id = mark[0] if len(mark) == 1 else None
         norm = self.tokenizer.normalizer
         self.folds = norm is not None and norm.normalize_str(_UPPER) == _UPPER.lower()
-        self.letters, self.last = None, None
+        self.letters, self.last, self.held = None, None, held
         self.known = (pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
         spec = json.loads(tokenizer_json)
         suffix = spec["model"].get("end_of_word_suffix")
@@ -141,7 +141,7 @@ class Encoder:
         place[fresh.to_numpy(zero_copy_only=False)] = len(words) + np.arange(len(new))
         own = size[place]
         ids = flat[_places((np.cumsum(size) - size)[place], own)]
-        full = len(size) > HELD
+        full = len(size) > self.held
         self.known = (heads, ids, own) if full else (pa.concat_arrays([words, new]), flat, size)
         return ids, own
 

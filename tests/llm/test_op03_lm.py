@@ -2,8 +2,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace as Value
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +154,43 @@ def test_gradients_of_rare_ids_equal_differences():
             side.append(attention.gradients(m, inputs, valid, targets)[0])
         m[k][at] += 1e-5
         assert d[k][at] == pytest.approx((side[0] - side[1]) / 2e-5, rel=1e-3, abs=1e-8)
+
+
+def test_texts_come_in_short_batches_and_the_setting_stays(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    monkeypatch.setitem(lm.BATCH, key, "20000")
+    df = spark.range(400).selectExpr("id as doc_id", "repeat('some words ', 100) as text").repartition(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": [b.num_rows]})
+
+    with lm._short_batches(spark):
+        got = [r["doc_id"] for r in df.mapInArrow(sizes, "doc_id long").collect()]
+    assert sum(got) == 400 and max(got) < 100
+    assert spark.conf.get(key, None) == before
+
+
+def test_a_task_sends_only_what_it_changes(spark):
+    end = Tokenizer.from_file(PATH).get_vocab_size(with_added_tokens=True)
+    symbol = lm._symbols(lm._classes(np.arange(end + 1), end)[0])
+    start = attention.pack(lm._like(end)).astype(np.float32)
+    texts = pa.RecordBatch.from_pydict({"text": ["a few plain words"] * 9})
+    (row,) = lm._train(Value(value=Tokenizer.from_file(PATH).to_str()), Value(value=start), Value(value=symbol), end, 0.01, 0, 1)([texts])
+    change = np.frombuffer(row.column("w")[0].as_py(), "<f4")
+    assert len(change) == len(start) and 0 < np.count_nonzero(change) < len(start) / 10
+    mean = lm._mean_weights(spark.createDataFrame([(1, b"\0\0\x80?"), (3, b"\0\0\0\0")], "n bigint, w binary"), np.ones(1, np.float32))
+    assert mean == pytest.approx([1.25])
+
+
+def test_an_encoder_keeps_no_more_runs_than_it_may():
+    json = Tokenizer.from_file(PATH).to_str()
+    few, many = lm.Encoder(json, 1000), lm.Encoder(json)
+    rng = np.random.default_rng(4)
+    for _ in range(6):
+        texts = ["".join(map(chr, 97 + x)) for x in rng.integers(0, 26, (400, 7))]
+        for a, b in zip(few.encode(texts, 0), many.encode(texts, 0)):
+            assert np.array_equal(a, b)
+        assert len(few.known[0]) <= 1400
+    assert len(many.known[0]) > 2300
