@@ -259,6 +259,21 @@ def _gradients(m, inputs, valid, y) -> tuple[float, dict]:
     return loss / n, d
 
 
+def _adam(m, first, second, g, rate: float, step: int) -> None:
+    """One step of Adam in place; ``g`` is used up."""
+    first *= 0.9
+    second *= 0.99
+    second += 0.01 * g * g
+    g *= 0.1
+    first += g
+    np.divide(second, 1 - 0.99**step, out=g)
+    np.sqrt(g, out=g)
+    g += 1e-6
+    np.divide(first, g, out=g)
+    g *= rate / (1 - 0.9**step)
+    m -= g
+
+
 def train(m, inputs, valid, targets, rate: float, seed: int, batch: int = 256) -> dict[str, np.ndarray]:
     """One pass in random order with Adam; rows that a batch does not meet stay."""
     m = {k: x.copy() for k, x in m.items()}
@@ -268,9 +283,14 @@ def train(m, inputs, valid, targets, rate: float, seed: int, batch: int = 256) -
         own = order[low : low + batch]
         _, d = _gradients(m, inputs[own], valid[own], targets[own])
         for k, g in d.items():
-            at, g = g if k in SPARSE else (slice(None), g)
-            a = 0.9 * first[k][at] + 0.1 * g
-            b = 0.99 * second[k][at] + 0.01 * g * g
-            first[k][at], second[k][at] = a, b
-            m[k][at] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            rows, g = g if k in SPARSE else (None, g)
+            if k == "sw":  # long rows, each by itself in the cache
+                for i, x in zip(rows, g):
+                    _adam(m[k][i], first[k][i], second[k][i], x, rate, step)
+            elif rows is None:
+                _adam(m[k], first[k], second[k], g, rate, step)
+            else:
+                own = m[k][rows], first[k][rows], second[k][rows]
+                _adam(*own, g, rate, step)
+                m[k][rows], first[k][rows], second[k][rows] = own
     return m

@@ -194,3 +194,12 @@ def test_an_encoder_keeps_no_more_runs_than_it_may():
             assert np.array_equal(a, b)
         assert len(few.known[0]) <= 1400
     assert len(many.known[0]) > 2300
+
+
+def test_adam_in_place_equals_its_formula():
+    rng = np.random.default_rng(5)
+    m, first, second, g = (abs(rng.standard_normal((3, 4))).astype(np.float32) for _ in range(4))
+    a, b = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+    want = m - 0.01 * (a / (1 - 0.9**3)) / (np.sqrt(b / (1 - 0.99**3)) + 1e-6)
+    attention._adam(m, first, second, g, 0.01, 3)
+    assert np.allclose(m, want, atol=1e-6) and np.allclose(first, a, atol=1e-6) and np.allclose(second, b, atol=1e-6)
