@@ -79,7 +79,7 @@ def _places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts: each distinct word of a call goes through the tokenizer once."""
 
-    def __init__(self, tokenizer_json: str, held: int = HELD):
+    def __init__(self, tokenizer_json: str, held: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -141,7 +141,7 @@ class Encoder:
         place[fresh.to_numpy(zero_copy_only=False)] = len(words) + np.arange(len(new))
         own = size[place]
         ids = flat[_places((np.cumsum(size) - size)[place], own)]
-        full = len(size) > self.held
+        full = len(size) > (HELD if self.held is None else self.held)
         self.known = (heads, ids, own) if full else (pa.concat_arrays([words, new]), flat, size)
         return ids, own
 
