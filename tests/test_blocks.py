@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from lexivane.operators import blocks as BL
+from lexivane.operators import bm25 as B
 from lexivane.operators import postings as PO
 from lexivane.operators.chunking import chunk_documents
 from lexivane.session import freed_shuffles
@@ -81,3 +82,20 @@ def test_a_write_gives_back_its_shuffle_files(spark, folder):
     chunks = texts(spark, 300)
     store = IS.IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=2, stem=False)
     assert not new_after(lambda: store.write(chunk_documents(chunks)))
+
+
+def test_questions_read_the_tiles_in_rounds(spark, folder, monkeypatch):
+    """Words, prefixes and phrases find the same in one round or many, and what a round
+    stored is not read for another."""
+    store = IS.IndexStore(spark, f"{folder}/ix", n_buckets=2, term_buckets=2, stem=False)
+    store.write(chunk_documents(texts(spark, 600)))
+    asked = [(1, "the1 data"), (2, "uber"), (3, "x_1"), (4, "na"), (5, "title the"), (6, "nothing here"), (7, "da th 42")]
+    q = spark.createDataFrame(asked, "query_id bigint, q string")
+    one = sorted(map(str, B.bm25_topk(q, store.open(), k=4, digits=6).collect()))
+    pairs = sorted(map(str, B.match_all_terms(q, store.open()).collect()))
+    monkeypatch.setattr(B, "CHUNKS_PER_ROUND", 150)
+    rounds = B.in_rounds(store.open())
+    found = [r["chunk_id"] for _, part in rounds for r in part.lengths.collect()]
+    assert len(rounds) == 4 and len(found) == len(set(found)) == store.open().chunks.count()
+    assert sorted(map(str, B.bm25_topk(q, store.open(), k=4, digits=6).collect())) == one and len(one) > 8
+    assert sorted(map(str, B.match_all_terms(q, store.open()).collect())) == pairs
